@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import sentencepiece_codec
+from fathomline.llm import license_scan, quality_rules, sentencepiece_codec
 from fathomline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +32,19 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the licences named in it, by base phrases and by the positional rare-word index."""
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its quality figures and whether it is kept, given its host's verdict."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality_rules.judge(docs, keep=["doc_id"])
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_sentencepiece": op1_sentencepiece}
+    return {f.__name__: f for f in (op1_sentencepiece, op6_license_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
