@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import license_scan, quality_rules, sentencepiece_codec
+from fathomline.llm import decontaminate, language_id, license_scan, pii, quality_rules, sentencepiece_codec, token_counts
 from fathomline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +32,43 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each test item found in a document, with its edit distance."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its language, by models learned from documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    path = tokenizer_path("piece_bpe_32k.model")
+    langs, model = language_id.train(docs.where(~F.col("held_out")), path)
+    return language_id.identify(docs.drop("lang"), path, langs, model, keep=["doc_id", "held_out"])
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the licences named in it, by base phrases and by the positional rare-word index."""
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the counts and digest of base spans and the list of all spans."""
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    base = F.filter("pii_spans", lambda c: c["base"])
+    kinds = F.transform(base, lambda c: c["kind"])
+    return found.select(
+        "doc_id",
+        *((F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("pii_spans")).alias("spans"),
+    )
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its words and greedy word pieces."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its quality figures and whether it is kept, given its host's verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -44,7 +76,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op6_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_decontaminate, op5_language_id, op6_license_scan, op7_pii, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
