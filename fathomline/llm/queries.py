@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, language_id, license_scan, pii, quality_rules, sentencepiece_codec, token_counts
+from fathomline.llm import decontaminate, language_id, license_scan, pii, quality_rules, sentencepiece_codec, substring_dedup, token_counts
 from fathomline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the words removed as repeated and the digest of those kept."""
+    found = substring_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each test item found in a document, with its edit distance."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,7 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_decontaminate, op5_language_id, op6_license_scan, op7_pii, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_decontaminate, op5_language_id, op6_license_scan, op7_pii, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
