@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, language_id, license_scan, pii, quality_rules, sentencepiece_codec, substring_dedup, token_counts
+from fathomline.llm import decontaminate, language_id, license_scan, near_dedup, pii, quality_rules, sentencepiece_codec, substring_dedup, token_counts
 from fathomline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its shingle count and its group of near duplicates, on shingles of four words."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its language, by models learned from documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out(F.col("doc_id")))
@@ -82,7 +87,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_decontaminate, op5_language_id, op6_license_scan, op7_pii, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_decontaminate, op4_near_dedup, op5_language_id, op6_license_scan, op7_pii, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
