@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, language_id, license_scan, near_dedup, pii, quality_rules, sentencepiece_codec, substring_dedup, token_counts
+from fathomline.llm import decontaminate, html_extract, language_id, license_scan, near_dedup, pii, quality_rules, sentencepiece_codec, substring_dedup, token_counts
 from fathomline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page its main text."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_extract.extract(pages, html_extract.train(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its words and greedy word pieces."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
@@ -87,7 +94,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_decontaminate, op4_near_dedup, op5_language_id, op6_license_scan, op7_pii, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_decontaminate, op4_near_dedup, op5_language_id, op6_license_scan, op7_pii, op8_html_extract, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
