@@ -1,11 +1,13 @@
 """Operator 2: removal of repeated word windows behind a count-min prefilter.
 
 First pass: each task adds its windows to a count-min sketch whose counters stop at two, and the sketches are merged
-block by block in a tree. The merged sketch never underestimates, so a window that occurs twice is always estimated
-repeated. Second pass: only windows estimated repeated are grouped exactly, by a 96-bit key, to the smallest document
+block by block in a tree. A window is counted by its minimizer, the least-hashed run of GRAM words in it, and
+neighbours that share one minimizer count it once, which needs a quarter of the counters: equal windows have equal
+minimizers at different places, so the merged sketch never underestimates and a window that occurs twice is always
+estimated repeated. Second pass: only windows estimated repeated are grouped exactly, by a 96-bit key, to the smallest document
 that holds them (minima are combined before the shuffle, so a window in a third of all documents costs a row a task).
 The windows are then joined to these minima, adaptive skew splitting deals with hot ones, and the covered words of
-each document are removed. The sketch has a fixed largest size; beyond it more windows are estimated repeated and go
+each document are removed; documents that a bit filter of the affected ones rules out are not shuffled for it. The sketch has a fixed largest size; beyond it more windows are estimated repeated and go
 through the exact grouping, and none is lost.
 """
 
@@ -24,15 +26,17 @@ from pyspark.sql import types as T
 
 from fathomline.llm.common import materialize, texts
 
-WINDOW = 13
+WINDOW, GRAM = 13, 7
 #: Hash rows of the sketch, and the least and largest number of counters of a row as powers of two.
-ROWS, LEAST_BITS, MOST_BITS = 3, 16, 28
+ROWS, LEAST_BITS, MOST_BITS = 2, 16, 27
+#: Bits of the filter of documents that lose words, as a power of two.
+FILTER_BITS = 26
 #: Counters of a block that is merged on its own, as a power of two.
 BLOCK_BITS = 22
 #: Sketches merged at once; bytes of text for which a task makes a sketch at least.
 FAN_IN, BYTES_PER_SKETCH = 32, 2_000_000_000
-#: Bytes of a text for each of its words, to size the sketch.
-BYTES_A_WORD = 6
+#: Bytes of text for each counter.
+BYTES_A_COUNTER = 6
 #: Remembered word hashes of a worker; texts whose words are hashed together.
 MEMORY, CHUNK_BYTES = 500_000, 2_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -68,40 +72,60 @@ def window_keys(word_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(a), _mixed(b)
 
 
+def minimizers(word_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window the least hash of GRAM consecutive words, and its place (the leftmost)."""
+    n = len(word_hashes) - GRAM + 1
+    g = np.zeros(n, np.uint64)
+    for j in range(GRAM):
+        g = g * _B + word_hashes[j : j + n]
+    g = _mixed(g)
+    m = n - (WINDOW - GRAM)
+    least, at = g[:m].copy(), np.arange(m)
+    for j in range(1, WINDOW - GRAM + 1):
+        less = g[j : j + m] < least
+        least[less] = g[j : j + m][less]
+        at[less] = np.flatnonzero(less) + j
+    return _mixed(least), at
+
+
 class _Chunk:
-    """Windows of consecutive texts: keys a and b, the text's number and the window's first word."""
+    """Windows of consecutive texts: minimizers, those to count, keys a and b, the text's number and the window's first word."""
 
-    def __init__(self, chunk: list[list[bytes]], hashes: _Hashes):
+    def __init__(self, chunk: list[list[bytes]], hashes: _Hashes, keys: bool):
         sizes = np.array([len(w) for w in chunk])
         flat = np.fromiter((hashes[w] for ws in chunk for w in ws), np.uint64, int(sizes.sum()))
         if len(flat) < WINDOW:
-            self.a = self.b = np.zeros(0, np.uint64)
+            self.least = self.counted = self.a = self.b = np.zeros(0, np.uint64)
             self.text = self.place = np.zeros(0, np.int64)
             return
-        self.a, self.b = window_keys(flat)
+        least, at = minimizers(flat)
         text = np.repeat(np.arange(len(chunk)), sizes)
-        inside = text[: len(self.a)] == text[WINDOW - 1 :]
-        self.a, self.b, self.text = self.a[inside], self.b[inside], text[: len(inside)][inside]
+        inside = text[: len(least)] == text[WINDOW - 1 :]
+        self.least, at = least[inside], at[inside]
+        self.counted = self.least[np.r_[True, at[1:] != at[:-1]]] if len(at) else self.least
+        if not keys:
+            return
+        self.a, self.b = (x[inside] for x in window_keys(flat))
+        self.text = text[: len(inside)][inside]
         self.place = (np.arange(len(inside)) - np.repeat(np.cumsum(sizes) - sizes, sizes)[: len(inside)])[inside]
 
 
-def _chunks(batch: pa.RecordBatch, text_at: int, hashes: _Hashes) -> Iterator[tuple[int, list[list[bytes]], _Chunk]]:
+def _chunks(batch: pa.RecordBatch, text_at: int, hashes: _Hashes, keys: bool) -> Iterator[tuple[int, list[list[bytes]], _Chunk]]:
     """Row number of the first text, words of each text, and windows, for about CHUNK_BYTES of text at a time."""
     first, chunk, size = 0, [], 0
     for k, t in enumerate(texts(batch.column(text_at))):
         chunk.append(split_words(t))
         size += len(t or "")
         if size >= CHUNK_BYTES:
-            yield first, chunk, _Chunk(chunk, hashes)
+            yield first, chunk, _Chunk(chunk, hashes, keys)
             first, chunk, size = k + 1, [], 0
     if chunk:
-        yield first, chunk, _Chunk(chunk, hashes)
+        yield first, chunk, _Chunk(chunk, hashes, keys)
 
 
-def _cells(c: _Chunk, bits: int, row: int) -> np.ndarray:
-    """The counter of each window in a row of the sketch."""
-    h = (c.a, c.b, c.a ^ (c.b >> np.uint64(13)))[row] if row < 3 else _mixed(c.a + np.uint64(row) * c.b)
-    return (h >> np.uint64(64 - bits)).astype(np.uint32)
+def _cells(least: np.ndarray, bits: int, row: int) -> np.ndarray:
+    """The counters of minimizers in a row of the sketch."""
+    return (_mixed(least + np.uint64(row) * _A) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 def _set(bits: np.ndarray, cells: np.ndarray) -> None:
@@ -142,10 +166,10 @@ def _sketches(docs: DataFrame, bits: int) -> DataFrame:
         sketch, hashes = Sketch(bits), _Hashes()
         waiting, n = [[] for _ in range(ROWS)], 0
         for batch in batches:
-            for _, _, c in _chunks(batch, 0, hashes):
+            for _, _, c in _chunks(batch, 0, hashes, False):
                 for row in range(ROWS):
-                    waiting[row].append(_cells(c, bits, row))
-                n += len(c.a)
+                    waiting[row].append(_cells(c.counted, bits, row))
+                n += len(c.counted)
                 if n > 4_000_000:
                     sketch.add(waiting)
                     waiting, n = [[] for _ in range(ROWS)], 0
@@ -181,7 +205,7 @@ def repeated_cells(docs: DataFrame, text_col: str = "text") -> tuple[int, list[n
     """(bits, for each row the counters that reached two) of the merged sketch; of bounded size, 2 ** MOST_BITS bits a row at most."""
     spark = docs.sparkSession
     size = docs.select(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    bits = int(np.clip(int(np.ceil(np.log2(max(1, size / BYTES_A_WORD)))), LEAST_BITS, MOST_BITS))
+    bits = int(np.clip(int(np.ceil(np.log2(max(1, size / BYTES_A_COUNTER)))), LEAST_BITS, MOST_BITS))
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // BYTES_PER_SKETCH))
     parts = _sketches(docs.select(text_col).coalesce(tasks), bits)
     while tasks > 1:
@@ -202,10 +226,10 @@ def estimated_repeated(docs: DataFrame, bits: int, rows, places: bool, text_col:
         for batch in batches:
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             marks = batch.column(2).to_numpy(zero_copy_only=False)
-            for first, _, c in _chunks(batch, 0, hashes):
-                kept = np.arange(len(c.a))
+            for first, _, c in _chunks(batch, 0, hashes, True):
+                kept = np.arange(len(c.least))
                 for row in range(ROWS):
-                    cells = _cells(c, bits, row)[kept]
+                    cells = _cells(c.least[kept], bits, row)
                     kept = kept[(twice[row][cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)]
                 a, b, key = c.a[kept].view(np.int64), (c.b[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32), keys[first + c.text[kept]]
                 if not places:
@@ -247,8 +271,40 @@ def deduplicate(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id"
         .groupBy("key", "mark").agg(F.sort_array(F.collect_set("place")).alias("places"))
     )
     runs = materialize(removed.select("key", "mark", _runs(F.col("places")).alias("runs")))
-    joined = found.join(runs, (found[key_col] == runs["key"]) & (found["_mark"] == runs["mark"]), "left").select(key_col, text_col, "runs")
-    return _without(joined, text_col, key_col, kept_col)
+    affected = spark.sparkContext.broadcast(_filter(runs))
+    tested = _tested(found, affected)
+    joined = tested.where("_hit").join(runs, (F.col(key_col) == runs["key"]) & (F.col("_mark") == runs["mark"]), "left").select(key_col, text_col, "runs")
+    untouched = tested.where(~F.col("_hit")).select(key_col, text_col, F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+    return _without(joined.union(untouched), text_col, key_col, kept_col)
+
+
+def _slot(key, mark):
+    """A slot of the filter, from 1 on as the bitmap functions number them."""
+    return F.pmod(F.xxhash64(key, mark), F.lit(1 << FILTER_BITS)) + 1
+
+
+def _filter(runs: DataFrame) -> np.ndarray:
+    """Bits of the documents that lose words, of fixed size."""
+    slots = runs.select(_slot("key", "mark").alias("slot"))
+    blocks = slots.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in blocks.toLocalIterator():
+        at = (r["block"] - 1) * 4096
+        out[at : at + 4096] |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _tested(found: DataFrame, bits) -> DataFrame:
+    """Adds ``_hit``: whether the filter allows that the document loses words."""
+    withslot = found.withColumn("_slot", _slot(F.col(found.columns[0]), F.col("_mark")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("_slot").to_numpy(zero_copy_only=False) - 1
+            hit = bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1
+            yield batch.set_column(batch.num_columns - 1, "_hit", pa.array(hit.astype(bool)))
+
+    return withslot.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("_hit", T.BooleanType(), False)]))
 
 
 def _runs(places):
