@@ -143,7 +143,7 @@ def pair_label(a: Column, b: Column) -> Column:
 
 def relative_move(before: Column, after: Column) -> Column:
     """abs(after / before - 1); null where it is 0 or before is 0."""
-    return F.nullif(F.abs(F.try_divide(after.cast("decimal(30,10)"), before.cast("decimal(30,10)")) - 1), F.lit(0))
+    return F.nullif(F.abs(F.try_divide(after.cast("decimal(22,12)"), before.cast("decimal(22,12)")) - 1), F.lit(0))
 
 
 def price_is_outlier(p: Column, median: Column, factor: float = 1.5) -> Column:

@@ -108,14 +108,14 @@ def _rungs(priced: DataFrame, deltas: tuple[str, ...]) -> DataFrame:
 def amm_buy(reserve_quote: Column, spot: Column, target: Column, fee: Column) -> Column:
     """Quote that lifts a constant-product pool from spot to target; 0 where it is there already."""
     ratio = F.try_divide(target.cast("decimal(24,10)"), spot.cast("decimal(24,10)")).cast("decimal(21,16)")
-    need = F.try_divide(reserve_quote.cast("decimal(19,7)") * (X.exact_sqrt(ratio) - 1).cast("decimal(12,10)"), (1 - fee).cast("decimal(9,8)"))
+    need = F.try_divide(reserve_quote.cast("decimal(19,7)") * (X.exact_sqrt(ratio) - 1).cast("decimal(18,16)"), (1 - fee).cast("decimal(9,8)"))
     return F.when((spot >= target) | (spot == 0), F.lit(0).cast(X.WIDE)).otherwise(need.cast(X.WIDE))
 
 
 def amm_sell(reserve_quote: Column, spot: Column, target: Column, fee: Column) -> Column:
     """Quote that selling takes out of a constant-product pool from spot down to target."""
     ratio = F.try_divide(F.greatest(target, F.lit(0)).cast("decimal(24,10)"), spot.cast("decimal(24,10)")).cast("decimal(21,16)")
-    got = reserve_quote.cast("decimal(19,7)") * (1 - X.exact_sqrt(ratio)).cast("decimal(12,10)") * (1 - fee).cast("decimal(5,4)")
+    got = reserve_quote.cast("decimal(19,7)") * (1 - X.exact_sqrt(ratio)).cast("decimal(18,16)") * (1 - fee).cast("decimal(5,4)")
     return F.when((spot <= target) | (spot == 0), F.lit(0).cast(X.WIDE)).otherwise(got.cast(X.WIDE))
 
 
