@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,33 @@ def unique_names(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+#: Bits of a filter of keys, as a power of two.
+FILTER_BITS = 26
+
+
+def key_slot(*keys: Column | str) -> Column:
+    """A slot of the key filter, from 1 on as the bitmap functions number them."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << FILTER_BITS)) + 1
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit for the slot of every row of ``keys``: of fixed size, so it may be sent to all tasks.
+
+    It rules out most rows that a join on the keys would drop, before they are shuffled; it lets through every row
+    that the join keeps, and with very many keys it lets through more and costs only time.
+    """
+    slots = keys.select(key_slot(*keys.columns).alias("slot"))
+    blocks = slots.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in blocks.toLocalIterator():
+        at = (r["block"] - 1) * 4096
+        out[at : at + 4096] |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Whether the filter lets each slot through."""
+    at = slots - 1
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

@@ -5,7 +5,8 @@ its exponential hash values reaches; registers of parts merge by maximum, and eq
 the Jaccard similarity. Bands of registers give buckets. Documents with one shingle set are joined into one
 representative first. In a bucket of few representatives all are compared, in a larger one each is compared with a
 leader of its own choice for every band; pairs whose similarity, estimated by maximum likelihood from all registers and the known set
-sizes, is near the threshold or above are verified on full sets. Large buckets that still hold several components
+sizes, is near the threshold or above are verified on full sets: first the best pair of each representative, then
+those that still lie in different components. Large buckets that still hold several components
 are then searched exhaustively between components, in blocks. Only tables of links and labels are iterated over.
 """
 
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import lower_bytes, materialize, texts
+from fathomline.llm.common import key_filter, key_slot, lower_bytes, materialize, passes, texts
 from fathomline.llm.components import connected_components
 
 #: Words of a shingle and least similarity in percent.
@@ -28,10 +29,10 @@ SHINGLE, MIN_PCT = 5, 80
 #: Registers: BANDS bands of BAND registers; base of the spacing and rate of the exponential values.
 BANDS, BAND, BASE, RATE = 40, 5, 1.05, 20.0
 REGISTERS = BANDS * BAND
-#: Estimates from here on are verified: six standard deviations below the threshold.
-MIN_ESTIMATE = 0.62
-#: Buckets up to this many representatives are compared in full; members of a block in the exhaustive search.
-SMALL, SEARCH_BLOCK = 12, 256
+#: Estimates from here on are verified: over four standard deviations below the threshold.
+MIN_ESTIMATE = 0.68
+#: Buckets up to this many representatives are compared in full; queries of a block and members of a part in the exhaustive search.
+SMALL, SEARCH_BLOCK, SEARCH_PART = 12, 256, 5_000
 MEMORY = 500_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -135,7 +136,7 @@ def _bands(reps: DataFrame) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and estimate allow a link."""
+    """The pairs (a, b, similarity) whose sizes and estimate allow a link."""
     left, right = (reps.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= MIN_PCT * F.greatest("na", "nb"))
 
@@ -144,37 +145,56 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             if batch.num_rows:
                 r = [np.frombuffer(b"".join(batch.column(f"r{x}").to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in "ab"]
                 n = [batch.column(f"n{x}").to_numpy().astype(float) for x in "ab"]
-                yield batch.select(["a", "b"]).filter(pa.array(estimate(*r, *n) >= MIN_ESTIMATE))
+                found = estimate(*r, *n)
+                yield batch.select(["a", "b"]).append_column("similarity", pa.array(found)).filter(pa.array(found >= MIN_ESTIMATE))
 
-    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key_col: str, text_col: str, size: int) -> DataFrame:
-    """The pairs (a, b) that share enough of their full sets. Sets are made from texts for the documents in pairs only."""
-    wanted = pairs.select(F.col("b").alias("doc"), "a", "b").union(pairs.select("a", "a", "a").distinct())
-    kept = docs.select(F.col(key_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")
+def _sets(wanted: DataFrame, docs: DataFrame, key_col: str, text_col: str, size: int) -> DataFrame:
+    """(doc, members): full sets of the documents in ``wanted`` (doc), and of few others.
+
+    Sets are made where the texts are read, for documents that a filter of the wanted ones lets through; texts are
+    not shuffled.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select("doc")))
+    keyed = docs.select(F.col(key_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
+            batch = batch.filter(pa.array(passes(bits.value, batch.column("slot").to_numpy(zero_copy_only=False))))
             made = pa.array([shingles(t, hashes, size).tobytes() for t in texts(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), made], names=["a", "b", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), made], names=["doc", "members"])
+
+    return materialize(keyed.select("doc", "text", key_slot("doc").alias("slot")).mapInArrow(sets, "doc long, members binary"))
 
-    made = kept.select("text", "a", "b").mapInArrow(sets, "a long, b long, members binary")
-    made = materialize(made)
-    of_b = made.where("a <> b").select("a", "b", F.col("members").alias("mb"))
-    of_a = made.where("a = b").select("a", F.col("members").alias("ma"))
+
+def linked(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sets share enough members."""
+    shared = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * shared >= MIN_PCT * (len(p) + len(q) - shared)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, key_col: str, text_col: str, size: int) -> DataFrame:
+    """The pairs (a, b) that share enough of their full sets. The number of pairs has no bound, so they are never broadcast."""
+    made = _sets(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), docs, key_col, text_col, size)
+    of_b = made.select(F.col("doc").alias("b"), F.col("members").alias("mb")).join(pairs.select("a", "b").hint("merge"), "b")
+    of_a = made.select(F.col("doc").alias("a"), F.col("members").alias("ma"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * shared >= MIN_PCT * (len(p) + len(q) - shared))
+            keep = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return of_b.join(of_a, "a").select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long")
+    return of_a.join(of_b.hint("merge"), "a").select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long")
+
+
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    left, right = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    j = pairs.join(left, "a", "left").join(right, "b", "left")
+    return j.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
 def _pairs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -188,40 +208,64 @@ def _pairs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(all_of_small.union(led).distinct()), shared
 
 
-def _left_over(shared: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs across components in large buckets that hold several: members outside the bucket's main component, in blocks, against all.
+def _left_over(shared: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, key_col: str, text_col: str, size: int) -> DataFrame:
+    """Links (a, b) across components in large buckets that hold several: members outside the bucket's main component, in
+    blocks, against all, in parts.
 
-    Rows sent are blocks times members; pairs are compared inside tasks and only those with a sufficient estimate come out.
+    A task estimates its pairs, verifies the likely ones on full sets and gives a link only where it joins two
+    components that its own links have not joined yet, so it gives fewer links than it has members. A pair is
+    compared in the first band that both share only; in a small bucket it has been compared before.
     """
     large = shared.where(F.col("members") > SMALL).select("band", "doc")
-    known = large.join(labels, large["doc"] == labels["node"], "left").select("band", "doc", F.coalesce("component", "doc").alias("component"))
-    known = materialize(known)
+    known = materialize(large.join(labels, large["doc"] == labels["node"], "left").select("band", "doc", F.coalesce("component", "doc").alias("component")))
     sizes = known.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("components"), F.sum("k").alias("g"), F.max(F.struct("k", "component")).alias("top")).where("components > 1")
-    mixed = mixed.select("band", F.col("top.component").alias("main"), (F.ceil((F.col("g") - F.col("top.k")) / SEARCH_BLOCK)).cast("int").alias("blocks"))
-    members = known.join(mixed, "band").join(reps, "doc")
-    outside = members.where("component <> main").select("band", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("query"), "doc", "component", "n", "regs")
-    every = members.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), "doc", "component", "n", "regs")
-
-    def compare(queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    blocks, parts = F.ceil((F.col("g") - F.col("top.k")) / SEARCH_BLOCK), F.ceil(F.col("g") / SEARCH_PART)
+    mixed = materialize(mixed.select("band", F.col("top.component").alias("main"), blocks.cast("int").alias("blocks"), parts.cast("int").alias("parts")))
+    inside = materialize(known.join(mixed, "band"))
+    made = _sets(inside.select("doc").distinct(), docs, key_col, text_col, size)
+    members = inside.join(reps.select("doc", "n", "regs").join(made, "doc"), "doc")
+    block, part = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("doc", F.lit(1)), F.col("parts")).cast("int")
+    fields = ["doc", "component", "n", "regs", "members"]
+    outside = materialize(members.where("component <> main").select("band", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *fields))
+    every = members.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), *fields)
+
+    def compare(key: tuple, queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
         if len(queries) and len(others):
             rq, ro = (np.frombuffer(b"".join(x["regs"]), np.uint16).reshape(-1, REGISTERS) for x in (queries, others))
             dq, do, cq, co = queries["doc"].to_numpy(), others["doc"].to_numpy(), queries["component"].to_numpy(), others["component"].to_numpy()
             nq, no = queries["n"].to_numpy(float), others["n"].to_numpy(float)
+            mq, mo = queries["members"].tolist(), others["members"].tolist()
+            band = int(np.flatnonzero(band_keys(rq[0]) == key[0])[0])
+            parent: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
             for k in range(len(dq)):
                 fit = np.flatnonzero((co != cq[k]) & (100 * np.minimum(no, nq[k]) >= MIN_PCT * np.maximum(no, nq[k])))
-                fit = fit[(ro[fit] == rq[k]).mean(1) >= MIN_ESTIMATE - 0.05] if len(fit) else fit
-                if len(fit):
-                    good = fit[estimate(np.broadcast_to(rq[k], (len(fit), REGISTERS)), ro[fit], np.full(len(fit), nq[k]), no[fit]) >= MIN_ESTIMATE]
-                    out += [(min(dq[k], d), max(dq[k], d)) for d in do[good]]
+                same = ro[fit] == rq[k]
+                # registers agree at least as often as the similarity says
+                first = same.reshape(-1, BANDS, BAND).all(2).argmax(1) == band
+                fit = fit[first & (same.sum(1) >= (MIN_ESTIMATE - 0.08) * REGISTERS)]
+                if not len(fit):
+                    continue
+                likely = estimate(np.broadcast_to(rq[k], (len(fit), REGISTERS)), ro[fit], np.full(len(fit), nq[k]), no[fit])
+                p = np.frombuffer(mq[k], np.uint64)
+                for i in np.argsort(-likely, kind="stable"):
+                    if likely[i] < MIN_ESTIMATE:
+                        break
+                    x, y = find(int(cq[k])), find(int(co[fit[i]]))
+                    if x != y and linked(p, np.frombuffer(mo[fit[i]], np.uint64)):
+                        parent[max(x, y)] = min(x, y)
+                        out.append((min(dq[k], do[fit[i]]), max(dq[k], do[fit[i]])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    outside = materialize(outside)
-    pieces = every.withColumn("part", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(16)))
-    spread = outside.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    found = spread.groupBy("band", "block", "part").cogroup(pieces.groupBy("band", "block", "part")).applyInPandas(compare, "a long, b long")
-    return materialize(found.distinct())
+    key = ["band", "block", "part"]
+    return materialize(outside.groupBy(*key).cogroup(every.groupBy(*key)).applyInPandas(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -239,11 +283,12 @@ def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
     copies = materialize(sets.select("doc", "same").join(first, "same").select("doc", "rep").distinct())
     reps = materialize(sets.join(first, "same").where("doc = rep").select("doc", "n", "regs", "same").dropDuplicates(["doc", "same"]).drop("same"))
     pairs, shared = _pairs(_bands(reps))
-    links = materialize(_verified(materialize(_estimated(pairs, reps)), docs, key_col, text_col, size))
-    labels = connected_components(links)
-    more = _left_over(shared, labels, reps)
-    if more.limit(1).count():
-        links = links.union(materialize(_verified(more, docs, key_col, text_col, size)))
+    likely = materialize(_estimated(pairs, reps))
+    best = materialize(likely.groupBy("b").agg(F.max_by("a", F.struct("similarity", "a")).alias("a")).select("a", "b"))
+    links = materialize(_verified(best, docs, key_col, text_col, size))
+    others = materialize(_across(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), connected_components(links)))
+    links = links.union(materialize(_verified(others, docs, key_col, text_col, size)))
+    links = links.union(_left_over(shared, connected_components(links), reps, docs, key_col, text_col, size))
     edges = links.union(copies.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")))
     final = connected_components(edges)
     out = sketched.join(final, sketched["doc"] == final["node"], "left")
