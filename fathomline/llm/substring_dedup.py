@@ -19,26 +19,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import materialize, texts
+from fathomline.llm.common import key_filter, key_slot, materialize, passes, texts
+from fathomline.llm.word_hash import mixed, of_column
 
 WINDOW, GRAM = 13, 7
 #: Hash rows of the sketch, and the least and largest number of counters of a row as powers of two.
-ROWS, LEAST_BITS, MOST_BITS = 2, 16, 27
-#: Bits of the filter of documents that lose words, as a power of two.
-FILTER_BITS = 26
+ROWS, LEAST_BITS, MOST_BITS = 3, 16, 27
 #: Counters of a block that is merged on its own, as a power of two.
 BLOCK_BITS = 22
 #: Sketches merged at once; bytes of text for which a task makes a sketch at least.
 FAN_IN, BYTES_PER_SKETCH = 32, 2_000_000_000
 #: Bytes of text for each counter.
 BYTES_A_COUNTER = 6
-#: Remembered word hashes of a worker; texts whose words are hashed together.
-MEMORY, CHUNK_BYTES = 500_000, 2_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -47,29 +43,15 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-class _Hashes(dict):
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > MEMORY:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def window_keys(word_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of every WINDOW consecutive word hashes."""
     n = len(word_hashes) - WINDOW + 1
     a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    other = _mixed(word_hashes)
+    other = mixed(word_hashes)
     for j in range(WINDOW):
         a = a * _A + word_hashes[j : j + n]
         b = b * _B + other[j : j + n]
-    return _mixed(a), _mixed(b)
+    return mixed(a), mixed(b)
 
 
 def minimizers(word_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,54 +60,38 @@ def minimizers(word_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     g = np.zeros(n, np.uint64)
     for j in range(GRAM):
         g = g * _B + word_hashes[j : j + n]
-    g = _mixed(g)
+    g = mixed(g)
     m = n - (WINDOW - GRAM)
     least, at = g[:m].copy(), np.arange(m)
     for j in range(1, WINDOW - GRAM + 1):
         less = g[j : j + m] < least
         least[less] = g[j : j + m][less]
         at[less] = np.flatnonzero(less) + j
-    return _mixed(least), at
+    return mixed(least), at
 
 
-class _Chunk:
+class _Windows:
     """Windows of consecutive texts: minimizers, those to count, keys a and b, the text's number and the window's first word."""
 
-    def __init__(self, chunk: list[list[bytes]], hashes: _Hashes, keys: bool):
-        sizes = np.array([len(w) for w in chunk])
-        flat = np.fromiter((hashes[w] for ws in chunk for w in ws), np.uint64, int(sizes.sum()))
-        if len(flat) < WINDOW:
+    def __init__(self, words: np.ndarray, text: np.ndarray, keys: bool):
+        if len(words) < WINDOW:
             self.least = self.counted = self.a = self.b = np.zeros(0, np.uint64)
             self.text = self.place = np.zeros(0, np.int64)
             return
-        least, at = minimizers(flat)
-        text = np.repeat(np.arange(len(chunk)), sizes)
+        least, at = minimizers(words)
         inside = text[: len(least)] == text[WINDOW - 1 :]
         self.least, at = least[inside], at[inside]
         self.counted = self.least[np.r_[True, at[1:] != at[:-1]]] if len(at) else self.least
         if not keys:
             return
-        self.a, self.b = (x[inside] for x in window_keys(flat))
-        self.text = text[: len(inside)][inside]
-        self.place = (np.arange(len(inside)) - np.repeat(np.cumsum(sizes) - sizes, sizes)[: len(inside)])[inside]
-
-
-def _chunks(batch: pa.RecordBatch, text_at: int, hashes: _Hashes, keys: bool) -> Iterator[tuple[int, list[list[bytes]], _Chunk]]:
-    """Row number of the first text, words of each text, and windows, for about CHUNK_BYTES of text at a time."""
-    first, chunk, size = 0, [], 0
-    for k, t in enumerate(texts(batch.column(text_at))):
-        chunk.append(split_words(t))
-        size += len(t or "")
-        if size >= CHUNK_BYTES:
-            yield first, chunk, _Chunk(chunk, hashes, keys)
-            first, chunk, size = k + 1, [], 0
-    if chunk:
-        yield first, chunk, _Chunk(chunk, hashes, keys)
+        self.a, self.b = (x[inside] for x in window_keys(words))
+        first = np.searchsorted(text, text, side="left")[: len(inside)]  # the text's first word
+        self.text, self.place = text[: len(inside)][inside], (np.arange(len(inside)) - first)[inside]
 
 
 def _cells(least: np.ndarray, bits: int, row: int) -> np.ndarray:
     """The counters of minimizers in a row of the sketch."""
-    return (_mixed(least + np.uint64(row) * _A) >> np.uint64(64 - bits)).astype(np.uint32)
+    return (mixed(least + np.uint64(row) * _A) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 def _set(bits: np.ndarray, cells: np.ndarray) -> None:
@@ -163,14 +129,15 @@ def _sketches(docs: DataFrame, bits: int) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        sketch, hashes = Sketch(bits), _Hashes()
+        sketch = Sketch(bits)
         waiting, n = [[] for _ in range(ROWS)], 0
         for batch in batches:
-            for _, _, c in _chunks(batch, 0, hashes, False):
+            for _, _, words, text in of_column(batch.column(0)):
+                c = _Windows(words, text, False)
                 for row in range(ROWS):
                     waiting[row].append(_cells(c.counted, bits, row))
                 n += len(c.counted)
-                if n > 4_000_000:
+                if n > 1_000_000:
                     sketch.add(waiting)
                     waiting, n = [[] for _ in range(ROWS)], 0
         if n:
@@ -222,11 +189,12 @@ def estimated_repeated(docs: DataFrame, bits: int, rows, places: bool, text_col:
     """Windows estimated repeated as (a, b, key) and, with ``places``, text_hash and place; without, one row a key and chunk of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice, hashes = rows.value, _Hashes()
+        twice = rows.value
         for batch in batches:
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             marks = batch.column(2).to_numpy(zero_copy_only=False)
-            for first, _, c in _chunks(batch, 0, hashes, True):
+            for first, _, words, text in of_column(batch.column(0)):
+                c = _Windows(words, text, True)
                 kept = np.arange(len(c.least))
                 for row in range(ROWS):
                     cells = _cells(c.least[kept], bits, row)
@@ -271,40 +239,21 @@ def deduplicate(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id"
         .groupBy("key", "mark").agg(F.sort_array(F.collect_set("place")).alias("places"))
     )
     runs = materialize(removed.select("key", "mark", _runs(F.col("places")).alias("runs")))
-    affected = spark.sparkContext.broadcast(_filter(runs))
-    tested = _tested(found, affected)
-    joined = tested.where("_hit").join(runs, (F.col(key_col) == runs["key"]) & (F.col("_mark") == runs["mark"]), "left").select(key_col, text_col, "runs")
-    untouched = tested.where(~F.col("_hit")).select(key_col, text_col, F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
-    return _without(joined.union(untouched), text_col, key_col, kept_col)
-
-
-def _slot(key, mark):
-    """A slot of the filter, from 1 on as the bitmap functions number them."""
-    return F.pmod(F.xxhash64(key, mark), F.lit(1 << FILTER_BITS)) + 1
-
-
-def _filter(runs: DataFrame) -> np.ndarray:
-    """Bits of the documents that lose words, of fixed size."""
-    slots = runs.select(_slot("key", "mark").alias("slot"))
-    blocks = slots.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in blocks.toLocalIterator():
-        at = (r["block"] - 1) * 4096
-        out[at : at + 4096] |= np.frombuffer(r["bits"], np.uint8)
-    return out
+    affected = spark.sparkContext.broadcast(key_filter(runs.select("key", "mark")))
+    slotted = found.withColumn("_slot", key_slot(key_col, "_mark"))
+    touched = _let_through(slotted, affected).join(runs.hint("merge"), (F.col(key_col) == runs["key"]) & (F.col("_mark") == runs["mark"]), "left").select(key_col, text_col, "runs")
+    kept = _without(touched, text_col, key_col, kept_col, None)
+    return kept.union(_without(slotted.select(key_col, text_col, "_slot"), text_col, key_col, kept_col, affected))
 
 
-def _tested(found: DataFrame, bits) -> DataFrame:
-    """Adds ``_hit``: whether the filter allows that the document loses words."""
-    withslot = found.withColumn("_slot", _slot(F.col(found.columns[0]), F.col("_mark")))
+def _let_through(slotted: DataFrame, bits) -> DataFrame:
+    """The documents that the filter of those that lose words lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("_slot").to_numpy(zero_copy_only=False) - 1
-            hit = bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1
-            yield batch.set_column(batch.num_columns - 1, "_hit", pa.array(hit.astype(bool)))
+            yield batch.filter(pa.array(passes(bits.value, batch.column("_slot").to_numpy(zero_copy_only=False))))
 
-    return withslot.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("_hit", T.BooleanType(), False)]))
+    return slotted.mapInArrow(run, slotted.schema)
 
 
 def _runs(places):
@@ -315,20 +264,28 @@ def _runs(places):
     return F.arrays_zip(starts.alias("start"), ends.alias("end"))
 
 
-def _without(df: DataFrame, text_col: str, key_col: str, kept_col: str) -> DataFrame:
+def _without(df: DataFrame, text_col: str, key_col: str, kept_col: str, ruled_out) -> DataFrame:
+    """Texts without the words in their runs; with ``ruled_out`` (key, text, slot), whole texts of those that this filter rules out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for t, runs in zip(texts(batch.column(1)), batch.column(2), strict=True):
-                words = split_words(t)
-                n_words.append(len(words))
-                out, done = [], 0
-                for r in runs.as_py() or []:
-                    out += words[done : r["start"]]
-                    done = r["end"]
-                out += words[done:]
-                n_removed.append(len(words) - len(out))
-                kept.append(b" ".join(out))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[key_col, "n_words", "n_removed", kept_col])
+            if ruled_out is not None:
+                batch = batch.filter(pa.array(~passes(ruled_out.value, batch.column(2).to_numpy(zero_copy_only=False))))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                n_words, n_removed, kept = [], [], []
+                for k, t in enumerate(texts(part.column(1))):
+                    words = split_words(t)
+                    n_words.append(len(words))
+                    runs = None if ruled_out is not None else part.column(2)[k].as_py()
+                    if runs:
+                        out, done = [], 0
+                        for r in runs:
+                            out += words[done : r["start"]]
+                            done = r["end"]
+                        words = out + words[done:]
+                    n_removed.append(n_words[-1] - len(words))
+                    kept.append(b" ".join(words))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[key_col, "n_words", "n_removed", kept_col])
 
     return df.mapInArrow(run, T.StructType([T.StructField(key_col, T.LongType()), T.StructField("n_words", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField(kept_col, T.StringType(), False)]))
