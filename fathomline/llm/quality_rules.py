@@ -89,18 +89,13 @@ def host_verdicts(judged: DataFrame, host_col: str = "host") -> DataFrame:
     The beta prior has the mean of all hosts' rates and the strength that their spread leaves beyond chance
     (method of moments); with no spread or one host it is the overall rate with the weight of 100 documents.
     """
-    hosts = judged.groupBy(host_col).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
+    hosts = materialize(judged.groupBy(host_col).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")))
     r = F.col("n_failed") / F.col("n_docs")
-    mean, spread = F.col("_mean"), F.col("_var") - F.col("_chance")
-    prior = hosts.agg(
-        (F.sum("n_failed") / F.sum("n_docs")).alias("_mean"), F.coalesce(F.var_samp(r), F.lit(0.0)).alias("_var"), F.avg(r * (1 - r) / F.col("n_docs")).alias("_chance")
-    ).select(
-        mean.alias("_mean"),
-        F.least(F.lit(10_000.0), F.greatest(F.lit(1.0), F.when(spread > 0, mean * (1 - mean) / spread - 1).otherwise(F.lit(100.0)))).alias("_weight"),
-    )
-    joined = hosts.crossJoin(F.broadcast(prior))  # one row
-    rate = (F.col("n_failed") + F.col("_weight") * F.col("_mean")) / (F.col("n_docs") + F.col("_weight"))
-    return joined.select(host_col, "n_docs", "n_failed", rate.alias("rate"), (rate <= MAX_HOST_RATE).alias("trusted"))
+    p = hosts.agg((F.sum("n_failed") / F.sum("n_docs")).alias("mean"), F.coalesce(F.var_samp(r), F.lit(0.0)).alias("var"), F.avg(r * (1 - r) / F.col("n_docs")).alias("chance")).first()
+    mean, spread = p["mean"] or 0.0, p["var"] - (p["chance"] or 0.0)
+    weight = min(10_000.0, max(1.0, mean * (1 - mean) / spread - 1 if spread > 0 else 100.0))
+    rate = (F.col("n_failed") + weight * mean) / (F.col("n_docs") + weight)
+    return hosts.select(host_col, "n_docs", "n_failed", rate.alias("rate"), (rate <= MAX_HOST_RATE).alias("trusted"))
 
 
 def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", keep: list[str] | None = None) -> DataFrame:
@@ -113,7 +108,7 @@ def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", keep:
     named = df.withColumn("_host", F.coalesce(F.col(host_col).cast("string"), F.lit("")))
     found = materialize(document_figures(named, text_col, [*keep, "_host"]))
     judged = found.withColumn("base_failed", base_failed()).withColumn("failed", soft_failed() | F.col("base_failed"))
-    hosts = materialize(host_verdicts(judged, "_host"))
+    hosts = host_verdicts(judged, "_host")
     few = hosts.count() <= BROADCAST_HOSTS
     verdict = hosts.select("_host", F.col("rate").alias("host_rate"), "trusted")
     return judged.join(F.broadcast(verdict) if few else verdict, "_host", "left").select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, html_extract, language_id, license_scan, near_dedup, pii, quality_rules, sentencepiece_codec, substring_dedup, token_counts
+from fathomline.llm import decontaminate, html_extract, language_id, license_scan, near_dedup, oracles, pii, quality_rules, sentencepiece_codec, substring_dedup, token_counts
 from fathomline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,7 +90,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its quality figures and whether it is kept, given its host's verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality_rules.judge(docs, keep=["doc_id"])
+    return quality_rules.judge(docs, keep=["doc_id"]).drop("host_rate")
 
 
 def queries() -> dict[str, Query]:
@@ -98,4 +98,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -91,7 +91,7 @@ class _Windows:
 
 def _cells(least: np.ndarray, bits: int, row: int) -> np.ndarray:
     """The counters of minimizers in a row of the sketch."""
-    return (mixed(least + np.uint64(row) * _A) >> np.uint64(64 - bits)).astype(np.uint32)
+    return (mixed(least + np.uint64(row * int(_A) % 2**64)) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 def _set(bits: np.ndarray, cells: np.ndarray) -> None:
