@@ -245,23 +245,24 @@ def _left_over(shared: DataFrame, labels: DataFrame, reps: DataFrame, docs: Data
                     x = parent[x]
                 return x
 
+            left, right = [], []
             for k in range(len(dq)):
-                fit = np.flatnonzero((co != cq[k]) & (100 * np.minimum(no, nq[k]) >= MIN_PCT * np.maximum(no, nq[k])))
-                same = ro[fit] == rq[k]
-                # registers agree at least as often as the similarity says
-                first = same.reshape(-1, BANDS, BAND).all(2).argmax(1) == band
-                fit = fit[first & (same.sum(1) >= (MIN_ESTIMATE - 0.08) * REGISTERS)]
-                if not len(fit):
-                    continue
-                likely = estimate(np.broadcast_to(rq[k], (len(fit), REGISTERS)), ro[fit], np.full(len(fit), nq[k]), no[fit])
-                p = np.frombuffer(mq[k], np.uint64)
-                for i in np.argsort(-likely, kind="stable"):
-                    if likely[i] < MIN_ESTIMATE:
-                        break
-                    x, y = find(int(cq[k])), find(int(co[fit[i]]))
-                    if x != y and linked(p, np.frombuffer(mo[fit[i]], np.uint64)):
-                        parent[max(x, y)] = min(x, y)
-                        out.append((min(dq[k], do[fit[i]]), max(dq[k], do[fit[i]])))
+                same = ro == rq[k]
+                # registers agree at least as often as the similarity says; equal bytes are counted eight at a time
+                often = np.bitwise_count(same.view(np.uint64)).sum(1) >= (MIN_ESTIMATE - 0.08) * REGISTERS
+                fit = np.flatnonzero(often & (co != cq[k]) & (100 * np.minimum(no, nq[k]) >= MIN_PCT * np.maximum(no, nq[k])))
+                fit = fit[same[fit].reshape(-1, BANDS, BAND).all(2).argmax(1) == band]
+                left.append(np.full(len(fit), k))
+                right.append(fit)
+            i, j = np.concatenate(left), np.concatenate(right)
+            likely = np.concatenate([np.zeros(0), *(estimate(rq[i[x : x + 20_000]], ro[j[x : x + 20_000]], nq[i[x : x + 20_000]], no[j[x : x + 20_000]]) for x in range(0, len(i), 20_000))])
+            order = np.argsort(-likely, kind="stable")
+            for x in order[: int((likely >= MIN_ESTIMATE).sum())]:
+                q, o = i[x], j[x]
+                a, b = find(int(cq[q])), find(int(co[o]))
+                if a != b and linked(np.frombuffer(mq[q], np.uint64), np.frombuffer(mo[o], np.uint64)):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((min(dq[q], do[o]), max(dq[q], do[o])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     key = ["band", "block", "part"]
