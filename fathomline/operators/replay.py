@@ -84,6 +84,29 @@ def resting_series(found: DataFrame, targets: DataFrame, bucket: int = 1 << 12)
     return near.join(t, ["pair_id", "bucket"]).where(on).select("pair_id", "ledger_seq", "offer_id", "side", "price_n", "price_d", "amount")
 
 
+def resting_totals(found: DataFrame, targets: DataFrame, bucket: int = 1 << 8) -> DataFrame:
+    """(pair_id, ledger_seq, side, offers, amount) of what rests at every (pair_id, ledger_seq) of ``targets``; sides where nothing rests have no row.
+
+    A version adds itself at its first ledger and takes itself away at the next event's; these changes are summed by
+    pair, side and ledger before the running sum, so versions never meet targets. The running sum goes over buckets
+    of ledgers first and then within each, so no group holds more rows than the ledgers of a bucket or the buckets.
+    """
+    total, key = "decimal(38,7)", ["pair_id", "side"]
+    spans = found.where(F.col("amount").isNotNull())
+    change = lambda toid, sign: F.struct(X.toid_ledger(F.col(toid)).alias("ledger_seq"), F.lit(sign).cast("bigint").alias("offers"), (F.col("amount") * sign).cast(total).alias("amount"), F.lit(False).alias("wanted"))
+    changes = spans.select(*key, F.explode(F.array(change("toid", 1), change("next_toid", -1))).alias("c")).select(*key, "c.*").where(F.col("ledger_seq").isNotNull())
+    asked = targets.select("pair_id", F.explode(F.array(F.lit("ask"), F.lit("bid"))).alias("side"), "ledger_seq", F.lit(0).cast("bigint").alias("offers"), F.lit(0).cast(total).alias("amount"), F.lit(True).alias("wanted"))
+    summed = changes.unionByName(asked).groupBy(*key, "ledger_seq").agg(F.sum("offers").alias("offers"), F.sum("amount").cast(total).alias("amount"), F.bool_or("wanted").alias("wanted"))
+    summed = summed.withColumn("bucket", F.floor(F.col("ledger_seq") / bucket))
+    earlier = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = summed.groupBy(*key, "bucket").agg(F.sum("offers").alias("o"), F.sum("amount").cast(total).alias("a"))
+    before = buckets.select(*key, "bucket", F.coalesce(F.sum("o").over(earlier), F.lit(0)).alias("o"), F.coalesce(F.sum("a").over(earlier), F.lit(0)).cast(total).alias("a"))
+    within = Window.partitionBy(*key, "bucket").orderBy("ledger_seq").rowsBetween(Window.unboundedPreceding, 0)
+    inside = summed.select(*key, "bucket", "ledger_seq", "wanted", F.sum("offers").over(within).alias("offers"), F.sum("amount").over(within).cast(total).alias("amount"))
+    out = inside.where("wanted").join(before, [*key, "bucket"]).select("pair_id", "ledger_seq", "side", (F.col("offers") + F.col("o")).alias("offers"), (F.col("amount") + F.col("a")).cast(total).alias("amount"))
+    return out.where(F.col("offers") > 0)
+
+
 def book_from_offers(resting: DataFrame) -> DataFrame:
     """Book levels: asks as they are, bids with the price inverted and the amount in base units; one level a fraction."""
     bid = F.col("side") == "bid"

@@ -80,11 +80,11 @@ def holder_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offer_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sets ('A') and deletes ('N') of the offer numbered by the order, at the ledger of the ship date."""
+    """Sets ('A') and deletes ('N') of the offer numbered by the order, at the ledger of the ship date; the order's number gives the pair."""
     l = _read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") != "R")  # noqa: E741
     deleted = F.col("l_returnflag") == "N"
     return l.select(
-        F.lit(0).cast("bigint").alias("pair_id"), _toid().alias("toid"), F.when(deleted, "deleted").otherwise("set").alias("effect"), F.when(deleted, 0).otherwise(F.col("l_orderkey")).alias("offer_id"),
+        (F.col("l_orderkey") % 50).alias("pair_id"), _toid().alias("toid"), F.when(deleted, "deleted").otherwise("set").alias("effect"), F.when(deleted, 0).otherwise(F.col("l_orderkey")).alias("offer_id"),
         F.when(deleted, F.col("l_orderkey")).otherwise(0).alias("submitted_offer_id"), F.when(F.col("l_linestatus") == "F", "bid").otherwise("ask").alias("side"), F.col("l_quantity").cast("decimal(19,7)").alias("amount"),
         (F.col("l_suppkey") + 1).alias("price_n"), (F.round(F.col("l_discount") * 100).cast("bigint") + 1).alias("price_d"),
     )
@@ -92,7 +92,7 @@ def offer_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def offer_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = _read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")  # noqa: E741
-    return l.select(F.lit(0).cast("bigint").alias("pair_id"), _toid().alias("toid"), (F.col("l_partkey") % 1000).cast("int").alias("fill_index"), F.col("l_orderkey").alias("offer_id"), (F.col("l_quantity") / 10).cast("decimal(19,7)").alias("amount"))
+    return l.select((F.col("l_orderkey") % 50).alias("pair_id"), _toid().alias("toid"), (F.col("l_partkey") % 1000).cast("int").alias("fill_index"), F.col("l_orderkey").alias("offer_id"), (F.col("l_quantity") / 10).cast("decimal(19,7)").alias("amount"))
 
 
 def _toid():

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.functions import exact as X
 from fathomline.operators import accounts, book, bounds, compare, holders, replay, risk, store, trades
 from fathomline.plans import adapters as A
 
@@ -327,14 +328,19 @@ REPLAY = """ev AS (SELECT l_orderkey AS o, (date_diff('day', DATE '1995-01-01',
   l_returnflag AS f, CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) * 10 END AS q10 FROM lineitem)"""
 
 
-@query("")
+@query("""WITH ev AS (SELECT l_orderkey AS o, l_orderkey % 50 AS pair_id, (date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)))::BIGINT AS d, l_linenumber * 1000000 + l_suppkey AS k, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS cls, CASE WHEN l_returnflag = 'R' THEN l_partkey % 1000 ELSE 0 END AS fi,
+  l_returnflag AS f, CASE WHEN l_linestatus = 'F' THEN 'bid' ELSE 'ask' END AS side, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+e AS (SELECT *, count(*) FILTER (f <> 'R') OVER (w ROWS UNBOUNDED PRECEDING) AS epoch, lead(d) OVER w AS until FROM ev WHERE o <> 0 WINDOW w AS (PARTITION BY o ORDER BY d, k, cls, fi)),
+v AS (SELECT pair_id, d, until, max(side) FILTER (f = 'A') OVER w AS side, max(q) FILTER (f = 'A') OVER w * 10 - coalesce(sum(q) FILTER (f = 'R') OVER w, 0) AS tenths FROM e WINDOW w AS (PARTITION BY o, epoch ORDER BY d, k, cls, fi ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT * FROM v WHERE tenths > 0 AND (until IS NULL OR until > d)),
+t AS (SELECT DISTINCT pair_id, d AS ledger_seq FROM ev)
+SELECT t.pair_id, t.ledger_seq, side, count(*) AS offers, CAST(sum(tenths) AS DOUBLE) / 10 AS amount FROM t JOIN s ON t.pair_id = s.pair_id AND s.d <= t.ledger_seq AND (until IS NULL OR until > t.ledger_seq) GROUP BY ALL""")
 def replay_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resting offers, their amount and sides at several ledgers; brute-force fold in the tests."""
-    v = replay.versions(replay.events(A.offer_ops(spark, sf_dir), A.offer_trades(spark, sf_dir)))
-    ops = A.offer_ops(spark, sf_dir)
-    targets = ops.select("pair_id", F.shiftright("toid", 32).alias("ledger_seq")).where(F.col("ledger_seq") % 250 == 0).distinct()
-    r = replay.resting_series(v, targets)
-    return r.groupBy("pair_id", "ledger_seq", "side").agg(F.count(F.lit(1)).alias("offers"), F.sum("amount").cast("double").alias("amount"))
+    """Resting offers and their amount on each side of every pair, at every ledger with an operation or a trade of the pair."""
+    ops, fills = A.offer_ops(spark, sf_dir), A.offer_trades(spark, sf_dir)
+    v = replay.versions(replay.events(ops, fills))
+    targets = ops.select("pair_id", X.toid_ledger(F.col("toid")).alias("ledger_seq")).union(fills.select("pair_id", X.toid_ledger(F.col("toid")).alias("ledger_seq"))).distinct()
+    return replay.resting_totals(v, targets).select("pair_id", "ledger_seq", "side", "offers", F.col("amount").cast("double").alias("amount"))
 
 
 @query(f"WITH {REPLAY} SELECT count(DISTINCT o) AS missing FROM ev WHERE f = 'R' AND o <> 0 AND o NOT IN (SELECT o FROM ev WHERE f <> 'R')")

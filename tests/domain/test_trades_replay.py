@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import exact as X
 from fathomline.operators import bounds, holders, replay, trades
+from fathomline.plans import registry
+
+DATA = "/root/testdata/sf0.001"
 
 
 def fold(events, target):
@@ -47,6 +50,42 @@ def test_replay_is_the_fold(spark):
     assert got == {t: b for t in (3, 5, 17, 30) if (b := fold(events, t))}
 
 
+def test_replay_series_has_every_ledger(spark):
+    """The registered query against a fold over all line items, read here without its adapters."""
+    days = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
+    log = spark.read.parquet(f"{DATA}/lineitem.parquet").select(days.alias("day"), "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus", "l_quantity").collect()
+    events = sorted((r["day"], r["l_linenumber"] * 1_000_000 + r["l_suppkey"], r["l_returnflag"] != "R", r["l_partkey"] % 1000 if r["l_returnflag"] == "R" else 0, r["l_orderkey"], r["l_returnflag"], r["l_linestatus"], int(r["l_quantity"])) for r in log)
+    want, books = {}, {}
+    for day, _, _, _, order, flag, status, quantity in events:
+        book = books.setdefault(order % 50, {})
+        if order == 0:  # no offer
+            pass
+        elif flag == "A":
+            book[order] = ("bid" if status == "F" else "ask", quantity * 10)
+        elif flag == "N":
+            book.pop(order, None)
+        elif order in book:
+            book[order] = (book[order][0], book[order][1] - quantity)
+            if book[order][1] <= 0:
+                del book[order]
+        for side in ("bid", "ask"):
+            rest = [a for s, a in book.values() if s == side]
+            want[order % 50, day, side] = (len(rest), sum(rest) / 10)
+    got = {(r["pair_id"], r["ledger_seq"], r["side"]): (r["offers"], r["amount"]) for r in registry.replay_series(spark, DATA).collect()}
+    assert got == {k: x for k, x in want.items() if x[0]}
+
+
+def test_replay_totals_are_the_sums_of_the_series(spark):
+    rng = random.Random(8)
+    ids = [(rng.randrange(3), rng.randrange(-20, 60) << 32, rng.randrange(1, 9)) for _ in range(300)]
+    df = spark.createDataFrame([(p, o, t + i, rng.choice(["set", "delete", "trade"]), 0, D(rng.randrange(1, 20)), rng.choice(["ask", "bid"]), 1, 1) for i, (p, t, o) in enumerate(ids)], "pair_id bigint, offer_id bigint, toid bigint, kind string, fill_index int, amount decimal(19,7), side string, price_n bigint, price_d bigint")
+    v = replay.versions(df).cache()
+    targets = spark.createDataFrame([(p, t) for p in range(4) for t in range(-25, 65)], "pair_id bigint, ledger_seq bigint")
+    want = replay.resting_series(v, targets, bucket=8).groupBy("pair_id", "ledger_seq", "side").agg(F.count(F.lit(1)), F.sum("amount").cast("double"))
+    got = replay.resting_totals(v, targets, bucket=8).withColumn("amount", F.col("amount").cast("double"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_upper_median(spark):
     df = spark.createDataFrame([("a", x) for x in (1.1, 2.2, 3.3, 4.4)] + [("b", 5.0), ("b", None)], "k string, x double")
     assert {r["k"]: r["m"] for r in trades.upper_median(df, ["k"], "x", "m").collect()} == {"a": 3.3, "b": 5.0}
