@@ -29,8 +29,8 @@ SHINGLE, MIN_PCT = 5, 80
 #: Registers: BANDS bands of BAND registers; base of the spacing and rate of the exponential values.
 BANDS, BAND, BASE, RATE = 40, 5, 1.05, 20.0
 REGISTERS = BANDS * BAND
-#: Estimates from here on are verified: over four standard deviations below the threshold.
-MIN_ESTIMATE = 0.68
+#: Estimates from here on are verified: six standard deviations below the threshold.
+MIN_ESTIMATE = 0.62
 #: Buckets up to this many representatives are compared in full; queries of a block and members of a part in the exhaustive search.
 SMALL, SEARCH_BLOCK, SEARCH_PART = 12, 256, 5_000
 MEMORY = 500_000

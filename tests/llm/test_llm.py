@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,16 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got == brute_near(docs_, 4)
 
 
+def test_a_link_with_a_low_estimate(spark):
+    """A pair at exactly 80 % whose registers say 67 %: it must reach verification."""
+    w = [f"w{i}" for i in (821, 118, 1390, 674, 935, 701, 556, 291, 1967, 700)]
+    docs_ = [(1, " ".join(w[:9])), (2, " ".join(w[:8] + w[9:]))]
+    a, b = (near_dedup.registers(near_dedup.shingles(t, near_dedup._Hashes(), 1))[None] for _, t in docs_)
+    assert 0.62 < near_dedup.estimate(a, b, np.array([9.0]), np.array([9.0]))[0] < 0.68
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(docs_, "doc_id bigint, text string"), size=1).collect())
+    assert got == brute_near(docs_, 1) == [(1, 9, 1, True), (2, 9, 1, False)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
