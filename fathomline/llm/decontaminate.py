@@ -1,7 +1,7 @@
 """Operator 3: benchmark decontamination by pigeonhole edit matching.
 
 A test item with an error budget of k edits is split into k + 1 pieces: within k edits of the item at least one
-piece stands unchanged. An Aho-Corasick automaton finds every piece in every text, each hit gives a window around
+piece stands unchanged; an item too short for an edit is its one piece. An Aho-Corasick automaton finds every piece in every text, each hit gives a window around
 the place where the item would stand, and Myers' bit-parallel distance decides whether the item stands there within
 its budget. Texts are read once for each block of items; a block is bounded in characters, so what goes to the tasks
 does not grow with the benchmark or the texts.
@@ -23,8 +23,6 @@ from fathomline.llm.common import texts
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 20
-#: Shorter items (after normalising) say too little to tell a leak and are not searched for.
-SHORTEST_ITEM = 20
 #: Characters of normalised items in a block.
 BLOCK_CHARS = 8_000_000
 _SPACE = re.compile(r"[\W_]+")
@@ -68,7 +66,7 @@ class Items:
     """A block of normalised items, their pieces and an automaton over the pieces."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t, len(t) // CHARS_PER_EDIT) for i, t in items if len(t) >= SHORTEST_ITEM]
+        self.items = [(i, t, len(t) // CHARS_PER_EDIT) for i, t in items if t]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k) in enumerate(self.items):
             cuts = [len(t) * x // (k + 1) for x in range(k + 2)]
@@ -82,7 +80,7 @@ class Items:
 
     def matches(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item id, distance, end in the normalised text) of each item found, at its best place."""
-        if not self.items or len(t := normalise(text)) < SHORTEST_ITEM - 1:
+        if not self.items or not (t := normalise(text)):
             return []
         found: dict[int, tuple[int, int]] = {}
         tried: dict[int, int] = {}
@@ -94,6 +92,8 @@ class Items:
                 if (n in found and found[n][0] == 0) or tried.get(n) == start:
                     continue
                 tried[n] = start
+                if not budget and (t[start - 1 : start].strip() or t[end + 1 : end + 2].strip()):
+                    continue
                 a = max(0, start - budget)
                 window = t[a : start + len(item) + budget]
                 exact = window.find(item)
@@ -120,8 +120,9 @@ def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep:
     """``keep`` columns with ``hits_col``: array of (item_id, distance, end) of the test items found in each text.
 
     An item is found where its least edit distance to a part of the normalised text is within its budget of one
-    edit for CHARS_PER_EDIT characters; each item is listed once a text, at its least distance. A null or empty text
-    has none, null items are no items, an empty benchmark finds nothing. Copies and repeated rows are each searched.
+    edit for CHARS_PER_EDIT characters; a shorter item has no budget and is found where it stands as whole words.
+    Each item is listed once a text, at its least distance. A null or empty text has none, null items and items
+    without letters and digits are no items, an empty benchmark finds nothing. Copies and repeated rows are each searched.
     """
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     names = []

@@ -170,6 +170,14 @@ def test_contamination(spark, empty):
     assert decontaminate.leaks(empty, bench).count() == 0
 
 
+def test_short_items_are_searched(spark):
+    """Items too short for an edit: exact, as whole words, at any place, also where the document is as short."""
+    bench = spark.createDataFrame([(1, "Why me?"), (2, "为什么"), (3, "me"), (4, "?!")], "item_id bigint, text string")
+    docs_ = [(1, "why, ME"), (2, "so: why me now"), (3, "why men"), (4, "home me"), (5, "说 为什么 呢"), (6, "me"), (7, "why m"), (8, "?!")]
+    got = decontaminate.leaks(spark.createDataFrame(docs_, "doc_id bigint, text string"), bench)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0), (1, 3, 0), (2, 1, 0), (2, 3, 0), (4, 3, 0), (5, 2, 0), (6, 3, 0)]
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
