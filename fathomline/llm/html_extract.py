@@ -178,12 +178,15 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 
 def train(pages: DataFrame, html_col: str = "html", key_col: str = "page_id") -> dict[str, float]:
-    """Weights from at most TRAINING_PAGES pages that mark their article, chosen by a hash of ``key_col``."""
-    marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]")).select(html_col, F.xxhash64(key_col).alias("_order"))
+    """Weights from the TRAINING_PAGES pages that mark their article and have the smallest hashes of ``key_col`` and page, at every size."""
+    marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]")).select(html_col, F.xxhash64(key_col, html_col).alias("_order"))
+    first = lambda rows: [r[0] for r in rows.orderBy("_order", html_col).limit(TRAINING_PAGES).collect()]
     n = marked.count()
-    if n > 4 * TRAINING_PAGES:  # a sample by the same hash, so that tasks send the driver few pages more than it keeps
-        marked = marked.where(F.pmod("_order", F.lit(1_000_000)) < int(2_000_000 * TRAINING_PAGES / n))
-    return fit([r[0] for r in marked.orderBy("_order", html_col).limit(TRAINING_PAGES).collect()])
+    if n > 4 * TRAINING_PAGES:  # below this bound lie about twice the pages wanted, so that tasks send the driver few more than it keeps
+        found = first(marked.where(F.col("_order") < int(2**65 * TRAINING_PAGES / n) - 2**63))
+        if len(found) == TRAINING_PAGES:
+            return fit(found)
+    return fit(first(marked))
 
 
 def extract(pages: DataFrame, weights: dict[str, float], html_col: str = "html", keep: list[str] | None = None, text_col: str = "text") -> DataFrame:

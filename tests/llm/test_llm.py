@@ -369,6 +369,18 @@ def test_main_text(spark):
     assert html_extract.extract(df.where("false"), {}).count() == 0
 
 
+def test_training_pages_by_one_rule(spark, monkeypatch):
+    """Few or many marked pages, distinct or equal keys: always those with the smallest hashes train."""
+    monkeypatch.setattr(html_extract, "TRAINING_PAGES", 5)
+    monkeypatch.setattr(html_extract, "fit", lambda found: found)
+    for n, keys in ((15, 15), (200, 200), (200, 1), (200, 3)):
+        df = spark.createDataFrame([(i % keys, f"<main><p>page {i}</p></main>") for i in range(n)], "page_id bigint, html string")
+        want = [r["html"] for r in df.orderBy(F.xxhash64("page_id", "html")).limit(5).collect()]
+        assert html_extract.train(df) == want
+    copies = spark.createDataFrame([(1, "<main>a</main>")] * 200, "page_id bigint, html string")
+    assert html_extract.train(copies) == ["<main>a</main>"] * 5
+
+
 def test_best_run():
     rng = random.Random(1)
     for _ in range(300):
