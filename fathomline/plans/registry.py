@@ -6,6 +6,7 @@ Ratios are rounded to six decimals on both sides; sums and comparisons stay exac
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -211,7 +212,7 @@ def trade_window_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("pair_id", *big("genuine_base_1d", "genuine_base_7d", "genuine_base_30d", "oracle_trades"))
 
 
-_SENS = (900, 3600, 14400, 86400)
+_SENS = (60, 300, 600, 900, 1800, 3600, 7200, 14400, 43200, 86400)
 
 
 @query(f"{CLASSIFIED} SELECT p.pair_id, w AS window_seconds, coalesce(CAST(sum(c100) FILTER (verdict = 'genuine' AND epoch_us(closed_at) > epoch_us({_A}) - CAST(w AS BIGINT) * 1000000 AND closed_at <= {_A}) AS DOUBLE), 0) / 100 AS genuine_quote, count(*) FILTER (epoch_us(closed_at) > epoch_us({_A}) - CAST(w AS BIGINT) * 1000000 AND closed_at <= {_A}) AS trades FROM v p, (VALUES {', '.join(f'({s})' for s in _SENS)}) x(w) GROUP BY ALL")
@@ -219,12 +220,16 @@ def trade_window_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades.window_sensitivity(_classified(spark, sf_dir), anchor(), list(_SENS)).select("pair_id", "window_seconds", F.col("genuine_quote").cast("double").alias("genuine_quote"), "trades")
 
 
+_EXTREMES = (1, 7, 30)
+
+
 @query(f"""{CLASSIFIED}, days AS (SELECT pair_id, unnest(generate_series(min(day), DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS day FROM v GROUP BY 1),
 g AS (SELECT d.pair_id, d.day, coalesce(sum(k) FILTER (verdict = 'genuine'), 0) AS b, coalesce(sum(c100) FILTER (verdict = 'genuine'), 0) AS c FROM days d LEFT JOIN v ON d.pair_id = v.pair_id AND d.day = v.day GROUP BY ALL),
-w AS (SELECT *, sum(b) OVER x AS tr, count(*) OVER x AS m FROM g WINDOW x AS (PARTITION BY pair_id ORDER BY day ROWS 6 PRECEDING))
-SELECT pair_id, CAST(min(tr) FILTER (m = 7) AS BIGINT) AS least, CAST(max(tr) FILTER (m = 7) AS BIGINT) AS greatest, round(CAST(sum(c) AS DOUBLE) / 100 / CAST(sum(b) AS DOUBLE), 6) AS weighted_price FROM w GROUP BY 1""")
+w AS ({' UNION ALL '.join(f'SELECT *, {n} AS days, sum(b) OVER x AS tr, count(*) OVER x AS m FROM g WINDOW x AS (PARTITION BY pair_id ORDER BY day ROWS {n - 1} PRECEDING)' for n in _EXTREMES)})
+SELECT pair_id, days, CAST(min(tr) FILTER (m = days) AS BIGINT) AS least, CAST(max(tr) FILTER (m = days) AS BIGINT) AS greatest, round(CAST(sum(c) AS DOUBLE) / 100 / CAST(sum(b) AS DOUBLE), 6) AS weighted_price FROM w GROUP BY ALL""")
 def trade_rolling_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trades.rolling_extremes(_classified(spark, sf_dir), anchor()).select("pair_id", *big("least", "greatest"), r6("weighted_price"))
+    c = _classified(spark, sf_dir)
+    return reduce(DataFrame.union, (trades.rolling_extremes(c, anchor(), n).select("pair_id", F.lit(n).alias("days"), *big("least", "greatest"), r6("weighted_price")) for n in _EXTREMES))
 
 
 LEGS = f"""WITH {TRADES}, f AS (SELECT *, CASE WHEN lag(seller) OVER o IS DISTINCT FROM seller AND lag(seller) OVER o IS NOT NULL THEN 1 ELSE 0 END AS turn FROM t WHERE n > 0 WINDOW o AS (PARTITION BY pair_id, op ORDER BY fill)),
@@ -245,15 +250,15 @@ def trade_implied_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounds.implied_bounds(A.trades(spark, sf_dir)).select("pair_id", "kind", "from_trade", "to_trade", F.round(F.col("delta").cast("double") + 1e-8, 5).alias("delta"), F.col("bound").cast("double").alias("bound"))
 
 
-_RUNG_SQL = ", ".join(f"CAST(min(notional) FILTER (kind = '{k}' AND abs(l - f) * 100 >= {p} * f) AS DOUBLE) / 100 AS {k}_{r.replace('.', '_')}" for k in ("within_leg", "between_legs") for r, p in (("0.02", 2), ("0.10", 10)))
+_RUNG_SQL = ", ".join(f"CAST(min(notional) FILTER (kind = '{k}' AND abs(l - f) * 100 >= {p} * f) AS DOUBLE) / 100 AS {k}_{r.replace('.', '_')}" for k in ("within_leg", "between_legs") for r, p in (("0.02", 2), ("0.05", 5), ("0.10", 10), ("0.5", 50)))
 
 
 @query(f"""{BOUNDS}, d AS (SELECT pair_id, day, count(*) AS trades, CAST(sum(c100) AS DOUBLE) / 100 AS volume_quote FROM t GROUP BY ALL), m AS (SELECT pair_id, day, {_RUNG_SQL} FROM b GROUP BY ALL)
 SELECT d.* EXCLUDE (day), CAST(d.day AS VARCHAR) AS day, m.* EXCLUDE (pair_id, day) FROM d LEFT JOIN m ON d.pair_id = m.pair_id AND d.day = m.day""")
 def trade_daily_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.trades(spark, sf_dir)
-    d = bounds.daily_rows(t, bounds.implied_bounds(t), ("0.02", "0.10"))
-    return d.select("pair_id", F.col("day").cast("string").alias("day"), "trades", F.col("volume_quote").cast("double").alias("volume_quote"), *(F.col(f"{k}_{r}_bound").cast("double").alias(f"{k}_{r}") for k in ("within_leg", "between_legs") for r in ("0_02", "0_10")))
+    d = bounds.daily_rows(t, bounds.implied_bounds(t))
+    return d.select("pair_id", F.col("day").cast("string").alias("day"), "trades", F.col("volume_quote").cast("double").alias("volume_quote"), *(F.col(f"{k}_{r}_bound").cast("double").alias(f"{k}_{r}") for k in ("within_leg", "between_legs") for r in (x.replace(".", "_") for x in bounds.RUNGS)))
 
 
 HOLDERS = """h AS (SELECT CAST(c_nationkey AS BIGINT) AS asset_id, c_custkey AS account_id, CAST(round(c_acctbal * 100) AS BIGINT) * CASE WHEN c_custkey % 50 = 1 THEN 500 ELSE 1 END AS b FROM customer),

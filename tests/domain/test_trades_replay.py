@@ -118,6 +118,13 @@ def test_classification_order(spark):
     assert trades.summarise(c).count() == 7
 
 
+def test_registered_rungs_and_windows(spark):
+    q = registry.QUERIES
+    assert {f"{k}_{r}" for k in ("within_leg", "between_legs") for r in ("0_02", "0_05", "0_10", "0_5")} <= set(q["trade_daily_rows"](spark, DATA).columns)
+    assert {r[0] for r in q["trade_window_sensitivity"](spark, DATA).select("window_seconds").distinct().collect()} == {60, 300, 600, 900, 1800, 3600, 7200, 14400, 43200, 86400}
+    assert {r[0] for r in q["trade_rolling_extremes"](spark, DATA).select("days").distinct().collect()} == {1, 7, 30}
+
+
 def test_concentration(spark):
     h = spark.createDataFrame([(1, k, D(b)) for k, b in enumerate((500, 300, 200, 0, 77))] + [(2, 1, D(0))], "asset_id int, account_id int, balance decimal(19,7)")
     r = {x["asset_id"]: x for x in holders.concentration(h, spark.createDataFrame([(1, 4)], "asset_id int, account_id int")).collect()}
