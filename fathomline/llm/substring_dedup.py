@@ -1,24 +1,30 @@
 """Operator 2: removal of repeated word windows behind a count-min prefilter.
 
-First pass: each task adds its windows to a count-min sketch whose counters stop at two, and the sketches are merged
-block by block in a tree. A window is counted by its minimizer, the least-hashed run of GRAM words in it, and
-neighbours that share one minimizer count it once, which needs a quarter of the counters: equal windows have equal
-minimizers at different places, so the merged sketch never underestimates and a window that occurs twice is always
-estimated repeated. Second pass: only windows estimated repeated are grouped exactly, by a 96-bit key, to the smallest document
-that holds them (minima are combined before the shuffle, so a window in a third of all documents costs a row a task).
-The windows are then joined to these minima, adaptive skew splitting deals with hot ones, and the covered words of
-each document are removed; documents that a bit filter of the affected ones rules out are not shuffled for it. The sketch has a fixed largest size; beyond it more windows are estimated repeated and go
-through the exact grouping, and none is lost.
+A window is counted by its minimizer, the least-hashed run of GRAM words in it; neighbours that share one minimizer
+count it once. Equal windows have equal minimizers at different places, so a window that occurs twice is always
+estimated repeated.
+
+First pass: a partition sketches its texts piece by piece. A piece's sketch is sparse: the distinct minimizers of the
+piece, dealt by hash prefix to shards. Each shard merges the sketches of all pieces into one small count-min block,
+whose counters overestimate, and answers every piece with one bit a minimizer: estimated repeated or not. The number
+of shards grows with the text, so a block never saturates, no block leaves the task that makes it, and a minimizer in
+a third of all documents costs four bytes a piece.
+
+Second pass: only windows estimated repeated are grouped exactly, by a 96-bit key, to the smallest document that holds
+them (minima are combined before the shuffle). Documents with the same word sequence are represented by the smallest
+of them: the others lose every window, and hold none that it does not hold. Windows are joined to the minima, adaptive
+skew splitting deals with hot ones, and the covered words of each document are removed. Bit filters of fixed size keep
+documents that need not meet anything from being shuffled; where they fill up they cost time and no results.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,14 +33,10 @@ from fathomline.llm.common import key_filter, key_slot, materialize, passes, tex
 from fathomline.llm.word_hash import mixed, of_column
 
 WINDOW, GRAM = 13, 7
-#: Hash rows of the sketch, and the least and largest number of counters of a row as powers of two.
-ROWS, LEAST_BITS, MOST_BITS = 3, 16, 27
-#: Counters of a block that is merged on its own, as a power of two.
-BLOCK_BITS = 22
-#: Sketches merged at once; bytes of text for which a task makes a sketch at least.
-FAN_IN, BYTES_PER_SKETCH = 32, 2_000_000_000
-#: Bytes of text for each counter.
-BYTES_A_COUNTER = 6
+#: Hash rows of a count-min block, its counters a row as a power of two, and bytes of text for each counter.
+ROWS, BLOCK_BITS, BYTES_A_COUNTER = 3, 22, 6
+#: Minimizers of a piece of a partition, after which its sketch is given out.
+PIECE = 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -70,136 +72,162 @@ def minimizers(word_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(least), at
 
 
-class _Windows:
-    """Windows of consecutive texts: minimizers, those to count, keys a and b, the text's number and the window's first word."""
+def window_runs(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer, number of windows, text) of each run of neighbouring windows that share a minimizer."""
+    if len(words) < WINDOW:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    least, at = minimizers(words)
+    inside = text[: len(least)] == text[WINDOW - 1 :]
+    least, at, of = least[inside], at[inside], text[: len(inside)][inside]
+    head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (of[1:] != of[:-1])]) if len(at) else np.zeros(0, np.int64)
+    return least[head], np.diff(np.r_[head, len(at)]).astype(np.uint8), of[head]
 
-    def __init__(self, words: np.ndarray, text: np.ndarray, keys: bool):
-        if len(words) < WINDOW:
-            self.least = self.counted = self.a = self.b = np.zeros(0, np.uint64)
-            self.text = self.place = np.zeros(0, np.int64)
-            return
-        least, at = minimizers(words)
-        inside = text[: len(least)] == text[WINDOW - 1 :]
-        self.least, at = least[inside], at[inside]
-        self.counted = self.least[np.r_[True, at[1:] != at[:-1]]] if len(at) else self.least
-        if not keys:
-            return
-        self.a, self.b = (x[inside] for x in window_keys(words))
-        first = np.searchsorted(text, text, side="left")[: len(inside)]  # the text's first word
-        self.text, self.place = text[: len(inside)][inside], (np.arange(len(inside)) - first)[inside]
 
+def shard_of(least: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a minimizer, by its upper half; rising with it."""
+    return ((least >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
-def _cells(least: np.ndarray, bits: int, row: int) -> np.ndarray:
-    """The counters of minimizers in a row of the sketch."""
-    return (mixed(least + np.uint64(row * int(_A) % 2**64)) >> np.uint64(64 - bits)).astype(np.uint32)
 
+PARTS = "piece long, shard int, size int, cells binary, docs binary, runs binary, lengths binary"
+_DOC = np.dtype([("key", "<i8"), ("mark", "<i4"), ("n_words", "<i8"), ("runs", "<i4"), ("same", "V16")])
 
-def _set(bits: np.ndarray, cells: np.ndarray) -> None:
-    """Set bits at sorted cells."""
-    if len(cells):
-        byte = cells >> 3
-        starts = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
-        bits[byte[starts]] |= np.bitwise_or.reduceat((1 << (cells & 7)).astype(np.uint8), starts)
 
+class _Piece:
+    """The texts of a piece of a partition: per text its figures, per run of windows its minimizer and length."""
 
-class Sketch:
-    """Counters that stop at two, as two bit arrays a row: counted once at least, and twice at least."""
+    def __init__(self):
+        self.docs, self.least, self.lengths, self.n = [], [], [], 0
 
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.once = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(ROWS)]
-        self.twice = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(ROWS)]
+    def add(self, words: np.ndarray, text: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> None:
+        least, lengths, of = window_runs(words, text)
+        n_words = np.bincount(text, minlength=len(keys))
+        docs = np.zeros(len(keys), _DOC)
+        docs["key"], docs["mark"], docs["n_words"], docs["runs"] = keys, marks, n_words, np.bincount(of, minlength=len(keys))
+        ends = np.cumsum(n_words)
+        docs["same"] = np.array([xxhash.xxh3_128_digest(words[e - n : e].tobytes()) for e, n in zip(ends, n_words, strict=True)], "V16")
+        self.docs.append(docs)
+        self.least.append(least)
+        self.lengths.append(lengths)
+        self.n += len(least) + len(keys)
 
-    def add(self, parts: list[list[np.ndarray]]) -> None:
-        for row, cells in enumerate(parts):
-            c = np.sort(np.concatenate(cells))
-            again = c[1:] == c[:-1]
-            new = np.zeros_like(self.once[row])
-            _set(new, c)
-            _set(self.twice[row], c[1:][again])
-            self.twice[row] |= self.once[row] & new
-            self.once[row] |= new
+    def rows(self, piece: int, shards: int) -> Iterator[pa.RecordBatch]:
+        """One row a shard with the lower halves of its minimizers, and one with the texts, whose runs point at the minimizers in order."""
+        found, runs = np.unique(np.concatenate(self.least), return_inverse=True)
+        shard = shard_of(found, shards)
+        head = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(found) else np.zeros(0, np.int64)
+        low, ends = found.astype(np.uint32), np.r_[head[1:], len(found)]
+        k = len(head)
+        cells = [low[a:b].tobytes() for a, b in zip(head, ends, strict=False)]
+        last = [np.concatenate(self.docs).tobytes(), runs.astype(np.uint32).tobytes(), np.concatenate(self.lengths).tobytes()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([piece] * (k + 1), pa.int64()), pa.array([*shard[head].tolist(), -1], pa.int32()), pa.array([*(ends[:k] - head).tolist(), len(found)], pa.int32()), pa.array([*cells, None], pa.binary()), *(pa.array([None] * k + [x], pa.binary()) for x in last)],
+            names=["piece", "shard", "size", "cells", "docs", "runs", "lengths"],
+        )
 
 
-def _sketches(docs: DataFrame, bits: int) -> DataFrame:
-    """Blocks (row, block, part, once, twice) of one sketch a task; blocks without a window are left out."""
-    block = 1 << (min(bits, BLOCK_BITS) - 3)
+def sketches(docs: DataFrame, shards: int, text_col: str, key_col: str) -> DataFrame:
+    """Sparse sketches of the pieces of each partition (PARTS): rows of a shard, and rows of shard -1 with the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        sketch = Sketch(bits)
-        waiting, n = [[] for _ in range(ROWS)], 0
+        number, piece = TaskContext.get().partitionId() << 32, _Piece()
         for batch in batches:
-            for _, _, words, text in of_column(batch.column(0)):
-                c = _Windows(words, text, False)
-                for row in range(ROWS):
-                    waiting[row].append(_cells(c.counted, bits, row))
-                n += len(c.counted)
-                if n > 1_000_000:
-                    sketch.add(waiting)
-                    waiting, n = [[] for _ in range(ROWS)], 0
-        if n:
-            sketch.add(waiting)
-        for row in range(ROWS):
-            for k in range(0, len(sketch.once[row]), block):
-                once = sketch.once[row][k : k + block]
-                if once.any():
-                    yield pa.RecordBatch.from_pydict(
-                        {"row": [row], "block": [k // block], "part": [part], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(sketch.twice[row][k : k + block].tobytes(), 1)]},
-                        SKETCH,
-                    )
-
-    return docs.mapInArrow(run, "row int, block int, part int, once binary, twice binary")
-
-
-SKETCH = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-
-
-def _merged(group: pd.DataFrame) -> pd.DataFrame:
-    once = twice = None
-    for o, t in zip(group["once"], group["twice"], strict=True):
-        o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
-        once, twice = (o, t) if once is None else (once | o, twice | t | (once & o))
-    out = group.iloc[:1].copy()
-    out["part"] = out["part"] // FAN_IN
-    out["once"], out["twice"] = [zlib.compress(once.tobytes(), 1)], [zlib.compress(twice.tobytes(), 1)]
-    return out
-
-
-def repeated_cells(docs: DataFrame, text_col: str = "text") -> tuple[int, list[np.ndarray]]:
-    """(bits, for each row the counters that reached two) of the merged sketch; of bounded size, 2 ** MOST_BITS bits a row at most."""
-    spark = docs.sparkSession
+            keys, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            for first, n, words, text in of_column(batch.column(0)):
+                piece.add(words, text, keys[first : first + n], marks[first : first + n])
+                if piece.n >= PIECE:
+                    yield from piece.rows(number, shards)
+                    number, piece = number + 1, _Piece()
+        if piece.n:
+            yield from piece.rows(number, shards)
+
+    return docs.select(text_col, key_col, "_mark").mapInArrow(run, PARTS)
+
+
+def _cells(low: np.ndarray, row: int) -> np.ndarray:
+    """The counters of minimizers in a row of a block."""
+    return (mixed(low.astype(np.uint64) + np.uint64((row + 1) * int(_A) % 2**64)) >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
+
+
+def estimated_twice(parts: list[np.ndarray]) -> np.ndarray:
+    """Whether the merged count-min block of sparse sketches estimates two or more, for each of their entries in turn."""
+    low = np.concatenate(parts)
+    twice = np.ones(len(low), bool)
+    for row in range(ROWS):
+        block = np.zeros(1 << BLOCK_BITS, np.uint32)
+        cells = _cells(low, row)
+        np.add.at(block, cells, np.uint32(1))
+        twice &= block[cells] >= 2
+    return twice
+
+
+def answers(parts: DataFrame) -> DataFrame:
+    """(piece, shard, size, bits): for every piece and shard one bit a minimizer, whether the shard estimates it repeated."""
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        twice = estimated_twice([np.frombuffer(c, np.uint32) for c in group["cells"]])
+        cuts = np.cumsum(group["size"])[:-1]
+        out = group[["piece", "shard", "size"]].copy()
+        out["bits"] = [np.packbits(x).tobytes() for x in np.split(twice, cuts)]
+        return out
+
+    return parts.where("shard >= 0").select("piece", "shard", "size", "cells").groupBy("shard").applyInPandas(merge, "piece long, shard int, size int, bits binary")
+
+
+def repeated_spans(parts: DataFrame) -> DataFrame:
+    """(key, mark, n_words, same, spans) of each text: its length, a digest of its words, and as 32-bit pairs the windows
+    [from, to) estimated repeated."""
+
+    def spans(key: tuple, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        d = np.frombuffer(docs["docs"][0], _DOC)
+        runs, lengths = np.frombuffer(docs["runs"][0], np.uint32), np.frombuffer(docs["lengths"][0], np.uint8).astype(np.int64)
+        found = found.sort_values("shard")
+        flags = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(found["bits"], found["size"], strict=True)]
+        twice = np.concatenate([np.zeros(0, np.uint8), *flags]).astype(bool)
+        on = (twice | (np.bincount(runs, minlength=len(twice)) > 1))[runs]  # a piece gives each minimizer once and knows its own repeats
+        text = np.repeat(np.arange(len(d)), d["runs"])
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        first = np.r_[0, np.cumsum(d["runs"])][:-1]
+        base = np.r_[starts, 0][first] if len(starts) else np.zeros(len(d), np.int64)
+        new = np.r_[True, (~on[:-1]) | (text[1:] != text[:-1])] if len(on) else on
+        old = np.r_[new[1:] | ~on[1:], True] if len(on) else on
+        a, b = np.flatnonzero(on & new), np.flatnonzero(on & old)
+        of = text[a]
+        pairs = np.stack([starts[a] - base[of], ends[b] - base[of]], 1).astype(np.int32)
+        cuts = np.searchsorted(of, np.arange(len(d) + 1))
+        return pd.DataFrame({"key": d["key"], "mark": d["mark"], "n_words": d["n_words"], "same": [x.tobytes() for x in d["same"]], "spans": [pairs[i:j].tobytes() if j > i else None for i, j in zip(cuts, cuts[1:], strict=False)]})
+
+    told = parts.where("shard < 0").select("piece", "docs", "runs", "lengths")
+    return told.groupBy("piece").cogroup(answers(parts).groupBy("piece")).applyInPandas(spans, "key long, mark int, n_words long, same binary, spans binary")
+
+
+def shards_for(docs: DataFrame, text_col: str) -> int:
+    """Shards so that a block has a counter for BYTES_A_COUNTER bytes of text."""
     size = docs.select(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    bits = int(np.clip(int(np.ceil(np.log2(max(1, size / BYTES_A_COUNTER)))), LEAST_BITS, MOST_BITS))
-    tasks = max(spark.sparkContext.defaultParallelism, -(-size // BYTES_PER_SKETCH))
-    parts = _sketches(docs.select(text_col).coalesce(tasks), bits)
-    while tasks > 1:
-        parts = parts.groupBy("row", "block", F.floor(F.col("part") / FAN_IN).alias("to")).applyInPandas(lambda _, g: _merged(g), parts.schema)
-        tasks = -(-tasks // FAN_IN)
-    block = 1 << (min(bits, BLOCK_BITS) - 3)
-    rows = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(ROWS)]
-    for r in parts.select("row", "block", "twice").toLocalIterator():
-        rows[r["row"]][r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
-    return bits, rows
-
-
-def estimated_repeated(docs: DataFrame, bits: int, rows, places: bool, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
-    """Windows estimated repeated as (a, b, key) and, with ``places``, text_hash and place; without, one row a key and chunk of texts."""
+    return max(1, -(-size // (BYTES_A_COUNTER << BLOCK_BITS)))
+
+
+def windows_in_spans(docs: DataFrame, places: bool) -> DataFrame:
+    """Windows of (text, key, mark, spans) in their spans as (a, b, key, mark, place); without ``places`` one row (a, b, low, high) a key and chunk of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = rows.value
         for batch in batches:
-            keys = batch.column(1).to_numpy(zero_copy_only=False)
-            marks = batch.column(2).to_numpy(zero_copy_only=False)
-            for first, _, words, text in of_column(batch.column(0)):
-                c = _Windows(words, text, True)
-                kept = np.arange(len(c.least))
-                for row in range(ROWS):
-                    cells = _cells(c.least[kept], bits, row)
-                    kept = kept[(twice[row][cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)]
-                a, b, key = c.a[kept].view(np.int64), (c.b[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32), keys[first + c.text[kept]]
+            keys, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            for first, n, words, text in of_column(batch.column(0)):
+                if len(words) < WINDOW:
+                    continue
+                begin = np.searchsorted(text, np.arange(n))
+                pairs = [(np.frombuffer(s.as_py(), np.int32).reshape(-1, 2) + begin[k]) for k, s in enumerate(batch.column(3)[first : first + n])]
+                edges = np.concatenate(pairs)
+                step = np.zeros(len(words) + 1, np.int32)
+                np.add.at(step, edges[:, 0], 1)
+                np.add.at(step, edges[:, 1], -1)
+                at = np.flatnonzero(np.cumsum(step))
+                a, b = window_keys(words)
+                a, b, of = a[at].view(np.int64), (b[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), text[at]
+                key = keys[first + of]
                 if not places:
                     order = np.lexsort((key, b, a))
                     a, b, key = a[order], b[order], key[order]
@@ -207,10 +235,10 @@ def estimated_repeated(docs: DataFrame, bits: int, rows, places: bool, text_col:
                     tail = np.r_[head[1:], True] if len(a) else head
                     yield pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(b[head]), pa.array(key[head]), pa.array(key[tail])], names=["a", "b", "low", "high"])
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(key), pa.array(marks[first + c.text[kept]]), pa.array(c.place[kept].astype(np.int32))], names=["a", "b", "key", "mark", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(key), pa.array(marks[first + of]), pa.array((at - begin[of]).astype(np.int32))], names=["a", "b", "key", "mark", "place"])
 
     schema = "a long, b int, key long, mark int, place int" if places else "a long, b int, low long, high long"
-    return docs.select(text_col, key_col, "_mark").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def deduplicate(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", kept_col: str = "kept_text") -> DataFrame:
@@ -220,27 +248,36 @@ def deduplicate(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id"
     sequence also starts in a document with a smaller ``key_col``; windows are judged on the input. Kept words are
     joined by one space. A null, empty or short text has no window and loses nothing. A document without a key
     neither removes nor loses words; rows with equal keys do not remove each other's words, repeated rows each stay.
-    Word and window hashes stand for the words (96 bits a window).
+    Word and window hashes stand for the words (96 bits a window, 128 a text).
     """
     spark = docs.sparkSession
     found = docs.select(F.col(key_col).cast("long").alias(key_col), text_col, F.hash(text_col).alias("_mark"))
     keyed = found.where(F.col(key_col).isNotNull())
-    bits, twice = repeated_cells(keyed, text_col)
-    rows = spark.sparkContext.broadcast(twice)
+    parts = materialize(sketches(keyed, shards_for(keyed, text_col), text_col, key_col))
+    told = materialize(repeated_spans(parts).where((F.col("n_words") >= WINDOW) & F.col("spans").isNotNull()).dropDuplicates(["key", "mark"]))
+    earliest = told.groupBy("same").agg(F.min("key").alias("low"))
+    judged = materialize(told.join(earliest, "same").select("key", "mark", "n_words", "spans", (F.col("key") > F.col("low")).alias("copy")))
+    originals = judged.where(~F.col("copy")).select("key", "mark", "spans")
+    wanted = spark.sparkContext.broadcast(key_filter(originals.select("key", "mark")))
+    slotted = found.withColumn("_slot", key_slot(key_col, "_mark"))
+    with_spans = (
+        _let_through(slotted.where(F.col(key_col).isNotNull()), wanted)
+        .join(originals.hint("merge"), (F.col(key_col) == F.col("key")) & (F.col("_mark") == F.col("mark")))
+        .select(text_col, "key", "mark", "spans")
+    )
     first = (
-        estimated_repeated(keyed, bits, rows, False, text_col, key_col)
+        windows_in_spans(with_spans, False)
         .groupBy("a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .where(F.col("low") < F.col("high")).select("a", "b", "low")
     )
-    windows = estimated_repeated(keyed, bits, rows, True, text_col, key_col)
-    # a copy of a text has the same places, so each is wanted once
+    # a copy of a row has the same places, so each is wanted once
     removed = (
-        windows.join(first, ["a", "b"]).where(F.col("key") > F.col("low"))
+        windows_in_spans(with_spans, True).join(first, ["a", "b"]).where(F.col("key") > F.col("low"))
         .groupBy("key", "mark").agg(F.sort_array(F.collect_set("place")).alias("places"))
     )
-    runs = materialize(removed.select("key", "mark", _runs(F.col("places")).alias("runs")))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+    runs = materialize(removed.select("key", "mark", _runs(F.col("places")).alias("runs")).union(judged.where("copy").select("key", "mark", whole.alias("runs"))))
     affected = spark.sparkContext.broadcast(key_filter(runs.select("key", "mark")))
-    slotted = found.withColumn("_slot", key_slot(key_col, "_mark"))
     touched = _let_through(slotted, affected).join(runs.hint("merge"), (F.col(key_col) == runs["key"]) & (F.col("_mark") == runs["mark"]), "left").select(key_col, text_col, "runs")
     kept = _without(touched, text_col, key_col, kept_col, None)
     return kept.union(_without(slotted.select(key_col, text_col, "_slot"), text_col, key_col, kept_col, affected))

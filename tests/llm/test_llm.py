@@ -115,6 +115,45 @@ def test_substring_dedup(spark, docs, empty):
     assert got == brute_substrings(twice)
 
 
+def test_sketch_filters_at_its_load():
+    """A block filled as shards_for() fills it: every repeat is seen, and few unique minimizers pass."""
+    rng = np.random.default_rng(1)
+    load = (substring_dedup.BYTES_A_COUNTER << substring_dedup.BLOCK_BITS) // 24
+    once = rng.integers(0, 2**32, load, dtype=np.uint32)
+    again = once[:1000]
+    found = substring_dedup.estimated_twice([once[: load // 2], once[load // 2 :], again])
+    assert found[:1000].all() and found[load:].all()
+    assert found[1000:load].mean() < 0.05
+
+
+@pytest.mark.parametrize("shards", [1, 64, 5000])
+def test_many_shards(spark, shards):
+    """However many shards there are, all windows found twice are estimated repeated and nearly no others."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    data = []
+    for i in range(120):
+        t = " ".join(word() for _ in range(300))
+        data.append((i, f"{t} {passage} {word()}" if i % 3 == 0 else t))
+    data += [(500, data[1][1]), (501, "few words"), (502, ""), (503, None)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("_mark", F.hash("text")).repartition(5)
+    told = {r["key"]: r for r in substring_dedup.repeated_spans(substring_dedup.sketches(df, shards, "text", "doc_id")).collect()}
+    assert len(told) == len(data)
+    places = collections.defaultdict(list)
+    for i, t in data:
+        w = split(t)
+        assert told[i]["n_words"] == len(w)
+        for k in range(len(w) - 12):
+            places[tuple(w[k : k + 13])].append((i, k))
+    estimated = {(i, k) for i, r in told.items() for a, b in np.frombuffer(r["spans"] or b"", np.int32).reshape(-1, 2).tolist() for k in range(a, b)}
+    repeated = {p for at in places.values() if len(at) > 1 for p in at}
+    assert repeated <= estimated
+    unique = sum(len(at) == 1 for at in places.values())
+    assert len(estimated - repeated) < 0.1 * unique
+    assert told[1]["same"] == told[500]["same"] != told[2]["same"]
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
