@@ -3,11 +3,14 @@
 A document is the set of its word shingles. A register keeps the largest exponentially spaced step that the least of
 its exponential hash values reaches; registers of parts merge by maximum, and equal registers become likelier with
 the Jaccard similarity. Bands of registers give buckets. Documents with one shingle set are joined into one
-representative first. In a bucket of few representatives all are compared, in a larger one each is compared with a
-leader of its own choice for every band; pairs whose similarity, estimated by maximum likelihood from all registers and the known set
-sizes, is near the threshold or above are verified on full sets: first the best pair of each representative, then
-those that still lie in different components. Large buckets that still hold several components
-are then searched exhaustively between components, in blocks. Only tables of links and labels are iterated over.
+representative first, and get its component in the end. In a bucket of few representatives all are compared, in a larger one each is
+compared with a leader of its own choice for every band; pairs whose similarity, estimated by maximum likelihood from
+all registers and the known set sizes, is near the threshold or above are likely.
+
+Likely pairs are verified on full sets in rounds, as in Boruvka's spanning forest: first the best pair of each
+representative, then the best pair of each component to another one, then those that still lie across components;
+pairs inside a component are dropped, and links between the same components count once. Large buckets that still hold several components are then searched
+exhaustively between components, in blocks of bounded size. Only tables of links and labels are iterated over.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import key_filter, key_slot, lower_bytes, materialize, passes, texts
+from fathomline.llm.common import key_filter, key_slot, materialize, passes
 from fathomline.llm.components import connected_components
+from fathomline.llm.word_hash import of_column
 
 #: Words of a shingle and least similarity in percent.
 SHINGLE, MIN_PCT = 5, 80
@@ -31,9 +35,8 @@ BANDS, BAND, BASE, RATE = 40, 5, 1.05, 20.0
 REGISTERS = BANDS * BAND
 #: Estimates from here on are verified: six standard deviations below the threshold.
 MIN_ESTIMATE = 0.62
-#: Buckets up to this many representatives are compared in full; queries of a block and members of a part in the exhaustive search.
-SMALL, SEARCH_BLOCK, SEARCH_PART = 12, 256, 5_000
-MEMORY = 500_000
+#: Buckets up to this many representatives are compared in full; bytes of sets and registers in a block and in a part of the exhaustive search.
+SMALL, SEARCH_BYTES = 12, 4_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _A = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.Generator(np.random.PCG64(20240229))
@@ -42,26 +45,16 @@ _OFFSETS = _random.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2)
 _BAND_FACTORS = _random.integers(0, 2**63, (BANDS, BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Hashes(dict):
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > MEMORY:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _MIX[0]
     h = (h ^ (h >> np.uint64(27))) * _MIX[1]
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, hashes: _Hashes, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, one without words has none."""
-    found = lower_bytes(text).split() if text else []
-    if not found:
+def shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text's word hashes; a shorter text is one shingle, one without words has none."""
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = np.fromiter((hashes[w] for w in found), np.uint64, len(found))
     size = min(size, len(h))
     n = len(h) - size + 1
     out = np.full(n, size, np.uint64)
@@ -70,6 +63,14 @@ def shingles(text: str | None, hashes: _Hashes, size: int) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
+def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The set of each text of an Arrow column; A-Z count as a-z."""
+    for _, n, words, text in of_column(column, lower=True):
+        cuts = np.searchsorted(text, np.arange(n + 1))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield shingles(words[a:b], size)
+
+
 def registers(members: np.ndarray) -> np.ndarray:
     """SetSketch registers of a set of hashes (uint16); the empty set has zeros."""
     if not len(members):
@@ -110,11 +111,9 @@ def sketch(docs: DataFrame, key_col: str, text_col: str, size: int) -> DataFrame
     """(doc, n, same, regs): set size, a 128-bit fingerprint of the set, and the registers as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
             n, same, regs = [], [], []
-            for t in texts(batch.column(1)):
-                s = shingles(t, hashes, size)
+            for s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
                 same.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
@@ -161,10 +160,9 @@ def _sets(wanted: DataFrame, docs: DataFrame, key_col: str, text_col: str, size:
     keyed = docs.select(F.col(key_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
             batch = batch.filter(pa.array(passes(bits.value, batch.column("slot").to_numpy(zero_copy_only=False))))
-            made = pa.array([shingles(t, hashes, size).tobytes() for t in texts(batch.column("text"))], pa.binary())
+            made = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), size)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), made], names=["doc", "members"])
 
     return materialize(keyed.select("doc", "text", key_slot("doc").alias("slot")).mapInArrow(sets, "doc long, members binary"))
@@ -176,25 +174,58 @@ def linked(p: np.ndarray, q: np.ndarray) -> bool:
     return 100 * shared >= MIN_PCT * (len(p) + len(q) - shared)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key_col: str, text_col: str, size: int) -> DataFrame:
-    """The pairs (a, b) that share enough of their full sets. The number of pairs has no bound, so they are never broadcast."""
-    made = _sets(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), docs, key_col, text_col, size)
-    of_b = made.select(F.col("doc").alias("b"), F.col("members").alias("mb")).join(pairs.select("a", "b").hint("merge"), "b")
+def _verified(pairs: DataFrame, made: DataFrame) -> DataFrame:
+    """The pairs (a, b, ca, cb) that share enough of their full sets. The number of pairs has no bound, so they are never broadcast."""
+    of_b = made.select(F.col("doc").alias("b"), F.col("members").alias("mb")).join(pairs.select("a", "b", "ca", "cb").hint("merge"), "b")
     of_a = made.select(F.col("doc").alias("a"), F.col("members").alias("ma"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "ca", "cb"]).filter(pa.array(keep, pa.bool_()))
+
+    return of_a.join(of_b.hint("merge"), "a").select("a", "b", "ca", "cb", "ma", "mb").mapInArrow(compare, "a long, b long, ca long, cb long")
+
 
-    return of_a.join(of_b.hint("merge"), "a").select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long")
+def _relabelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b, similarity, ca, cb) with the components that ``labels`` gives their components; those inside one are dropped."""
+    left, right = (labels.select(F.col("node").alias(f"c{x}"), F.col("component").alias(f"n{x}")) for x in "ab")
+    j = pairs.join(left, "ca", "left").join(right, "cb", "left")
+    return j.select("a", "b", "similarity", F.coalesce("na", "ca").alias("ca"), F.coalesce("nb", "cb").alias("cb")).where("ca <> cb")
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    left, right = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    j = pairs.join(left, "a", "left").join(right, "b", "left")
-    return j.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of each component the best pair to another one: fewer pairs than components, as equal similarities are told apart by their ends."""
+    order = F.struct("similarity", "a", "b")
+    best = (pairs.groupBy(c).agg(F.max(F.struct(order.alias("order"), F.struct("a", "b", "ca", "cb").alias("p"))).alias("best")).select(F.col(c).alias("c"), "best") for c in ("ca", "cb"))
+    return next(best).union(next(best)).groupBy("c").agg(F.max("best").alias("best")).select("best.p.*").distinct()
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """One edge (a, b) between components for all links between them."""
+    return links.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+
+
+def spanning_links(likely: DataFrame, made: DataFrame) -> DataFrame:
+    """Edges (a, b) that join whatever verified pairs among ``likely`` (a, b, similarity) join.
+
+    First each document has its best pair to an earlier one verified, then each component that this leaves its best
+    pair to another, then all pairs that still lie across components. Pairs inside a component are never verified,
+    and links between the same two components count once.
+    """
+    first = likely.groupBy("b").agg(F.max_by("a", F.struct("similarity", "a")).alias("a")).select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    tried = materialize(first)
+    links = materialize(_verified(tried, made))
+    rest = likely.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "similarity", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    edges = materialize(_joined(links))
+    pool = materialize(_relabelled(rest, connected_components(edges)))
+    if pool.limit(1).count():
+        tried = materialize(_best(pool))
+        more = materialize(_joined(_verified(tried, made)))
+        pool = _relabelled(pool.join(tried.select("a", "b"), ["a", "b"], "left_anti"), connected_components(more))
+        last = materialize(_joined(_verified(materialize(pool), made)))
+        edges = edges.union(more).union(last)
+    return edges
 
 
 def _pairs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -205,26 +236,25 @@ def _pairs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = shared.where(F.col("members") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_list("doc")).alias("d"))
     all_of_small = small.select(F.explode(F.flatten(F.transform("d", lambda a, i: F.transform(F.slice("d", i + 2, F.lit(SMALL)), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
     led = shared.where((F.col("members") > SMALL) & (F.col("doc") != F.col("leader"))).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
-    return materialize(all_of_small.union(led).distinct()), shared
+    return materialize(all_of_small.union(led).where("a <> b").distinct()), shared
 
 
-def _left_over(shared: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, key_col: str, text_col: str, size: int) -> DataFrame:
-    """Links (a, b) across components in large buckets that hold several: members outside the bucket's main component, in
-    blocks, against all, in parts.
+def _left_over(large: DataFrame, labels: DataFrame, reps: DataFrame, made: DataFrame) -> DataFrame:
+    """Edges (a, b) between components in large buckets (band, doc) that hold several: members outside the bucket's main
+    component, in blocks, against all, in parts.
 
-    A task estimates its pairs, verifies the likely ones on full sets and gives a link only where it joins two
-    components that its own links have not joined yet, so it gives fewer links than it has members. A pair is
-    compared in the first band that both share only; in a small bucket it has been compared before.
+    Blocks and parts hold SEARCH_BYTES of sets and registers, one document at least. A task estimates its pairs,
+    verifies the likely ones on full sets and gives an edge only where a link joins two components that its own links
+    have not joined yet, so it gives fewer edges than it has members. A pair is compared in the first band that both share
+    only; in a small bucket it has been compared before.
     """
-    large = shared.where(F.col("members") > SMALL).select("band", "doc")
-    known = materialize(large.join(labels, large["doc"] == labels["node"], "left").select("band", "doc", F.coalesce("component", "doc").alias("component")))
-    sizes = known.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
+    sized = large.join(reps.select("doc", (8 * F.col("n") + 2 * REGISTERS).alias("bytes")), "doc")
+    known = materialize(sized.join(labels, sized["doc"] == labels["node"], "left").select("band", "doc", "bytes", F.coalesce("component", "doc").alias("component")))
+    sizes = known.groupBy("band", "component").agg(F.sum("bytes").alias("k"))
     mixed = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("components"), F.sum("k").alias("g"), F.max(F.struct("k", "component")).alias("top")).where("components > 1")
-    blocks, parts = F.ceil((F.col("g") - F.col("top.k")) / SEARCH_BLOCK), F.ceil(F.col("g") / SEARCH_PART)
+    blocks, parts = F.ceil((F.col("g") - F.col("top.k")) / SEARCH_BYTES), F.ceil(F.col("g") / SEARCH_BYTES)
     mixed = materialize(mixed.select("band", F.col("top.component").alias("main"), blocks.cast("int").alias("blocks"), parts.cast("int").alias("parts")))
-    inside = materialize(known.join(mixed, "band"))
-    made = _sets(inside.select("doc").distinct(), docs, key_col, text_col, size)
-    members = inside.join(reps.select("doc", "n", "regs").join(made, "doc"), "doc")
+    members = known.join(mixed, "band").join(reps.select("doc", "n", "regs").join(made, "doc"), "doc")
     block, part = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("doc", F.lit(1)), F.col("parts")).cast("int")
     fields = ["doc", "component", "n", "regs", "members"]
     outside = materialize(members.where("component <> main").select("band", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *fields))
@@ -262,13 +292,48 @@ def _left_over(shared: DataFrame, labels: DataFrame, reps: DataFrame, docs: Data
                 a, b = find(int(cq[q])), find(int(co[o]))
                 if a != b and linked(np.frombuffer(mq[q], np.uint64), np.frombuffer(mo[o], np.uint64)):
                     parent[max(a, b)] = min(a, b)
-                    out.append((min(dq[q], do[o]), max(dq[q], do[o])))
+                    out.append((cq[q], co[o]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     key = ["band", "block", "part"]
     return materialize(outside.groupBy(*key).cogroup(every.groupBy(*key)).applyInPandas(compare, "a long, b long"))
 
 
+def representatives(sketched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reps, copies, joints): one row (doc, n, regs) a distinct set, with the least document that has it; (doc, rep) of
+    every document that has a set; and links (a, b) between representatives of a key that has several sets."""
+    sets = sketched.where(F.col("same").isNotNull() & F.col("doc").isNotNull())
+    first = materialize(sets.groupBy("same").agg(F.min("doc").alias("rep")))
+    joined = sets.join(first, "same")
+    copies = materialize(joined.select("doc", "rep").distinct())
+    reps = materialize(joined.where("doc = rep").select("doc", "n", "regs", "same").dropDuplicates(["doc", "same"]).drop("same"))
+    several = copies.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most")
+    joints = materialize(copies.join(several, "doc").where("rep > a").select("a", F.col("rep").alias("b")).distinct())
+    return reps, copies, joints
+
+
+def likely_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity) of the pairs to verify, and the members (band, doc) of large buckets."""
+    pairs, shared = _pairs(_bands(reps))
+    likely = materialize(_estimated(pairs, reps).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+    return likely, shared.where(F.col("members") > SMALL).select("band", "doc").distinct()
+
+
+def group_labels(reps: DataFrame, joints: DataFrame, docs: DataFrame, key_col: str, text_col: str, size: int) -> DataFrame:
+    """(node, component) of the representatives that are linked with others."""
+    likely, large = likely_pairs(reps)
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc")).union(large.select("doc")).distinct()
+    made = _sets(wanted, docs, key_col, text_col, size)
+    labels = connected_components(spanning_links(likely, made).union(joints))
+    more = _left_over(large, labels, reps, made)
+    if not more.limit(1).count():
+        return labels
+    again = connected_components(more).toDF("was", "now")
+    alone = again.select(F.col("was").alias("node"), F.col("was").alias("component")).join(labels.select("node"), "node", "left_anti")
+    known = labels.union(alone)
+    return materialize(known.join(again, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each document.
 
@@ -279,25 +344,17 @@ def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
     one document each with their component; a null key is a document of its own (component null, kept).
     """
     sketched = materialize(sketch(docs, key_col, text_col, size))
-    sets = sketched.where(F.col("same").isNotNull() & F.col("doc").isNotNull())
-    first = materialize(sets.groupBy("same").agg(F.min("doc").alias("rep")))
-    copies = materialize(sets.select("doc", "same").join(first, "same").select("doc", "rep").distinct())
-    reps = materialize(sets.join(first, "same").where("doc = rep").select("doc", "n", "regs", "same").dropDuplicates(["doc", "same"]).drop("same"))
-    pairs, shared = _pairs(_bands(reps))
-    likely = materialize(_estimated(pairs, reps))
-    best = materialize(likely.groupBy("b").agg(F.max_by("a", F.struct("similarity", "a")).alias("a")).select("a", "b"))
-    links = materialize(_verified(best, docs, key_col, text_col, size))
-    others = materialize(_across(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), connected_components(links)))
-    links = links.union(materialize(_verified(others, docs, key_col, text_col, size)))
-    links = links.union(_left_over(shared, connected_components(links), reps, docs, key_col, text_col, size))
-    edges = links.union(copies.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")))
-    final = connected_components(edges)
-    out = sketched.join(final, sketched["doc"] == final["node"], "left")
+    reps, copies, joints = representatives(sketched)
+    final = group_labels(reps, joints, docs, key_col, text_col, size)
+    # a copy has the component of its representative; documents that are alone keep their own key
+    of_copy = copies.groupBy("doc").agg(F.min("rep").alias("rep"))
+    found = of_copy.join(final, of_copy["rep"] == final["node"], "left").select(F.col("doc").alias("node"), F.coalesce("component", "rep").alias("component")).where("component <> node")
+    out = sketched.join(found, sketched["doc"] == found["node"], "left")
     component = F.coalesce("component", "doc")
     return out.select(F.col("doc").alias(key_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """The documents that are the first of their group of near duplicates, with their columns."""
-    kept = near_duplicates(docs, key_col, text_col, size).where(~F.col("kept")).select(F.col(key_col).alias("_gone")).distinct()
-    return docs.join(kept, F.col(key_col) == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, key_col, text_col, size).where(~F.col("kept")).select(F.col(key_col).alias("_gone")).distinct()
+    return docs.join(gone, F.col(key_col) == F.col("_gone"), "left_anti")
