@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -20,15 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-llm-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``, or the session's checkpoint folder; without one nothing is written."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return root.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -43,6 +38,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Column that carries the caller's columns through an operator, so that none of them clashes with the operator's own.
+CARRIED = "__carried"
+
+
+def carry(df: DataFrame, keep: list[str]) -> Column:
+    """The columns ``keep`` as one struct."""
+    return (F.struct(*(df[f"`{c}`"].alias(c) for c in keep)) if keep else F.struct(F.lit(0).alias("none"))).alias(CARRIED)
+
+
+def unpack(df: DataFrame, keep: list[str], **results: Column) -> DataFrame:
+    """The carried columns and ``results``, each result with underscores appended where a carried column has its name."""
+    names: list[str] = []
+    taken = {c.lower() for c in keep}
+    for n in results:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        names.append(n)
+    return df.select(*(F.col(f"{CARRIED}.`{c}`").alias(c) for c in keep), *(c.alias(n) for n, c in zip(names, results.values(), strict=True)))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; other letters stay."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import SPACE_CLASS, materialize
+from fathomline.llm.common import CARRIED, SPACE_CLASS, carry, materialize, unpack
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 3
@@ -105,13 +105,12 @@ def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", keep:
     rule and its host is not trusted; so a clean document stays on any host. A null host is a host of its own. Empty tables give an empty result.
     """
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    named = df.withColumn("_host", F.coalesce(F.col(host_col).cast("string"), F.lit("")))
-    found = materialize(document_figures(named, text_col, [*keep, "_host"]))
+    named = df.select(carry(df, keep), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
+    found = materialize(document_figures(named, "text", [CARRIED, "host"]))
     judged = found.withColumn("base_failed", base_failed()).withColumn("failed", soft_failed() | F.col("base_failed"))
-    hosts = host_verdicts(judged, "_host")
+    hosts = host_verdicts(judged, "host")
     few = hosts.count() <= BROADCAST_HOSTS
-    verdict = hosts.select("_host", F.col("rate").alias("host_rate"), "trusted")
-    return judged.join(F.broadcast(verdict) if few else verdict, "_host", "left").select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate",
-        (~F.col("base_failed") & (100 * F.col("n_symbols") <= SEVERE_SYMBOLS_PCT * F.col("n_words")) & (F.col("trusted") | ~F.col("failed"))).alias("kept"),
-    )
+    verdict = hosts.select("host", F.col("rate").alias("host_rate"), "trusted")
+    kept = ~F.col("base_failed") & (100 * F.col("n_symbols") <= SEVERE_SYMBOLS_PCT * F.col("n_words")) & (F.col("trusted") | ~F.col("failed"))
+    figures = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate")}
+    return unpack(judged.join(F.broadcast(verdict) if few else verdict, "host", "left"), keep, **figures, kept=kept)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import decontaminate, near_dedup, pii, quality_rules, sentencepiece_codec
+from fathomline.llm.common import unique_names
 
 
 def _packed(docs: DataFrame, *cols: str) -> DataFrame:
@@ -17,17 +18,17 @@ def _packed(docs: DataFrame, *cols: str) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame) -> DataFrame:
-    """The documents that quality rules keep."""
+    """The documents that quality rules keep; a null or empty text has no words and goes, repeated rows are judged alike."""
     return quality_rules.judge(_packed(docs, "text", "source"), keep=["_row"]).where("kept").select("_row.*")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The first document of each group of near duplicates."""
+    """The first document of each group of near duplicates; null and empty texts are alone and stay, rows with equal keys stay or go together."""
     return near_dedup.keep_first(docs)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no test item is found."""
+    """The documents in which no test item is found; null and empty texts stay."""
     return decontaminate.clean(docs, benchmark)
 
 
@@ -40,6 +41,10 @@ def redact_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """Documents with their piece ids, counts, and what the ids decode to."""
-    coded = sentencepiece_codec.encode(docs, path, decoded_col="decoded", keep=["doc_id", "lang", "source", "text"])
-    return coded.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.col("decoded").alias("text"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    """Documents with their columns, their piece ids and counts, and, as the text, what the ids decode to; a null text has
+    no ids and becomes the empty text, repeated rows each stay."""
+    coded = sentencepiece_codec.encode(docs.select(F.struct(*docs.columns).alias("_row"), "text"), path, decoded_col="decoded", keep=["_row"])
+    names = unique_names(docs, "token_ids", "n_tokens", "round_trip")
+    old = [(F.col("decoded") if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
+    new = [F.col("token_ids"), F.size("token_ids").cast("long"), F.coalesce("_row.text", F.lit("")) == F.col("decoded")]
+    return coded.select(*old, *(c.alias(n) for c, n in zip(new, names, strict=True)))
