@@ -13,11 +13,12 @@ skewed key or a group of copies costs no more than its bytes. Only word counts o
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import ascii_lower
+from fathomline.llm.common import CARRIED, ascii_lower, carry, unpack
 
 #: What is no part of a word, base phrases with their labels.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -38,6 +39,14 @@ NOTICES = [
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2 0"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("bsl-1", "distributed under the boost software license version 1 0", ["boost software license"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable"]),
+    ("wtfpl", "do what the fuck you want to public license", ["what the fuck you want to public license"]),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["eclipse public license"]),
+    ("eupl-1.2", "licensed under the eupl version 1 2", ["eupl version 1 2"]),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", ["common development and distribution license"]),
+    ("artistic-2", "licensed under the artistic license 2 0", ["artistic license 2 0"]),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by", "licensed under cc by 4 0", ["cc by 4 0"]),
@@ -108,18 +117,17 @@ def _found(index: Column, tokens: Column, all_words: Column) -> Column:
         hits = F.flatten(F.transform(tokens, lambda k: F.transform(F.filter(t["rare"], lambda p: p["w"] == k["w"]), lambda p: F.struct((k["p"] - p["p"]).alias("start"), p["x"].alias("x")))))
 
         def agreeing(h: Column) -> Column:
-            starts = F.array_distinct(F.transform(h, lambda e: e["start"]))
-            weighed = F.transform(
-                starts,
-                lambda s: F.struct(s.alias("start"), (F.aggregate(F.filter(h, lambda e: e["start"] == s), F.lit(0.0), lambda a, e: a + e["x"]) / t["total"]).alias("share")),
-            )
+            # hits of one start are neighbours, one a posting at most, so a start looks at a fixed number of them
+            begins = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i - 1)["start"] != F.get(h, i)["start"]))
+            weight = lambda i: reduce(lambda a, b: a + b, (F.when(F.get(h, i + k)["start"] == F.get(h, i)["start"], F.get(h, i + k)["x"]).otherwise(F.lit(0.0)) for k in range(RARE_WORDS)))
+            weighed = F.transform(begins, lambda i: F.struct(F.get(h, i)["start"].alias("start"), (weight(i) / t["total"]).alias("share")))
             verified = F.filter(
                 weighed,
                 lambda c: (c["share"] >= MIN_SHARE) & F.forall(t["keys"], lambda k: F.when(c["start"] + k["at"] >= 0, F.slice(all_words, c["start"] + k["at"] + 1, F.size(k["words"])) == k["words"]).otherwise(False)),
             )
-            return F.array_max(F.transform(verified, lambda c: c["share"]))
+            return F.when(F.size(h) > 0, F.array_max(F.transform(verified, lambda c: c["share"])))
 
-        return F.struct(t["label"].alias("label"), F.get(F.transform(F.array(hits), agreeing), F.lit(0)).alias("share"))
+        return F.struct(t["label"].alias("label"), F.get(F.transform(F.array(F.array_sort(hits)), agreeing), F.lit(0)).alias("share"))
 
     return F.filter(F.transform(index, one), lambda r: r["share"].isNotNull())
 
@@ -132,7 +140,7 @@ def scan(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -
     else the best agreeing share). A null or empty text has no words, no labels and score 0. Repeated rows stay.
     """
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    split = df.select(*keep, words(F.col(text_col)).alias("_words"))
+    split = df.select(carry(df, keep), words(F.col(text_col)).alias("_words"))
     rows, found = document_frequencies(split, "_words")
     index, rare, anchors = _index(rows, found)
     # words between double spaces, so that neighbouring places of a phrase share no character
@@ -150,7 +158,7 @@ def scan(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -
     lookup = F.arrays_overlap("_words", F.array(*map(F.lit, anchors)))
     tokens = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("p"))), lambda e: e["w"].isin(*rare))
     out = out.select(
-        *keep,
+        CARRIED,
         F.size("_words").cast("long").alias("n_words"),
         sum((n for n, _, _ in per_phrase[1:]), per_phrase[0][0]).alias("n_base"),
         F.array_min(F.array(*(a for _, a, _ in per_phrase))).alias("first_word"),
@@ -161,9 +169,11 @@ def scan(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -
     )
     out = out.withColumn("_found", F.when(F.size("_tokens") >= 2, _found(index, F.col("_tokens"), F.col("_words")))).drop("_words", "_tokens")
     known = F.coalesce(F.transform("_found", lambda r: r["label"]), F.array().cast("array<string>"))
-    return out.select(
-        *keep, "n_words", "n_base", "first_word", "last_word",
-        F.array_join(F.array_sort(F.array_distinct("_base")), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat("_base", known))), ",").alias("labels"),
-        F.when(F.size("_base") > 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("_found", lambda r: r["share"])), F.lit(0.0)))).alias("score"),
+    named = {c: F.col(c) for c in ("n_words", "n_base", "first_word", "last_word")}
+    best = F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("_found", lambda r: r["share"])), F.lit(0.0)))
+    return unpack(
+        out, keep, **named,
+        base_labels=F.array_join(F.array_sort(F.array_distinct("_base")), ","),
+        labels=F.array_join(F.array_sort(F.array_distinct(F.concat("_base", known))), ","),
+        score=F.when(F.size("_base") > 0, F.lit(1.0)).otherwise(best),
     )
