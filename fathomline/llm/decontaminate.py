@@ -3,15 +3,15 @@
 A test item with an error budget of k edits is split into k + 1 pieces: within k edits of the item at least one
 piece stands unchanged; an item too short for an edit is its one piece. An Aho-Corasick automaton finds every piece in every text, each hit gives a window around
 the place where the item would stand, and Myers' bit-parallel distance decides whether the item stands there within
-its budget. Texts are read once for each block of items; a block is bounded in characters, so what goes to the tasks
-does not grow with the benchmark or the texts.
+its budget. Texts are read once for each block of items; a block is bounded in characters, and with several blocks the
+hits of each are written before the next is searched, so a task holds one block and what goes to the tasks does not
+grow with the benchmark or the texts.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import texts
+from fathomline.llm.common import materialize, texts, unique_names
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 20
@@ -125,23 +125,32 @@ def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep:
     without letters and digits are no items, an empty benchmark finds nothing. Copies and repeated rows are each searched.
     """
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    names = []
-    out = docs.select(*keep, F.col(text_col).alias("_text"))
-    for n, block in enumerate(blocks(benchmark)):
+    text, hits, more = unique_names(docs, "_text", "_hits", "_more")
+    out = docs.select(*keep, F.col(text_col).alias(text))
+    found = None
+    waiting = blocks(benchmark)
+    block = next(waiting)
+    while block is not None:
+        after = next(waiting, None)
         items = docs.sparkSession.sparkContext.broadcast(block)
-        names.append(f"_hits{n}")
-        out = _add(out, items, names[-1])
-    hits = reduce(lambda a, b: F.concat(a, b), map(F.col, names))
-    return out.select(*keep, hits.alias(hits_col))
-
-
-def _add(docs: DataFrame, items, name: str) -> DataFrame:
+        out = _add(out, items, text, hits if found is None else more)
+        if found is not None:
+            out = out.select(*keep, text, F.concat(hits, more).alias(hits))
+        if after is not None:
+            out = materialize(out)
+            items.unpersist()
+        found, block = hits, after
+    (name,) = unique_names(docs.select(*keep), hits_col)
+    return out.select(*keep, F.col(hits).alias(name))
+
+
+def _add(docs: DataFrame, items, text: str, name: str) -> DataFrame:
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Items(items.value)
         for batch in batches:
-            found = [[{"item_id": i, "distance": d, "end": e} for i, d, e in block.matches(t)] for t in texts(batch.column("_text"))]
+            found = [[{"item_id": i, "distance": d, "end": e} for i, d, e in block.matches(t)] for t in texts(batch.column(text))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, HIT, False)]))
@@ -149,11 +158,11 @@ def _add(docs: DataFrame, items, name: str) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
     """One row (``key_col``, item_id, distance) for each test item found in a text."""
-    found = search(docs, benchmark, text_col, keep=[key_col])
-    return found.select(key_col, F.explode("leaks").alias("h")).select(key_col, "h.item_id", F.col("h.distance").cast("long").alias("distance"))
+    found = search(docs.select(key_col, text_col), benchmark, text_col, keep=[key_col])
+    return found.select(key_col, F.explode(found.columns[-1]).alias("h")).select(key_col, "h.item_id", F.col("h.distance").cast("long").alias("distance"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents in which no test item is found, with their columns."""
-    found = search(docs, benchmark, text_col, keep=docs.columns, hits_col="_leaks")
-    return found.where(F.size("_leaks") == 0).select(*docs.columns)
+    found = search(docs, benchmark, text_col, keep=docs.columns)
+    return found.where(F.size(found.columns[-1]) == 0).select(*docs.columns)
