@@ -24,15 +24,13 @@ from fathomline.llm.common import materialize, texts, unique_names
 TRAINING_ROWS = 12_000
 ROUNDS = 2
 SMOOTHING = 0.05
-#: Letters of a word that are scored together; longer words are cut into such parts, so whole texts count.
-PART = 20
-LONGEST_PIECE = 16
 #: Probability of a letter that no piece has.
 UNKNOWN = 1e-9
 #: Remembered words of a worker.
 MEMORY = 400_000
-CHUNK = 20_000
-_WORD = re.compile(rf"[^\W\d_]{{1,{PART}}}")
+#: Letters that are scored together, and letters after which running products are scaled back.
+CHUNK, SCALE_EVERY = 400_000, 8
+_WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 
 
@@ -44,68 +42,85 @@ def pieces(path: str) -> dict[str, int]:
     proto = pb.ModelProto()
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
-    kept = sorted({x for p in proto.pieces if p.type == 1 and (x := p.piece.lower()).removeprefix(START).isalpha() and START not in x[1:] and len(x) <= LONGEST_PIECE})
+    kept = sorted({x for p in proto.pieces if p.type == 1 and (x := p.piece.lower()).removeprefix(START).isalpha() and START not in x[1:]})
     return {p: i for i, p in enumerate([*kept, START])}
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, cut into parts of PART letters."""
+    """Lower-cased runs of letters, whole."""
     return _WORD.findall(text.lower()) if text else []
 
 
-def _spans(group: list[str], vocabulary: dict[str, int], n: int) -> np.ndarray:
-    """Piece numbers of all substrings of words with n characters (start mark included); -1 where none, -2 for a lone unknown letter."""
-    get = vocabulary.get
-    ij = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST_PIECE), j)]
-    flat = [get(w[i:j], -1) for w in group for i, j in ij]
-    return np.array(flat, np.int32).reshape(len(group), len(ij))
+def longest_piece(vocabulary: dict[str, int]) -> int:
+    """Characters of the longest piece."""
+    return max(map(len, vocabulary), default=1)
 
 
-def forward(group: list[str], vocabulary: dict[str, int], probability: np.ndarray, expected: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+def _piece_ids(group: list[str], vocabulary: dict[str, int], longest: int) -> list[np.ndarray]:
+    """For each length k up to the longest piece the piece numbers (word, end) of substrings of k characters; -1 where none, -2 for a lone unknown letter."""
+    get, n = vocabulary.get, len(group[0])
+    out = []
+    for k in range(1, min(longest, n) + 1):
+        none = -2 if k == 1 else -1
+        ids = np.array([get(w[j : j + k], none) for w in group for j in range(n - k + 1)], np.int32)
+        out.append(ids.reshape(len(group), n - k + 1))
+    return out
+
+
+def _pass(ids: list[np.ndarray], probability: np.ndarray, n: int, back: bool, keep: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Log of the sum over all segmentations (word, language), and with ``keep`` those of all beginnings (``back``: endings).
+
+    The sums of the last beginnings are kept as products that are scaled back every few letters, so a word of any
+    length neither overflows nor vanishes.
+    """
+    words, langs = ids[0].shape[0], probability.shape[1]
+    recent, scale = [np.ones((words, langs))], np.zeros((words, langs))
+    kept = [np.zeros((words, langs))] if keep else []
+    for j in range(1, n + 1):
+        now = np.zeros((words, langs))
+        for k in range(1, min(len(ids), j) + 1):
+            # the piece of k letters that ends at j, or read from the end
+            now += recent[-k] * probability[ids[k - 1][:, n - j if back else j - k]]
+        recent = [*recent[-(len(ids) - 1) :], now] if len(ids) > 1 else [now]
+        if keep:
+            kept.append(scale + np.log(now))
+        if j % SCALE_EVERY == 0:
+            recent = [r / now for r in recent]
+            scale = scale + np.log(now)
+    return scale + np.log(recent[-1]), kept
+
+
+def forward(group: list[str], vocabulary: dict[str, int], probability: np.ndarray, expected: tuple[np.ndarray, np.ndarray] | None = None, longest: int | None = None) -> np.ndarray:
     """Log probabilities (word, language) of words of equal length that carry the start mark.
 
     probability: (piece + 2, language); its last rows are those of -2 (an unknown letter) and -1 (no piece).
     expected: weights (word, language) and an array like probability, to which expected piece counts are added.
     """
     n, langs = len(group[0]), probability.shape[1]
-    ids = _spans(group, vocabulary, n)
-    place, k = {}, 0
-    for j in range(1, n + 1):
-        for i in range(max(0, j - LONGEST_PIECE), j):
-            place[i, j] = k
-            if j - i == 1:
-                ids[:, k][ids[:, k] == -1] = -2
-            k += 1
-    alpha = np.zeros((n + 1, len(group), langs))
-    alpha[0] = 1
-    for j in range(1, n + 1):
-        for i in range(max(0, j - LONGEST_PIECE), j):
-            alpha[j] += alpha[i] * probability[ids[:, place[i, j]]]
-    total = np.maximum(alpha[n], 1e-300)
+    ids = _piece_ids(group, vocabulary, longest or longest_piece(vocabulary))
+    total, before = _pass(ids, probability, n, False, expected is not None)
     if expected is not None:
         weights, counts = expected
-        beta = np.zeros_like(alpha)
-        beta[n] = 1
-        for i in range(n - 1, -1, -1):
-            for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
-                beta[i] += beta[j] * probability[ids[:, place[i, j]]]
-        for (i, j), k in place.items():
-            x = ids[:, k]
-            on = x >= 0
-            if on.any():
-                share = alpha[i][on] * probability[x[on]] * beta[j][on] / total[on] * weights[on]
-                for lang in range(langs):
-                    counts[:, lang] += np.bincount(x[on], share[:, lang], len(counts))
-    return np.log(total)
+        _, after = _pass(ids, probability, n, True, True)
+        for k in range(1, len(ids) + 1):
+            for i in range(n - k + 1):
+                x = ids[k - 1][:, i]
+                on = x >= 0
+                if on.any():
+                    share = np.exp(before[i][on] + after[n - i - k][on] - total[on]) * probability[x[on]] * weights[on]
+                    for lang in range(langs):
+                        counts[:, lang] += np.bincount(x[on], share[:, lang], len(counts))
+    return total
 
 
 def by_length(found: list[str]) -> Iterator[list[int]]:
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(found):
         groups.setdefault(len(w), []).append(k)
-    for g in groups.values():
-        for a in range(0, len(g), CHUNK):
-            yield g[a : a + CHUNK]
+    for n, g in groups.items():
+        step = max(1, CHUNK // max(1, n))
+        for a in range(0, len(g), step):
+            yield g[a : a + step]
 
 
 def _table(counts: np.ndarray) -> np.ndarray:
@@ -149,13 +164,14 @@ def _expected(counted: DataFrame, path: str, langs: list[str], table: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, counts = pieces(path), np.zeros((len(table) - 2, len(langs)))
+        longest = longest_piece(vocabulary)
         for batch in batches:
             found = [START + w for w in texts(batch.column("word"))]
             column = {x: k for k, x in enumerate(langs)}
             weights = np.zeros((len(found), len(langs)))
             weights[np.arange(len(found)), [column[x] for x in batch.column("lang").to_pylist()]] = batch.column("n").to_numpy()
             for g in by_length(found):
-                forward([found[k] for k in g], vocabulary, table, (weights[g], counts))
+                forward([found[k] for k in g], vocabulary, table, (weights[g], counts), longest)
         at, lang = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("int32")), pa.array(lang.astype("int32")), pa.array(counts[at, lang])], names=["piece", "lang", "n"])
 
@@ -179,6 +195,7 @@ def identify(df: DataFrame, path: str, langs: list[str], table: np.ndarray, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, probability = pieces(path), model.value
+        longest = longest_piece(vocabulary)
         place: dict[str, int] = {}
         scores = np.zeros((0, len(langs)))
         for batch in batches:
@@ -193,7 +210,7 @@ def identify(df: DataFrame, path: str, langs: list[str], table: np.ndarray, text
                     more = np.zeros((len(new), len(langs)))
                     marked = [START + w for w in new]
                     for g in by_length(marked):
-                        more[g] = forward([marked[k] for k in g], vocabulary, probability)
+                        more[g] = forward([marked[k] for k in g], vocabulary, probability, None, longest)
                     place.update(zip(new, range(len(scores), len(scores) + len(new)), strict=True))
                     scores = np.vstack([scores, more])
                 for ws in split:
