@@ -3,12 +3,15 @@
 Labelers vote on candidate spans: shapes (regular expressions), checksums, word lists and the words before the
 span. How often each labeler is right is estimated without labels by expectation-maximisation over the counts of
 vote patterns, which Spark sums over all documents (their number is bounded by the labelers, not by the data).
-The posteriors then train a logistic span classifier, which decides the spans beyond the base rules.
+The posteriors then train a logistic classifier on what a span looks like (its kind, length, kinds of characters and the
+word before it) and on its votes; it decides the spans beyond the base rules.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,21 +20,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import materialize, texts
+from fathomline.llm.common import CARRIED, carry, materialize, texts, unpack
 
 #: Kinds in the order of reports; the first four have base rules.
 KINDS = ["email", "ip", "card", "phone", "secret", "ssn", "iban"]
 BASE_KINDS = KINDS[:4]
 #: Shapes of the base rules and of further candidates.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_LOCAL_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match never ends before a digit, so a start inside a run of digits cannot succeed where its beginning failed
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MORE = {
-    "email": re.compile(r"[A-Za-z0-9._+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]{2,63})+"),
+    "email": re.compile(r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]{2,})+"),
     "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "secret": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -54,6 +56,9 @@ CONTEXT_CHARS = 32
 #: Votes: shape, checksum or word list, words before, words against. Each is 0 (none), 1 (for) or 2 (against).
 LABELERS = 4
 EM_ROUNDS, FIT_ROUNDS, MIN_PROBABILITY = 50, 300, 0.5
+#: Slots of the word before a span; with the kinds of characters and lengths they bound the number of patterns. Weight of the classifier's penalty.
+WORD_SLOTS, PENALTY = 16, 0.01
+_KINDS_OF_CHARS = [re.compile(p) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")]
 
 CANDIDATE = T.ArrayType(
     T.StructType([T.StructField("kind", T.StringType(), False), T.StructField("start", T.LongType(), False), T.StructField("end", T.LongType(), False), T.StructField("base", T.BooleanType(), False), T.StructField("votes", T.StringType(), False)]), False
@@ -129,7 +134,13 @@ def _votes(text: str, kind: str, a: int, b: int, shaped: bool) -> str:
         proof = 1 if 9 <= sum(c.isdigit() for c in s) <= 15 else 0
     near = 1 if _CONTEXT[kind].intersection(before[-4:]) else 0
     against = 2 if _AGAINST.intersection(before[-2:]) else 0
-    return f"{1 if shaped else 0}{proof}{near}{against}"
+    return f"{1 if shaped else 0}{proof}{near}{against}/{_looks(s, before)}"
+
+
+def _looks(s: str, before: list[str]) -> str:
+    """Features of a span: its length as a power of two, its kinds of characters, and the word before it in one of WORD_SLOTS slots."""
+    kinds = "".join(c for c, p in zip("aA0-", _KINDS_OF_CHARS, strict=True) if p.search(s))
+    return f"{len(s).bit_length()},{kinds},{zlib.crc32(before[-1].encode()) % WORD_SLOTS if before else ''}"
 
 
 def candidates(text: str | None) -> list[dict]:
@@ -139,16 +150,30 @@ def candidates(text: str | None) -> list[dict]:
     if not re.search(r"[0-9@\[(]", text):
         return []
     found = [{"kind": k, "start": a, "end": b, "base": True, "votes": _votes(text, k, a, b, True)} for k, a, b in base_spans(text)]
-    taken = [(x["start"], x["end"]) for x in found]
+    taken = _joined([(x["start"], x["end"]) for x in found])
     for kind, shape in _MORE.items():
+        new = []
         for m in shape.finditer(text):
             a, b = m.span()
-            if not any(a < e and s < b for s, e in taken):
-                taken.append((a, b))
+            k = bisect_left(taken, (b,))  # the last taken span that starts before this one ends
+            if not k or taken[k - 1][1] <= a:
+                new.append((a, b))
                 found.append({"kind": kind, "start": a, "end": b, "base": False, "votes": _votes(text, kind, a, b, kind != "phone")})
+        taken = _joined(taken + new)
     return found
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def find_candidates(df: DataFrame, text_col: str, keep: list[str], name: str) -> DataFrame:
     """``keep`` columns and the candidates of each text as an array of structs."""
     at = [df.columns.index(c) for c in keep]
@@ -162,40 +187,63 @@ def find_candidates(df: DataFrame, text_col: str, keep: list[str], name: str) ->
     return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in at), T.StructField(name, CANDIDATE, False)]))
 
 
-def fit(patterns: list[tuple[str, str, bool, int]]) -> dict[str, float]:
-    """Probability of personal data for each ``kind:votes``, from (kind, votes, base, count) of all candidates.
+def posteriors(votes: np.ndarray, n: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Probability of personal data of each vote pattern of one kind, by expectation-maximisation with labelers independent given the class.
 
-    Expectation-maximisation with labelers independent given the class estimates the reliabilities and labels
-    each pattern; a logistic model on one-hot votes and kinds is then fitted to these labels.
+    votes: (pattern, labeler); n: candidates with the pattern; base: the share of them that base rules found. Each
+    kind has reliabilities of its own; pseudo-counts say that a labeler that speaks is right more often than not.
     """
-    if not patterns:
-        return {}
-    keys = sorted({(k, v) for k, v, _, _ in patterns})
-    at = {key: i for i, key in enumerate(keys)}
-    n = np.zeros(len(keys))
-    base = np.zeros(len(keys))
-    for k, v, b, c in patterns:
-        n[at[k, v]] += c
-        base[at[k, v]] += c * b
-    votes = np.array([[int(c) for c in v] for _, v in keys])
     score = (votes == 1).sum(1) - (votes == 2).sum(1)
-    post = np.clip(0.5 + 0.2 * (score - 1) + 0.2 * (base / n), 0.05, 0.95)
+    post = np.clip(0.5 + 0.2 * (score - 1) + 0.2 * base, 0.05, 0.95)
     for _ in range(EM_ROUNDS):
         prior = np.clip((n * post).sum() / n.sum(), 0.02, 0.98)
-        log = np.zeros((len(keys), 2))
+        log = np.zeros((len(n), 2))
         log[:] = np.log([1 - prior, prior])
         for j in range(LABELERS):
             for c, p in enumerate((1 - post, post)):
-                # a labeler that speaks is taken to be right more often than not
                 seen = np.array([(n * p * (votes[:, j] == x)).sum() for x in range(3)]) + ([1.0, 1.0, 5.0] if c == 0 else [1.0, 5.0, 1.0])
                 log[:, c] += np.log(seen / seen.sum())[votes[:, j]]
         post = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
-    x = np.hstack([np.eye(3)[votes].reshape(len(keys), -1), np.array([[k == q for q in KINDS] for k, _ in keys], float), np.ones((len(keys), 1))])
+    return post
+
+
+def _features(kind: str, votes: str) -> list[str]:
+    voted, looks = votes.split("/")
+    length, chars, before = looks.split(",")
+    return [f"{kind}", *(f"{kind}:{j}={v}" for j, v in enumerate(voted)), *(f"{j}={v}" for j, v in enumerate(voted)), f"{kind}:length {length}", f"{kind}:chars {chars}", f"{kind}:after {before}", "all"]
+
+
+def fit(patterns: list[tuple[str, str, bool, int]]) -> dict[str, float]:
+    """Probability of personal data for each ``kind:votes/looks``, from (kind, votes/looks, base, count) of all candidates.
+
+    Expectation-maximisation estimates the labelers' reliabilities kind by kind and labels each vote pattern; a
+    logistic model on votes and looks is then fitted to these labels.
+    """
+    if not patterns:
+        return {}
+    keys = sorted({(k, v) for k, v, _, _ in patterns})
+    at = {key: i for i, key in enumerate(keys)}
+    n, base, post = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys))
+    for k, v, b, c in patterns:
+        n[at[k, v]] += c
+        base[at[k, v]] += c * b
+    for kind in {k for k, _ in keys}:
+        own = np.array([i for i, (k, _) in enumerate(keys) if k == kind])
+        voted, to = np.unique([[int(c) for c in keys[i][1].split("/")[0]] for i in own], axis=0, return_inverse=True)
+        to = to.ravel()
+        m = np.bincount(to, n[own])
+        post[own] = posteriors(voted, m, np.bincount(to, base[own]) / m)[to]
+    found = [_features(k, v) for k, v in keys]
+    names = {f: i for i, f in enumerate(sorted({f for fs in found for f in fs}))}
+    x = np.zeros((len(keys), len(names)))
+    for i, fs in enumerate(found):
+        x[i, [names[f] for f in fs]] = 1
     w, weight = np.zeros(x.shape[1]), (np.sqrt(n) / np.sqrt(n).sum())[:, None]
     for _ in range(FIT_ROUNDS):
         p = 1 / (1 + np.exp(-x @ w))
-        w -= np.linalg.solve((x * weight * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w)), (x * weight).T @ (p - post) + 0.01 * w)
-        if np.abs(p - post).max() < 1e-4:
+        step = np.linalg.solve((x * weight * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + PENALTY / 10 * np.eye(len(w)), (x * weight).T @ (p - post) + PENALTY / 10 * w)
+        w -= step
+        if np.abs(step).max() < 1e-4:
             break
     p = 1 / (1 + np.exp(-x @ w))
     return {f"{k}:{v}": float(q) for (k, v), q in zip(keys, p, strict=True)}
@@ -209,12 +257,13 @@ def detect(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     once and never shuffled; only counts of vote patterns are.
     """
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    found = materialize(find_candidates(df, text_col, keep, spans_col))
-    rows = found.select(F.explode(spans_col).alias("c")).groupBy("c.kind", "c.votes", "c.base").count().collect()
+    carried = df.select(carry(df, keep), F.col(text_col).alias("text"))
+    found = materialize(find_candidates(carried, "text", [CARRIED], "spans"))
+    rows = found.select(F.explode("spans").alias("c")).groupBy("c.kind", "c.votes", "c.base").count().collect()
     chance = fit([(r["kind"], r["votes"], r["base"], r["count"]) for r in rows])
     accepted = F.array(*(F.lit(k) for k, p in sorted(chance.items()) if p >= MIN_PROBABILITY)).cast("array<string>")
-    stays = F.filter(spans_col, lambda c: c["base"] | F.array_contains(accepted, F.concat_ws(":", c["kind"], c["votes"])))
-    return found.select(*keep, in_order(stays).alias(spans_col))
+    stays = F.filter("spans", lambda c: c["base"] | F.array_contains(accepted, F.concat_ws(":", c["kind"], c["votes"])))
+    return unpack(found, keep, **{spans_col: in_order(stays)})
 
 
 def in_order(spans: Column) -> Column:
