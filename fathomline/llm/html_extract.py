@@ -1,9 +1,11 @@
 """Operator 8: main text of web pages as the maximum-scoring run of words and tags.
 
 A page is a sequence of words and tags. Words score positive and tags negative, and one linear scan (the running
-sum, restarted where it falls to zero) finds the contiguous run of greatest sum: the article. The weights are fitted
-by a structured perceptron to labelled pages, those that mark their article with an element of their own; the scan
-itself never reads that mark. Inside the run, elements that hold no article text are left out.
+sum, restarted where it falls to zero) finds the contiguous run of greatest sum: the article. What stands between two
+words, tags and elements without article text alike, costs MOST_GAP at most, so an inserted box doesn't cut an article
+in two. The weights are fitted by a structured perceptron to labelled pages, those that mark their article with an
+element of their own; the scan itself never reads that mark. Inside the run, elements that hold no article text are
+left out: by their name or a whole class, id or role token, unless they wrap the bulk of the page.
 """
 
 from __future__ import annotations
@@ -25,40 +27,63 @@ WORD, ASIDE = "word", "aside"
 FIRST_WORD, FIRST_TAG, LEAST = 1.0, -1.0, 0.05
 #: Elements whose text is never shown, elements that hold no article text, void elements, block elements.
 HIDDEN = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas"}
-OUTSIDE = {"nav", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu"}
+OUTSIDE = {"nav", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu", "header"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|banner|comment|comments|cookie|consent|footer|header|menu|nav|navbar|navigation|newsletter|notice|popup|promo|related|share|sharing|sidebar|social|sponsor|sponsored|subscribe|widget|breadcrumb|breadcrumbs)(?:$|[\s_-])"
-)
+#: Parts of class, id and role tokens that name what is no article text; first parts after which they do not.
+_ASIDE = {
+    "ad", "ads", "advert", "advertisement", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "discussion",
+    "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promotion", "related", "replies", "search", "share", "sharing", "sidebar",
+    "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
+}
+_OF_ARTICLE = {"article", "post", "entry", "content", "story", "body", "text", "with", "has", "no", "without", "before", "after"}
+_SOCIAL = {"links", "share", "media", "icons", "bar", "buttons"}
+#: Elements that are left out however much of a page they hold.
+NEVER = {"nav", "footer", "button", "select", "textarea", "dialog", "menu"}
+#: Least score of what stands between two words.
+MOST_GAP = -4.0
 #: Marks of labelled pages; the scan sees them as if they were not there.
 LABEL = {"article", "main"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
+_REST = r"|<[!?][^>]*+>|</[^a-zA-Z][^>]*+>|</>|[^<]++|<(?![a-zA-Z/!?])"
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>" + _REST, re.DOTALL)
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>" + _REST, re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """("open", name, class and id), ("close", name, "") and ("text", text, "") of a page; comments, hidden elements and their tags are left out."""
-    at, n = 0, len(page)
+    """("open", name, class and id), ("close", name, "") and ("text", text, "") of a page; comments, hidden elements and their tags are left out.
+
+    From the first tag with an unclosed quote on, a tag ends at the next >, quoted or not; a tag without an end ends the
+    page. A script or style without an
+    end hides the rest of the page, another hidden element without an end hides nothing.
+    """
+    at, n, last, shape = 0, len(page), page.rfind(">"), _TOKEN
+    endless: set[str] = set()
     while at < n:
-        m = _TOKEN.match(page, at)
-        if m is None:  # an unclosed quote in a tag: the tag ends at the next >
-            end = page.find(">", at)
-            at = n if end < 0 else end + 1
+        m = shape.match(page, at)
+        if m is None:
+            if at > last:  # a tag without an end
+                return
+            shape = _PLAIN
             continue
         at = m.end()
         if m[2]:
             name = m[2].lower()
             if name in HIDDEN and not m[1]:
-                if name != "head" and not m[3].endswith("/"):
-                    end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-                    at = end.end() if end else n
-                elif name == "head":
+                if name == "head":
                     end = re.compile(r"</head\s*>|<body\b", re.IGNORECASE).search(page, at)
                     at = (end.start() if end[0][1] != "/" else end.end()) if end else at
+                elif not m[3].endswith("/") and name not in endless:
+                    end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+                    if end:
+                        at = end.end()
+                    elif name in ("script", "style"):
+                        at = n
+                    else:
+                        endless.add(name)
                 continue
             if name in HIDDEN:
                 continue
@@ -68,36 +93,99 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "text", m[0], ""
 
 
+def names_aside(marks: str) -> bool:
+    """Whether a class, id or role token names what is no article text: by itself, or by its first or last part."""
+    for token in marks.split():
+        parts = [x for x in re.split(r"[-_]+", token) if x]
+        if not parts or parts[0] in _OF_ARTICLE:
+            continue
+        if parts[0] == "social":
+            if len(parts) == 1 or _SOCIAL.intersection(parts[1:]):
+                return True
+        elif parts[0] in _ASIDE or parts[-1] in _ASIDE:
+            return True
+    return False
+
+
 def _feature(kind: str, name: str, marks: str) -> str:
-    return f"{kind}:{name}" + (":aside" if marks and _CLASS.search(marks) else "")
+    return f"{kind}:{name}" + (":aside" if marks and names_aside(marks) else "")
 
 
-def sequence(page: str) -> tuple[list[str], list[bool], list[tuple[str, str, str]]]:
-    """Features of the words and tags of a page, whether each lies in a labelled element, and the tokens they come from.
+def _ends(found: list[tuple[str, str, str]]) -> dict[int, int]:
+    """For each opening tag where its element ends: at its closing tag, else where the element around it ends."""
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    stack: list[int] = []
+    for i, (kind, name, _) in enumerate(found):
+        if kind == "open" and name not in VOID:
+            open_.setdefault(name, []).append(i)
+            stack.append(i)
+        elif kind == "close" and open_.get(name):
+            while stack:
+                k = stack.pop()
+                open_[found[k][1]].pop()
+                ends[k] = i
+                if found[k][1] == name:
+                    break
+    return ends | {k: len(found) for k in stack}
+
 
-    Words in elements that hold no article text count as a part of these elements' tags.
+def _aside(found: list[tuple[str, str, str]]) -> list[bool]:
+    """For each token whether it lies in an element that holds no article text.
+
+    An element that wraps the page's first h1 and half of its words, without an h1 four fifths of them, is none whatever its class;
+    a header with a heading and without a menu is a title.
     """
-    features, inside, found, depth = [], [], [], 0
-    outside: tuple[str, int] | None = None  # the outermost such element, and open elements of its name
-    for kind, name, marks in tokens(page):
+    ends, words, title = _ends(found), [0], None
+    for i, (kind, name, _) in enumerate(found):
+        words.append(words[-1] + (len(name.split()) if kind == "text" else 0))
+        if title is None and kind == "open" and name == "h1":
+            title = i
+    out, until = [False] * len(found), 0
+    for i, (kind, name, marks) in enumerate(found):
+        if i >= until and kind == "open" and name not in VOID and name not in ("body", "html", *LABEL):
+            by_class = bool(marks) and names_aside(marks)
+            if name in OUTSIDE or by_class:
+                end, all_ = ends[i], words[-1]
+                inside = words[end] - words[i]
+                names = {x for k, x, _ in found[i + 1 : end] if k == "open"} if name == "header" and not by_class else ()
+                wraps = name not in NEVER and (5 * inside > 4 * all_ if title is None else i < title < end and 2 * inside > all_)
+                if not wraps and not (names and names & {"h1", "h2"} and not names & {"nav", "ul", "ol", "form", "menu"}):
+                    until = end + 1
+        out[i] = i < until
+    return out
+
+
+def sequence(page: str) -> tuple[list[str], list[bool], list[tuple[str, str, str]]]:
+    """Features of the words and tags of a page, whether each lies in a labelled element, and the tokens they come from."""
+    found = list(tokens(page))
+    features, inside, depth = [], [], 0
+    for (kind, name, marks), aside in zip(found, _aside(found), strict=True):
         if kind == "text":
-            features.append(f"{ASIDE if outside else WORD}*{len(name.split())}")
+            features.append(f"{ASIDE if aside else WORD}*{len(name.split())}")
         elif name in LABEL:
             depth = max(0, depth + (1 if kind == "open" else -1))
             features.append("")
         else:
             features.append(_feature(kind, name, marks))
-        if kind != "text":
-            if outside and name == outside[0]:
-                n = outside[1] + (1 if kind == "open" else -1)
-                outside = (name, n) if n else None
-            elif not outside and kind == "open" and name not in VOID and name not in ("body", "html", *LABEL) and (name in OUTSIDE or (marks and _CLASS.search(marks))):
-                outside = (name, 1)
-        found.append((kind, name, marks))
         inside.append(depth > 0)
     return features, inside, found
 
 
+def _scores(weights: dict[str, float], features: list[str]) -> list[float]:
+    """The score of each token; between two words no more than MOST_GAP is lost."""
+    out, gap = [], 0.0
+    for f in features:
+        x = _score(weights, f)
+        if x > 0:
+            gap = 0.0
+        else:
+            x = max(x, MOST_GAP - gap)
+            gap += x
+        out.append(x)
+    return out
+
+
 def _score(weights: dict[str, float], f: str) -> float:
     if not f:
         return 0.0
@@ -142,7 +230,7 @@ def fit(pages: list[str]) -> dict[str, float]:
     for _ in range(ROUNDS):
         wrong = 0
         for features, a, b in labelled:
-            s, e = best_run([_score(weights, f) for f in features])
+            s, e = best_run(_scores(weights, features))
             words = [i for i in range(s, e) if features[i].startswith(WORD + "*") and features[i] != f"{WORD}*0"]
             if words and (words[0], words[-1] + 1) == (a, b):
                 continue
@@ -162,7 +250,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     features, _, found = sequence(page)
-    start, end = best_run([_score(weights, f) for f in features])
+    start, end = best_run(_scores(weights, features))
     blocks: list[list[str]] = [[]]
     for i in range(start, end):
         kind, name, _ = found[i]

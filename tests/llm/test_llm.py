@@ -218,6 +218,24 @@ def test_short_items_are_searched(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 1, 0), (1, 3, 0), (2, 1, 0), (2, 3, 0), (4, 3, 0), (5, 2, 0), (6, 3, 0)]
 
 
+def test_blocks_of_items(spark, monkeypatch):
+    """Many blocks find what one block finds, and clashing column names are carried through."""
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    items = [(i, text(12)) for i in range(12)]
+    docs_ = [(i, f"{text(20)} {items[i % 12][1]} {items[(i * 5) % 12][1][:-2]} {text(20)}", i) for i in range(24)] + [(30, None, 0), (31, text(30), 0)]
+    df = spark.createDataFrame(docs_, "doc_id bigint, text string, _text bigint").withColumn("_hits", F.lit(1)).withColumn("leaks", F.lit(2))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    one = sorted(map(tuple, decontaminate.leaks(df, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
+    assert len(list(decontaminate.blocks(bench))) > 5
+    assert sorted(map(tuple, decontaminate.leaks(df, bench).collect())) == one and len(one) >= 40
+    brute = {(d, i) for d, t, _ in docs_ for i, x in items if t and decontaminate.distance(x, t, len(x) // 20)}
+    assert {r[:2] for r in one} == brute
+    left = decontaminate.clean(df, bench)
+    assert left.columns == df.columns and sorted(r[0] for r in left.collect()) == [30, 31]
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -349,6 +367,35 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(np.exp(got), [brute(w, 0), brute(w, 1)])
 
 
+def test_long_words_are_summed_whole():
+    """A word of any length: the sum over all segmentations, and expected counts, as exact fractions give them."""
+    from fractions import Fraction
+
+    vocabulary = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "bab": 5}
+    probability = [Fraction(1, 5), Fraction(1, 10), Fraction(1, 7), Fraction(1, 9), Fraction(1, 4), Fraction(1, 11)]
+    p = np.vstack([np.array([[float(x)] for x in probability]), [[1e-9]], [[0]]])
+    w = "▁" + "abbab" * 300
+    n = len(w)
+    ahead, after = [Fraction(1)], [Fraction(1)]
+    for j in range(1, n + 1):
+        ahead.append(sum((ahead[j - k] * probability[vocabulary[w[j - k : j]]] for k in (1, 2, 3) if w[j - k : j] in vocabulary and k <= j), Fraction(0)))
+        i = n - j
+        after.append(sum((after[j - k] * probability[vocabulary[w[i : i + k]]] for k in (1, 2, 3) if w[i : i + k] in vocabulary and k <= j), Fraction(0)))
+    counts = np.zeros((6, 1))
+    got = language_id.forward([w, w], vocabulary, p, (np.array([[2.0], [1.0]]), counts))
+    import math
+
+    log = math.log(ahead[n].numerator) - math.log(ahead[n].denominator)
+    assert np.allclose(got, log) and log < -1000
+    want = [0.0] * 6
+    for i in range(n):
+        for k in (1, 2, 3):
+            if i + k <= n and w[i : i + k] in vocabulary:
+                x = vocabulary[w[i : i + k]]
+                want[x] += 3 * float(ahead[i] * probability[x] * after[n - i - k] / ahead[n])
+    assert np.allclose(counts[:, 0], want)
+
+
 def test_language_of_held_out_texts(spark):
     rng = random.Random(4)
     syllables = {"en": "the ing tion er and th".split(), "fr": "que eau ment ou é le".split(), "de": "sch ung keit ü der ein".split()}
@@ -394,6 +441,18 @@ def test_licences(spark, docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_many_notices_in_one_text(spark):
+    """A text of very many notices takes time in proportion, and clashing columns are carried."""
+    import time
+
+    notice = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+    df = spark.createDataFrame([(1, notice * 20_000, 5), (2, "x " + notice, 6), (3, None, 7)], "doc_id bigint, text string, n_words int").withColumn("_words", F.lit("w")).withColumn("labels", F.lit("l"))
+    began = time.time()
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    assert time.time() - began < 60
+    assert got[1]["labels_"] == got[2]["labels_"] == "mit" and got[3]["labels_"] == "" and got[2]["n_words"] == 6 and got[2]["n_words_"] == 21 and got[1]["_words"] == "w"
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -427,6 +486,28 @@ def test_personal_data(spark, docs, empty):
     assert pii.detect(empty).count() == 0
 
 
+def test_added_spans():
+    """Further candidates: whole, beside base spans without overlap, and in time in proportion to the text."""
+    import time
+
+    found = pii.candidates("a" * 100 + " (at) b.com and ann.lee [at] mail (dot) example (dot) org")
+    assert [(c["start"], c["end"]) for c in found] == [(0, 111), (116, 157)]
+    t = "mail a@b.com 123-45-6789 or 10.0.0.1 token 0f3a9c7d5e1b2a4c6d8e0f1a2b3c4d5e 555-123-4567 "
+    one = pii.candidates(t)
+    spans = sorted((c["start"], c["end"]) for c in one)
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+    assert {c["kind"] for c in one} == {"email", "ssn", "ip", "secret", "phone"}
+    began = time.process_time()
+    assert len(pii.candidates(t * 10_000)) == 10_000 * len(one)
+    assert time.process_time() - began < 30
+
+
+def test_reliabilities_are_estimated_by_kind():
+    """A labeler that is right for one kind and silent for another does not lend its figure."""
+    chance = pii.fit([("ssn", "1110/4,0-,3", False, 50), ("ssn", "1200/4,0-,5", False, 50), ("secret", "1100/6,a0,", False, 200), ("secret", "1202/6,a0,7", False, 20)])
+    assert chance["ssn:1110/4,0-,3"] > 0.5 > chance["ssn:1200/4,0-,5"] and chance["secret:1100/6,a0,"] > 0.5 > chance["secret:1202/6,a0,7"]
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -448,6 +529,39 @@ def test_main_text(spark):
     assert html_extract.extract(df.where("false"), {}).count() == 0
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<header><a href='/'>Site of all words</a><ul><li>one</li></ul></header>{a}",
+        "<div class='masthead'><h2>The daily word and more of it</h2></div>{a}",
+        "<div class='alert'>We use cookies on all of these pages here</div>{a}",
+        "{a}<div class='discussion'><p>I do not agree with any of this at all</p></div>",
+        "<div class='content with-sidebar'>{a}<div class='sidebar'>See also these pages of ours</div></div>",
+        "<div class='social-science'>{a}</div>",
+        "<form id='page-menu'>{a}</form>",
+        "<noscript>{a}",
+        "<nav>Home News</nav>{b}<div></div><div></div><div></div><div></div><div></div><div></div>{c}",
+        "{b}<div class='related'><p>" + "other news of the day " * 30 + "</p></div>{c}",
+        "{a}<section id='comments'><p>" + "so many words of readers " * 60 + "</p></section>",
+    ],
+)
+def test_pages_of_many_kinds(body):
+    first, second = "First words of the text stand here.", "And then come some more words, " * 5
+    title = "<div class='article-header'><h1>A long title of the page</h1></div>"
+    page_ = f"<html><body>{body}<footer>Imprint and terms of use</footer></body></html>".replace("{a}", f"<article>{title}<p>{first}</p><p>{second}</p></article>")
+    page_ = page_.replace("{b}", f"{title}<p>{first}</p>").replace("{c}", f"<p>{second}</p>")
+    assert html_extract.main_text(page_, {}) == f"A long title of the page\n{first}\n{second.strip()}"
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for bad in ('<a "', "<noscript>", "<a '>x", "<", "< b", '<a "\'>x', "<div>", "</p>", "<div class=ad>", "<!", "<header>"):
+        began = time.process_time()
+        html_extract.main_text(bad * 20_000, {})
+        assert time.process_time() - began < 5, bad
+
+
 def test_training_pages_by_one_rule(spark, monkeypatch):
     """Few or many marked pages, distinct or equal keys: always those with the smallest hashes train."""
     monkeypatch.setattr(html_extract, "TRAINING_PAGES", 5)
@@ -513,6 +627,8 @@ def test_quality(spark, docs, empty):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
         assert not (r["base_failed"] and r["kept"])
     assert quality_rules.judge(empty).count() == 0
+    clash = quality_rules.judge(docs.withColumn("n_words", F.lit("x")).withColumn("kept", F.lit("y")).withColumn("host", F.lit("z")))
+    assert clash.columns[-1] == "kept_" and {r["doc_id"]: (r["n_words_"], r["kept_"]) for r in clash.collect()} == {i: (r["n_words"], r["kept"]) for i, r in got.items()}
 
 
 def test_hosts_shrink(spark):
