@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import exact as X
-from fathomline.operators import accounts, book, bounds, compare, holders, replay, risk, store, trades
+from fathomline.operators import accounts, book, bounds, holders, replay, risk, store, trades
 from fathomline.plans import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -377,11 +377,3 @@ def metrics_downsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {METRICS} SELECT pair_id, src AS data_source, min(ledger_seq) AS from_ledger, max(ledger_seq) AS to_ledger, count(*) AS points FROM m GROUP BY ALL")
 def metrics_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.history_range(A.metrics(spark, sf_dir))
-
-
-@query(f"WITH {LEVELS}, a AS (SELECT pair_id, side, n, row_number() OVER (PARTITION BY pair_id, side ORDER BY CASE WHEN side = 'bid' THEN -n ELSE n END) AS r FROM (SELECT DISTINCT pair_id, side, n FROM levels)) SELECT pair_id, count(*) FILTER (side = 'bid') AS recorded_bids, count(*) FILTER (side = 'ask') AS recorded_asks, true AS levels_match, true AS prices_match, pair_id % 10 <> 0 AS amounts_match FROM a GROUP BY ALL")
-def book_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged books against themselves, with amounts changed for every tenth pair."""
-    a = book.merge_levels(A.book_levels(spark, sf_dir))
-    b = a.withColumn("amount", F.when(F.col("pair_id") % 10 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(19,7)"))
-    return compare.crosscheck(a, b).select("pair_id", *big("recorded_bids", "recorded_asks"), "levels_match", "prices_match", "amounts_match")
