@@ -38,6 +38,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1_000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, to be read by Python workers in batches of BATCH_ROWS rows, so that texts take little of their memory (a setting of the session)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 #: Column that carries the caller's columns through an operator, so that none of them clashes with the operator's own.
 CARRIED = "__carried"
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import materialize, texts, unique_names
+from fathomline.llm.common import materialize, text_batches, texts, unique_names
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 20
@@ -153,7 +153,7 @@ def _add(docs: DataFrame, items, text: str, name: str) -> DataFrame:
             found = [[{"item_id": i, "distance": d, "end": e} for i, d, e in block.matches(t)] for t in texts(batch.column(text))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, HIT, False)]))
+    return text_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, HIT, False)]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import texts, unique_names
+from fathomline.llm.common import text_batches, texts, unique_names
 
 #: Bound of the labelled pages that the weights are fitted on, and rounds over them.
 TRAINING_PAGES, ROUNDS = 400, 4
@@ -292,4 +292,4 @@ def extract(pages: DataFrame, weights: dict[str, float], html_col: str = "html",
             out = pa.array([main_text(p, weights) for p in texts(batch.column(html_col))], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), out], names=[*keep, name])
 
-    return pages.mapInArrow(run, T.StructType([*(pages.schema.fields[i] for i in at), T.StructField(name, T.StringType(), False)]))
+    return text_batches(pages).mapInArrow(run, T.StructType([*(pages.schema.fields[i] for i in at), T.StructField(name, T.StringType(), False)]))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import materialize, texts, unique_names
+from fathomline.llm.common import materialize, text_batches, texts, unique_names
 
 #: Bound of the labelled texts that the models are fitted on; with more labelled rows a sample by document id is taken.
 TRAINING_ROWS = 12_000
@@ -224,7 +224,7 @@ def identify(df: DataFrame, path: str, langs: list[str], table: np.ndarray, text
                     sure.append(float(1 / np.exp(np.clip((total - total[best]) / len(ws), -700, 0)).sum()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(preds, pa.string()), pa.array(sure, pa.float64())], names=[*keep, *names])
 
-    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in at), T.StructField(names[0], T.StringType(), False), T.StructField(names[1], T.DoubleType(), False)]))
+    return text_batches(df).mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in at), T.StructField(names[0], T.StringType(), False), T.StructField(names[1], T.DoubleType(), False)]))
 
 
 def held_out(key: Column) -> Column:

@@ -18,13 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import key_filter, key_slot, materialize, passes
+from fathomline.llm.common import key_filter, key_slot, materialize, passes, text_batches
 from fathomline.llm.components import connected_components
 from fathomline.llm.word_hash import of_column
 
@@ -119,7 +118,7 @@ def sketch(docs: DataFrame, key_col: str, text_col: str, size: int) -> DataFrame
                 regs.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(regs, pa.binary())], names=["doc", "n", "same", "regs"])
 
-    return docs.select(F.col(key_col).cast("long").alias("doc"), text_col).mapInArrow(run, "doc long, n long, same binary, regs binary")
+    return text_batches(docs).select(F.col(key_col).cast("long").alias("doc"), text_col).mapInArrow(run, "doc long, n long, same binary, regs binary")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -260,14 +259,14 @@ def _left_over(large: DataFrame, labels: DataFrame, reps: DataFrame, made: DataF
     outside = materialize(members.where("component <> main").select("band", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *fields))
     every = members.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), *fields)
 
-    def compare(key: tuple, queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, queries: pa.Table, others: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
         if len(queries) and len(others):
-            rq, ro = (np.frombuffer(b"".join(x["regs"]), np.uint16).reshape(-1, REGISTERS) for x in (queries, others))
-            dq, do, cq, co = queries["doc"].to_numpy(), others["doc"].to_numpy(), queries["component"].to_numpy(), others["component"].to_numpy()
-            nq, no = queries["n"].to_numpy(float), others["n"].to_numpy(float)
-            mq, mo = queries["members"].tolist(), others["members"].tolist()
-            band = int(np.flatnonzero(band_keys(rq[0]) == key[0])[0])
+            rq, ro = (np.frombuffer(b"".join(x["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in (queries, others))
+            cq, co = queries["component"].to_numpy(), others["component"].to_numpy()
+            nq, no = queries["n"].to_numpy().astype(float), others["n"].to_numpy().astype(float)
+            mq, mo = queries["members"], others["members"]
+            band = int(np.flatnonzero(band_keys(rq[0]) == key[0].as_py())[0])
             parent: dict[int, int] = {}
 
             def find(x: int) -> int:
@@ -276,7 +275,7 @@ def _left_over(large: DataFrame, labels: DataFrame, reps: DataFrame, made: DataF
                 return x
 
             left, right = [], []
-            for k in range(len(dq)):
+            for k in range(len(rq)):
                 same = ro == rq[k]
                 # registers agree at least as often as the similarity says; equal bytes are counted eight at a time
                 often = np.bitwise_count(same.view(np.uint64)).sum(1) >= (MIN_ESTIMATE - 0.08) * REGISTERS
@@ -290,13 +289,13 @@ def _left_over(large: DataFrame, labels: DataFrame, reps: DataFrame, made: DataF
             for x in order[: int((likely >= MIN_ESTIMATE).sum())]:
                 q, o = i[x], j[x]
                 a, b = find(int(cq[q])), find(int(co[o]))
-                if a != b and linked(np.frombuffer(mq[q], np.uint64), np.frombuffer(mo[o], np.uint64)):
+                if a != b and linked(np.frombuffer(mq[int(q)].as_py(), np.uint64), np.frombuffer(mo[int(o)].as_py(), np.uint64)):
                     parent[max(a, b)] = min(a, b)
                     out.append((cq[q], co[o]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     key = ["band", "block", "part"]
-    return materialize(outside.groupBy(*key).cogroup(every.groupBy(*key)).applyInPandas(compare, "a long, b long"))
+    return materialize(outside.groupBy(*key).cogroup(every.groupBy(*key)).applyInArrow(compare, "a long, b long"))
 
 
 def representatives(sketched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

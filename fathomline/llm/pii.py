@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import CARRIED, carry, materialize, texts, unpack
+from fathomline.llm.common import CARRIED, carry, materialize, text_batches, texts, unpack
 
 #: Kinds in the order of reports; the first four have base rules.
 KINDS = ["email", "ip", "card", "phone", "secret", "ssn", "iban"]
@@ -174,17 +174,17 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_candidates(df: DataFrame, text_col: str, keep: list[str], name: str) -> DataFrame:
-    """``keep`` columns and the candidates of each text as an array of structs."""
-    at = [df.columns.index(c) for c in keep]
+def find_candidates(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """The column that carries others, and the candidates of each text as an array of structs; a text that is carried is not sent twice."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([candidates(t) for t in texts(batch.column(text_col))], kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), found], names=[*keep, name])
+            column = batch.column("text") if "text" in batch.schema.names else batch.column(CARRIED).field(text_col)
+            found = pa.array([candidates(t) for t in texts(column)], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(CARRIED), found], names=[CARRIED, name])
 
-    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in at), T.StructField(name, CANDIDATE, False)]))
+    return text_batches(df).mapInArrow(run, T.StructType([df.schema[CARRIED], T.StructField(name, CANDIDATE, False)]))
 
 
 def posteriors(votes: np.ndarray, n: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -257,8 +257,8 @@ def detect(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     once and never shuffled; only counts of vote patterns are.
     """
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    carried = df.select(carry(df, keep), F.col(text_col).alias("text"))
-    found = materialize(find_candidates(carried, "text", [CARRIED], "spans"))
+    carried = df.select(carry(df, keep), *([] if text_col in keep else [F.col(text_col).alias("text")]))
+    found = materialize(find_candidates(carried, text_col, "spans"))
     rows = found.select(F.explode("spans").alias("c")).groupBy("c.kind", "c.votes", "c.base").count().collect()
     chance = fit([(r["kind"], r["votes"], r["base"], r["count"]) for r in rows])
     accepted = F.array(*(F.lit(k) for k, p in sorted(chance.items()) if p >= MIN_PROBABILITY)).cast("array<string>")
@@ -296,4 +296,4 @@ def redact(df: DataFrame, text_col: str = "text", spans_col: str = "pii_spans")
             new = pa.array([clean(t, s.as_py()) for t, s in zip(texts(batch.column(text_col)), batch.column(spans_col), strict=True)], pa.string())
             yield batch.set_column(at, batch.schema.field(at).name, new)
 
-    return df.mapInArrow(run, df.schema)
+    return text_batches(df).mapInArrow(run, df.schema)

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from fathomline.llm.common import texts, unique_names
+from fathomline.llm.common import text_batches, texts, unique_names
 
 SPACE = "▁"
 #: Remembered parts of texts in a worker; beyond it the memory starts anew (results do not change).
-MEMORY = 500_000
+MEMORY = 150_000
 #: Parts longer than this are not remembered.
 LONGEST_KEPT = 64
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -133,7 +133,7 @@ class PieceModel:
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether the two pieces stay apart when their characters are merged anew; remembered by the left piece."""
-        if self.pairs > 4 * MEMORY:
+        if self.pairs > 2 * MEMORY:
             self.apart, self.pairs = {"": _Always()}, 0
         self.pairs += 1
         ok = self.apart.setdefault(a, {})[b] = self.merged(a + b) == [a, b]
@@ -256,7 +256,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "tok
                 columns.append(pa.array(decoded, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
-    return df.mapInArrow(run, schema)
+    return text_batches(df).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:

@@ -22,14 +22,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import key_filter, key_slot, materialize, passes, texts
+from fathomline.llm.common import key_filter, key_slot, materialize, passes, text_batches, texts
 from fathomline.llm.word_hash import mixed, of_column
 
 WINDOW, GRAM = 13, 7
@@ -142,7 +141,7 @@ def sketches(docs: DataFrame, shards: int, text_col: str, key_col: str) -> DataF
         if piece.n:
             yield from piece.rows(number, shards)
 
-    return docs.select(text_col, key_col, "_mark").mapInArrow(run, PARTS)
+    return text_batches(docs).select(text_col, key_col, "_mark").mapInArrow(run, PARTS)
 
 
 def _cells(low: np.ndarray, row: int) -> np.ndarray:
@@ -165,25 +164,23 @@ def estimated_twice(parts: list[np.ndarray]) -> np.ndarray:
 def answers(parts: DataFrame) -> DataFrame:
     """(piece, shard, size, bits): for every piece and shard one bit a minimizer, whether the shard estimates it repeated."""
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        twice = estimated_twice([np.frombuffer(c, np.uint32) for c in group["cells"]])
-        cuts = np.cumsum(group["size"])[:-1]
-        out = group[["piece", "shard", "size"]].copy()
-        out["bits"] = [np.packbits(x).tobytes() for x in np.split(twice, cuts)]
-        return out
+    def merge(group: pa.Table) -> pa.Table:
+        twice = estimated_twice([np.frombuffer(c.as_py(), np.uint32) for c in group["cells"]])
+        cuts = np.cumsum(group["size"].to_numpy())[:-1]
+        return group.select(["piece", "shard", "size"]).append_column("bits", pa.array([np.packbits(x).tobytes() for x in np.split(twice, cuts)], pa.binary()))
 
-    return parts.where("shard >= 0").select("piece", "shard", "size", "cells").groupBy("shard").applyInPandas(merge, "piece long, shard int, size int, bits binary")
+    return parts.where("shard >= 0").select("piece", "shard", "size", "cells").groupBy("shard").applyInArrow(merge, "piece long, shard int, size int, bits binary")
 
 
 def repeated_spans(parts: DataFrame) -> DataFrame:
     """(key, mark, n_words, same, spans) of each text: its length, a digest of its words, and as 32-bit pairs the windows
     [from, to) estimated repeated."""
 
-    def spans(key: tuple, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        d = np.frombuffer(docs["docs"][0], _DOC)
-        runs, lengths = np.frombuffer(docs["runs"][0], np.uint32), np.frombuffer(docs["lengths"][0], np.uint8).astype(np.int64)
-        found = found.sort_values("shard")
-        flags = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(found["bits"], found["size"], strict=True)]
+    def spans(docs: pa.Table, found: pa.Table) -> pa.Table:
+        d = np.frombuffer(docs["docs"][0].as_py(), _DOC)
+        runs, lengths = np.frombuffer(docs["runs"][0].as_py(), np.uint32), np.frombuffer(docs["lengths"][0].as_py(), np.uint8).astype(np.int64)
+        found = found.sort_by("shard")
+        flags = [np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=n.as_py()) for b, n in zip(found["bits"], found["size"], strict=True)]
         twice = np.concatenate([np.zeros(0, np.uint8), *flags]).astype(bool)
         on = (twice | (np.bincount(runs, minlength=len(twice)) > 1))[runs]  # a piece gives each minimizer once and knows its own repeats
         text = np.repeat(np.arange(len(d)), d["runs"])
@@ -197,10 +194,15 @@ def repeated_spans(parts: DataFrame) -> DataFrame:
         of = text[a]
         pairs = np.stack([starts[a] - base[of], ends[b] - base[of]], 1).astype(np.int32)
         cuts = np.searchsorted(of, np.arange(len(d) + 1))
-        return pd.DataFrame({"key": d["key"], "mark": d["mark"], "n_words": d["n_words"], "same": [x.tobytes() for x in d["same"]], "spans": [pairs[i:j].tobytes() if j > i else None for i, j in zip(cuts, cuts[1:], strict=False)]})
+        return pa.table(
+            {
+                "key": pa.array(d["key"]), "mark": pa.array(d["mark"]), "n_words": pa.array(d["n_words"]), "same": pa.array([x.tobytes() for x in d["same"]], pa.binary()),
+                "spans": pa.array([pairs[i:j].tobytes() if j > i else None for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+            }
+        )
 
     told = parts.where("shard < 0").select("piece", "docs", "runs", "lengths")
-    return told.groupBy("piece").cogroup(answers(parts).groupBy("piece")).applyInPandas(spans, "key long, mark int, n_words long, same binary, spans binary")
+    return told.groupBy("piece").cogroup(answers(parts).groupBy("piece")).applyInArrow(spans, "key long, mark int, n_words long, same binary, spans binary")
 
 
 def shards_for(docs: DataFrame, text_col: str) -> int:
