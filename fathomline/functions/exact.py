@@ -49,8 +49,21 @@ def oriented(n: Column, d: Column, record_base: Column, base: Column) -> Column:
 
 
 def notional(amount: Column, n: Column, d: Column) -> Column:
-    """amount * n / d in quote units, 14 decimals."""
-    return (amount.cast(AMOUNT) * n.cast("decimal(12,0)") / d.cast("decimal(12,0)")).cast(WIDE)
+    """amount * n / d in quote units, 14 decimals, for any BIGINT fraction; null where the result does not fit."""
+    short = lambda c: c.try_cast("decimal(12,0)")
+    narrow = (amount.cast(AMOUNT) * short(n) / short(d)).cast(WIDE)
+    # whole part and remainder of the fraction, each of a size that a product with the amount keeps exactly
+    rest = ((n % d).cast("decimal(19,0)") / d.cast("decimal(19,0)")).cast("decimal(18,17)")
+    whole = F.try_divide(n - n % d, d).cast("decimal(19,0)").try_cast("decimal(18,0)")
+    wide = F.try_add(F.try_multiply(amount.cast(AMOUNT), whole).try_cast(WIDE), (amount.cast(AMOUNT) * rest).cast(WIDE))
+    return F.when(short(n).isNotNull() & short(d).isNotNull(), narrow).otherwise(wide)
+
+
+def ratio_pct(part: Column, whole: Column) -> Column:
+    """100 * part / whole of two prices; small ones are scaled up first, so that no digits of theirs are cut. Null where whole is 0."""
+    small = (F.abs(whole) < F.lit("0.000001").cast("decimal(7,6)")) & (F.abs(part) < 1)
+    up = lambda c: F.when(small, (c.try_cast("decimal(19,18)") * F.lit(10**12).cast("decimal(13,0)")).cast("decimal(30,10)")).otherwise(c.cast("decimal(30,10)"))
+    return F.try_divide(up(part) * 100, up(whole))
 
 
 def spot_price(reserve_base: Column, reserve_quote: Column) -> Column:

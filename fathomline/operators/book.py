@@ -61,7 +61,7 @@ def reference_price(snapshots: DataFrame, levels: DataFrame, pools: DataFrame, p
     pool = deepest_pool(pools).select(*KEY, "pool_id", "spot")
     out = snapshots.join(book_top(levels), KEY, "left").join(pool, KEY, "left")
     mid = ((F.col("best_bid") + F.col("best_ask")) / 2).cast(X.PRICE)
-    divergence = F.try_divide(F.abs(F.col("book_mid") - F.col("spot")).cast("decimal(30,10)") * 100, F.col("spot").cast("decimal(30,10)"))
+    divergence = X.ratio_pct(F.abs(F.col("book_mid") - F.col("spot")), F.col("spot"))
     out = out.withColumn("book_mid", mid).withColumn("divergence_pct", divergence)
     source = (
         F.when(F.col("book_mid").isNotNull() & (F.col("spot").isNull() | (F.col("divergence_pct") <= params.divergence_pct)), "book")
@@ -70,7 +70,7 @@ def reference_price(snapshots: DataFrame, levels: DataFrame, pools: DataFrame, p
     )
     out = out.withColumn("price_source", source)
     out = out.withColumn("p0", F.when(F.col("price_source") == "book", F.col("book_mid")).when(F.col("price_source") == "pool", F.col("spot")))
-    spread = F.try_divide((F.col("best_ask") - F.col("best_bid")).cast("decimal(30,10)") * 100, F.when(F.col("p0") > 0, F.col("p0").cast("decimal(30,10)")))
+    spread = X.ratio_pct(F.col("best_ask") - F.col("best_bid"), F.when(F.col("p0") > 0, F.col("p0")))
     return out.withColumn("spread_pct", spread).withColumn("crossed", F.coalesce("crossed", F.lit(False)))
 
 
@@ -123,7 +123,7 @@ def _amm(priced: DataFrame, pools: DataFrame, deltas: tuple[str, ...]) -> DataFr
     """Per rung what all active pools absorb upwards and downwards."""
     p = active_pools(pools).withColumn("spot", X.spot_price(F.col("reserve_base"), F.col("reserve_quote")))
     r = _rungs(priced, deltas).join(p, KEY)
-    up, down = F.col("p0").cast("decimal(24,12)") * (1 + F.col("delta")), F.col("p0").cast("decimal(24,12)") * (1 - F.col("delta"))
+    up, down = F.col("p0").cast("decimal(32,18)") * (1 + F.col("delta")), F.col("p0").cast("decimal(32,18)") * (1 - F.col("delta"))
     fee = X.fee_fraction(F.col("fee_bp"))
     return r.groupBy(*KEY, "delta").agg(
         F.sum(amm_buy(F.col("reserve_quote"), F.col("spot"), up, fee)).alias("amm_buy"), F.sum(amm_sell(F.col("reserve_quote"), F.col("spot"), down, fee)).alias("amm_sell")
@@ -134,7 +134,7 @@ def depth_ladder(priced: DataFrame, levels: DataFrame, pools: DataFrame, params:
     """buy_side and sell_side (quote) within each market delta of p0: whole levels up to and at the target, and all pools."""
     r = _rungs(priced, params.market_deltas)
     p = with_price(levels).withColumn("quote", X.notional(F.col("amount"), F.col("price_n"), F.col("price_d")))
-    t = F.col("p0").cast("decimal(24,12)")
+    t = F.col("p0").cast("decimal(32,18)")
     buy = (F.col("side") == "ask") & (F.col("price") <= t * (1 + F.col("delta")))
     sell = (F.col("side") == "bid") & (F.col("price") >= t * (1 - F.col("delta")))
     zero = F.lit(0).cast(X.WIDE)
@@ -152,7 +152,7 @@ def manipulation_ladder(priced: DataFrame, levels: DataFrame, pools: DataFrame,
     """
     r = _rungs(priced, params.manipulation_deltas)
     asks = with_price(levels.where(F.col("side") == "ask")).withColumn("quote", X.notional(F.col("amount"), F.col("price_n"), F.col("price_d")))
-    target = F.col("p0").cast("decimal(24,12)") * (1 + F.col("delta"))
+    target = F.col("p0").cast("decimal(32,18)") * (1 + F.col("delta"))
     book = r.join(asks, KEY).groupBy(*KEY, "delta").agg(
         F.sum(F.when(F.col("price") < target, F.col("quote")).otherwise(F.lit(0).cast(X.WIDE))).alias("cost"), F.bool_or(F.col("price") >= target).alias("reachable")
     )
@@ -176,7 +176,7 @@ def max_reachable(snapshots: DataFrame, levels: DataFrame, pools: DataFrame) ->
 def market_survey(levels: DataFrame, pools: DataFrame, holders: DataFrame, trades: DataFrame) -> DataFrame:
     """Per pair level counts, best prices, spread over the mid, pools, their quote, holders and recent trades."""
     top = book_top(levels).withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2)
-    spread = F.try_divide((F.col("best_ask") - F.col("best_bid")).cast("decimal(30,10)") * 100, F.col("mid").cast("decimal(30,10)"))
+    spread = X.ratio_pct(F.col("best_ask") - F.col("best_bid"), F.col("mid").cast(X.PRICE))
     by_pool = pools.groupBy("pair_id").agg(F.count(F.lit(1)).alias("pools"), F.sum("reserve_quote").alias("pool_quote"))
     by_holder = holders.groupBy("pair_id").agg(F.count_if(F.col("balance") > 0).alias("holders"))
     by_trade = trades.groupBy("pair_id").agg(F.count(F.lit(1)).alias("trades"))

@@ -74,3 +74,19 @@ def test_invariants(golden):
     rows = book.manipulation_ladder(priced, levels, pools).orderBy("delta").collect()
     assert all(m["book_cost"] <= m["combined_cost"] for m in rows)
     assert all(a["combined_cost"] <= b["combined_cost"] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_small_prices_and_large_fractions(spark, golden):
+    """Prices of 1e-9 keep their digits, and no BIGINT fraction stops the other pairs."""
+    snapshots = spark.createDataFrame([(p, 1) for p in "abc"], "pair_id string, ledger_seq bigint").withColumn("ledger_closed_at", F.lit("2026-02-22 00:10:21").cast("timestamp")).withColumn("data_source", F.lit("horizon"))
+    rows = [("a", 1, "bid", 100, 100_000_000_000, D(5)), ("a", 1, "ask", 116, 100_000_000_000, D(7)), ("a", 1, "ask", 120, 100_000_000_000, D(7)), ("b", 1, "bid", 2, 1, D(1)), ("b", 1, "ask", 3, 1, D(1)), ("c", 1, "ask", 2**63 - 1, 2**62, D(3)), ("c", 1, "bid", 2**62, 2**63 - 1, D(2))]
+    levels = spark.createDataFrame(rows, "pair_id string, ledger_seq bigint, side string, price_n bigint, price_d bigint, amount decimal(19,7)")
+    priced = book.reference_price(snapshots, levels, golden[2].where("false"))
+    got = {r["pair_id"]: r for r in priced.collect()}
+    near(got["a"]["spread_pct"], 16 / 1.08, 1e-6)
+    near(got["b"]["spread_pct"], 40)
+    rungs = {(r["pair_id"], float(r["delta"])): r for r in book.depth_ladder(priced, levels, golden[2].where("false")).collect()}
+    near(rungs["a", 0.1]["buy_side"], 7 * 1.16e-9, 1e-13)  # 1.188e-9 reaches 1.16e-9, not 1.20e-9
+    near(rungs["b", 0.1]["buy_side"], 0)
+    costs = {(r["pair_id"], float(r["delta"])): r for r in book.manipulation_ladder(priced, levels, golden[2].where("false")).collect()}
+    near(costs["c", 10.0]["book_cost"], 6, 1e-6)
