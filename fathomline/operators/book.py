@@ -34,6 +34,7 @@ def book_top(levels: DataFrame) -> DataFrame:
         F.min(F.when(ask, F.col("price"))).alias("best_ask"),
         F.max(F.when(bid, F.struct("price", "amount"))).getField("amount").alias("best_bid_amount"),
         F.min_by(F.when(ask, F.col("amount")), F.when(ask, F.struct("price", (-F.col("amount")).alias("a")))).alias("best_ask_amount"),
+        F.max(F.when(ask, F.col("price"))).alias("highest_ask"),
         F.count(F.when(bid, 1)).alias("bids"),
         F.count(F.when(ask, 1)).alias("asks"),
         F.sum(F.when(bid, F.col("amount"))).alias("bid_amount_total"),
@@ -99,12 +100,6 @@ def divergence_survey(priced: DataFrame) -> DataFrame:
     )
 
 
-def _rungs(priced: DataFrame, deltas: tuple[str, ...]) -> DataFrame:
-    """One row for each priced snapshot and delta; the deltas are a literal of fixed length."""
-    rungs = F.array(*(F.lit(x).cast(DELTA) for x in deltas))
-    return priced.where(F.col("p0").isNotNull()).select(*KEY, "p0", F.explode(rungs).alias("delta"))
-
-
 def amm_buy(reserve_quote: Column, spot: Column, target: Column, fee: Column) -> Column:
     """Quote that lifts a constant-product pool from spot to target; 0 where it is there already."""
     ratio = F.try_divide(target.cast("decimal(24,10)"), spot.cast("decimal(24,10)")).cast("decimal(21,16)")
@@ -119,48 +114,71 @@ def amm_sell(reserve_quote: Column, spot: Column, target: Column, fee: Column) -
     return F.when((spot <= target) | (spot == 0), F.lit(0).cast(X.WIDE)).otherwise(got.cast(X.WIDE))
 
 
-def _amm(priced: DataFrame, pools: DataFrame, deltas: tuple[str, ...]) -> DataFrame:
-    """Per rung what all active pools absorb upwards and downwards."""
-    p = active_pools(pools).withColumn("spot", X.spot_price(F.col("reserve_base"), F.col("reserve_quote")))
-    r = _rungs(priced, deltas).join(p, KEY)
-    up, down = F.col("p0").cast("decimal(32,18)") * (1 + F.col("delta")), F.col("p0").cast("decimal(32,18)") * (1 - F.col("delta"))
-    fee = X.fee_fraction(F.col("fee_bp"))
-    return r.groupBy(*KEY, "delta").agg(
-        F.sum(amm_buy(F.col("reserve_quote"), F.col("spot"), up, fee)).alias("amm_buy"), F.sum(amm_sell(F.col("reserve_quote"), F.col("spot"), down, fee)).alias("amm_sell")
+def ladders(priced: DataFrame, levels: DataFrame, pools: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """``priced`` with depth and manipulation, arrays of rungs by delta (null without p0), and the highest price that the asks reach.
+
+    depth: buy_side and sell_side (quote) within each market delta of p0, whole levels up to and at the target and all
+    pools. manipulation: cost of lifting the price to each target, the asks strictly below it, alone and with pools; the
+    book reaches it if an ask stands at or above, and with an active pool every target is reachable. Levels and pools
+    each meet their snapshot once and are summed for all rungs at a time, so nothing is multiplied by the rungs;
+    snapshots have one row a pair and ledger.
+    """
+    near, far = (sorted(d, key=float) for d in (params.market_deltas, params.manipulation_deltas))
+    delta = lambda d: F.lit(d).cast(DELTA)
+    p0 = F.col("p0").cast("decimal(32,18)")
+    targets = {**{f"up{d}": p0 * (1 + delta(d)) for d in {*near, *far}}, **{f"down{d}": p0 * (1 - delta(d)) for d in near}}
+    t = lambda name: F.col(f"`t {name}`")
+    ask, bid, price, quote = F.col("level_side") == "ask", F.col("level_side") == "bid", F.col("level_price"), F.col("level_quote")
+    marked = priced.select("*", *(c.alias(f"t {name}") for name, c in targets.items()))
+    whole = [F.col(f"`{c}`") for c in priced.columns]
+    sized = with_price(levels).select(*KEY, F.col("side").alias("level_side"), F.col("price").alias("level_price"), X.notional(F.col("amount"), F.col("price_n"), F.col("price_d")).alias("level_quote"))
+    # grouping by the snapshot's columns needs no exchange beyond its key's and carries them along
+    book = marked.join(sized, KEY, "left").groupBy(*whole).agg(
+        F.sum(F.when(ask & (price < F.col("highest_ask")), quote)).alias("below"),
+        *(F.sum(F.when(ask & (price <= t(f"up{d}")), quote)).alias(f"buy{d}") for d in near),
+        *(F.sum(F.when(bid & (price >= t(f"down{d}")), quote)).alias(f"sell{d}") for d in near),
+        *(F.sum(F.when(ask & (price < t(f"up{d}")), quote)).alias(f"cost{d}") for d in far),
+        *(F.max(ask & (price >= t(f"up{d}"))).alias(f"reach{d}") for d in far),
+    )
+    active = active_pools(pools).select(*KEY, F.col("reserve_quote").alias("pool_quote"), X.spot_price(F.col("reserve_base"), F.col("reserve_quote")).alias("pool_spot"), X.fee_fraction(F.col("fee_bp")).alias("pool_fee"))
+    pool = [F.col("pool_quote"), F.col("pool_spot")]
+    summed = [F.col(f"`{c}`") for c in book.columns]
+    both = book.select("*", *(c.alias(f"t {name}") for name, c in targets.items())).join(active, KEY, "left").groupBy(*summed).agg(
+        F.count("pool_spot").alias("active"),
+        *(F.sum(amm_buy(*pool, t(f"up{d}"), F.col("pool_fee"))).alias(f"lift{d}") for d in sorted({*near, *far}, key=float)),
+        *(F.sum(amm_sell(*pool, t(f"down{d}"), F.col("pool_fee"))).alias(f"sink{d}") for d in near),
+    )
+    n = lambda name: F.coalesce(F.col(f"`{name}`"), F.lit(0)).cast(X.WIDE)  # noqa: E731  nothing to trade with is a measured zero
+    depth = [
+        F.struct(
+            delta(d).alias("delta"), (n(f"buy{d}") + n(f"lift{d}")).alias("buy_side"), (n(f"sell{d}") + n(f"sink{d}")).alias("sell_side"),
+            n(f"buy{d}").alias("from_book"), n(f"lift{d}").alias("from_pools"), n(f"sell{d}").alias("sell_from_book"), n(f"sink{d}").alias("sell_from_pools"),
+        )
+        for d in near
+    ]
+    reach = {d: F.coalesce(F.col(f"`reach{d}`"), F.lit(False)) for d in far}
+    manipulation = [
+        F.struct(
+            delta(d).alias("delta"), targets[f"up{d}"].alias("target"), n(f"cost{d}").alias("book_cost"), reach[d].alias("book_reachable"),
+            (n(f"cost{d}") + n(f"lift{d}")).alias("combined_cost"), (reach[d] | (F.col("active") > 0)).alias("combined_reachable"),
+        )
+        for d in far
+    ]
+    known, top = F.col("p0").isNotNull(), F.when(F.col("active") == 0, F.col("highest_ask"))
+    return both.select(
+        *whole, F.when(known, F.array(*depth)).alias("depth"), F.when(known, F.array(*manipulation)).alias("manipulation"),
+        top.alias("max_reachable_price"), F.when(top.isNotNull(), n("below")).alias("cost_to_max_reachable"),
     )
 
 
 def depth_ladder(priced: DataFrame, levels: DataFrame, pools: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """buy_side and sell_side (quote) within each market delta of p0: whole levels up to and at the target, and all pools."""
-    r = _rungs(priced, params.market_deltas)
-    p = with_price(levels).withColumn("quote", X.notional(F.col("amount"), F.col("price_n"), F.col("price_d")))
-    t = F.col("p0").cast("decimal(32,18)")
-    buy = (F.col("side") == "ask") & (F.col("price") <= t * (1 + F.col("delta")))
-    sell = (F.col("side") == "bid") & (F.col("price") >= t * (1 - F.col("delta")))
-    zero = F.lit(0).cast(X.WIDE)
-    book = r.join(p, KEY).groupBy(*KEY, "delta").agg(F.sum(F.when(buy, F.col("quote")).otherwise(zero)).alias("book_buy"), F.sum(F.when(sell, F.col("quote")).otherwise(zero)).alias("book_sell"))
-    out = r.join(book, [*KEY, "delta"], "left").join(_amm(priced, pools, params.market_deltas), [*KEY, "delta"], "left")
-    c = lambda n: F.coalesce(F.col(n), F.lit(0)).cast(X.WIDE)  # noqa: E731  nothing to trade with is a measured zero
-    return out.select(*KEY, "delta", (c("book_buy") + c("amm_buy")).alias("buy_side"), (c("book_sell") + c("amm_sell")).alias("sell_side"), c("book_buy").alias("from_book"), c("amm_buy").alias("from_pools"))
+    """The depth rungs of ``ladders`` as rows; none without p0."""
+    return ladders(priced, levels, pools, params).select(*KEY, F.inline("depth"))
 
 
 def manipulation_ladder(priced: DataFrame, levels: DataFrame, pools: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Cost of lifting the price to each target, by the book alone and with pools.
-
-    cost sums the asks strictly below the target; the book reaches it if an ask stands at or above. With an active
-    pool every target is reachable.
-    """
-    r = _rungs(priced, params.manipulation_deltas)
-    asks = with_price(levels.where(F.col("side") == "ask")).withColumn("quote", X.notional(F.col("amount"), F.col("price_n"), F.col("price_d")))
-    target = F.col("p0").cast("decimal(32,18)") * (1 + F.col("delta"))
-    book = r.join(asks, KEY).groupBy(*KEY, "delta").agg(
-        F.sum(F.when(F.col("price") < target, F.col("quote")).otherwise(F.lit(0).cast(X.WIDE))).alias("cost"), F.bool_or(F.col("price") >= target).alias("reachable")
-    )
-    has_pool = active_pools(pools).select(*KEY, F.lit(True).alias("has_pool")).distinct()
-    out = r.join(book, [*KEY, "delta"], "left").join(_amm(priced, pools, params.manipulation_deltas), [*KEY, "delta"], "left").join(has_pool, KEY, "left")
-    cost, pool = F.coalesce(F.col("cost"), F.lit(0)).cast(X.WIDE), F.coalesce(F.col("amm_buy"), F.lit(0)).cast(X.WIDE)
-    reach = F.coalesce(F.col("reachable"), F.lit(False))
-    return out.select(*KEY, "delta", target.alias("target"), cost.alias("book_cost"), reach.alias("book_reachable"), (cost + pool).alias("combined_cost"), (reach | F.coalesce("has_pool", F.lit(False))).alias("combined_reachable"))
+    """The manipulation rungs of ``ladders`` as rows; none without p0."""
+    return ladders(priced, levels, pools, params).select(*KEY, F.inline("manipulation"))
 
 
 def max_reachable(snapshots: DataFrame, levels: DataFrame, pools: DataFrame) -> DataFrame:

@@ -32,11 +32,6 @@ def rung(ladder: Column, delta: str) -> Column:
     return F.get(F.filter(ladder, lambda r: r["delta"] == F.lit(delta).cast(DELTA)), F.lit(0))
 
 
-def collect_ladder(df: DataFrame, name: str) -> DataFrame:
-    cols = [c for c in df.columns if c not in KEY]
-    return df.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
-
-
 def collateral(depth: Column, manipulation: Column, params: Params = DEFAULT) -> Column:
     """(max_safe, liquidation_limit, manipulation_limit, warning); the manipulation term counts only where the book reaches it."""
     d, m = rung(depth, params.liquidation_delta), rung(manipulation, params.critical_delta)
@@ -126,12 +121,7 @@ def asset_risk(snapshots: DataFrame, levels: DataFrame, pools: DataFrame, suppor
     ``supporting`` is keyed by pair and ledger and may have the columns of SUPPORTING. The oracle volume counts only
     where its anchor is this ledger's close time.
     """
-    priced = book.reference_price(snapshots, levels, pools, params)
-    out = (
-        priced.join(collect_ladder(book.depth_ladder(priced, levels, pools, params), "depth"), KEY, "left")
-        .join(collect_ladder(book.manipulation_ladder(priced, levels, pools, params), "manipulation"), KEY, "left")
-        .join(book.max_reachable(snapshots, levels, pools), KEY, "left")
-    )
+    out = book.ladders(book.reference_price(snapshots, levels, pools, params), levels, pools, params)
     if supporting is not None:
         out = out.join(supporting.select(*KEY, *(c for c in SUPPORTING if c in supporting.columns)), KEY, "left")
     for c, kind in SUPPORTING.items():

@@ -96,9 +96,8 @@ SELECT r.pair_id, d AS delta_pct, coalesce(CAST(sum(amount * n) FILTER (side = '
   coalesce(CAST(sum(amount * n) FILTER (side = 'bid' AND 200 * n >= p2 * (100 - d)) AS DOUBLE), 0) / 10000 AS sell_book FROM r LEFT JOIN levels l ON r.pair_id = l.pair_id GROUP BY ALL""")
 def book_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, l, p = _books(spark, sf_dir)
-    priced = book.reference_price(s, l, p)
-    d = book.depth_ladder(priced, l, p).join(book.depth_ladder(priced, l, p.where("false")).select(*book.KEY, "delta", F.col("sell_side").alias("sell_book")), [*book.KEY, "delta"])
-    return d.select("pair_id", (F.col("delta") * 100).cast("int").alias("delta_pct"), F.col("from_book").cast("double").alias("from_book"), F.col("sell_book").cast("double").alias("sell_book"))
+    d = book.depth_ladder(book.reference_price(s, l, p), l, p)
+    return d.select("pair_id", (F.col("delta") * 100).cast("int").alias("delta_pct"), F.col("from_book").cast("double").alias("from_book"), F.col("sell_from_book").cast("double").alias("sell_book"))
 
 
 _POOL_RUNGS = f"""{PRICED}, r AS (SELECT pair_id, p2, d FROM ref, (VALUES (2), (5), (10)) t(d) WHERE p2 IS NOT NULL)
@@ -152,13 +151,6 @@ def risk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("pair_id", (F.col("price_source") == "none").alias("no_price"), state("MANIPULATION_CHEAP").alias("cheap"), state("PRICE_SOURCE_CONFLICT").alias("conflict"), state("SPREAD_EXTREME").alias("spread"))
 
 
-@query("")
-def risk_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full risk record of every pair with holder concentration attached; pool terms take square roots, so rows are checked by tests."""
-    r = risk.asset_risk(*_books(spark, sf_dir), _supporting(spark, sf_dir))
-    return r.select("pair_id", "ledger_seq", "price_source", "band", "band_confidence", F.array_join("flags", ",").alias("flags"), F.array_join("unevaluated_flags", ",").alias("unevaluated_flags"), r6("collateral.max_safe"))
-
-
 TRADES = """e AS (SELECT event_id, ts, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS n, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id // 3 AS op, min(ts) OVER (PARTITION BY event_id // 3) AS closed_at FROM events),
 t AS (SELECT user_id % 10 AS pair_id, event_id AS trade_id, op, event_id % 3 AS fill, closed_at, CAST(closed_at AS DATE) AS day, n, k, k * n AS c100, event_type IN ('click', 'purchase') AS seller, user_id AS base, (event_id * 7) % 150 AS counter, event_type = 'error' AS pool FROM e),
 med AS (SELECT pair_id, day, quantile_disc(n, 0.5 ORDER BY n DESC) AS med FROM t WHERE NOT pool AND n > 0 GROUP BY ALL)"""
@@ -279,6 +271,54 @@ def holder_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("asset_id", "population", "excluded_dropped", "zero_dropped", F.round(F.col("circulating_supply").cast("double"), 2).alias("circulating_supply"), r6("top1_pct"), r6("top10_pct"), F.round("hhi", 4).alias("hhi"))
 
 
+_RUNGS = """conc AS (SELECT asset_id, sum(b) AS s, max(b) AS top1, sum(b) FILTER (rank <= 10) AS top10 FROM k GROUP BY 1),
+rung(d) AS (VALUES (2), (5), (10), (50), (100), (1000), (10000)),
+bk AS (SELECT r.pair_id, d, coalesce(sum(amount * n) FILTER (side = 'ask' AND 200 * n <= p2 * (100 + d)), 0) AS buy, coalesce(sum(amount * n) FILTER (side = 'bid' AND 200 * n >= p2 * (100 - d)), 0) AS sell,
+  coalesce(sum(amount * n) FILTER (side = 'ask' AND 200 * n < p2 * (100 + d)), 0) AS cost, coalesce(bool_or(side = 'ask' AND 200 * n >= p2 * (100 + d)), false) AS reach
+  FROM ref r CROSS JOIN rung LEFT JOIN levels l ON r.pair_id = l.pair_id WHERE p2 IS NOT NULL GROUP BY ALL),
+pl AS (SELECT r.pair_id, d, sum(CASE WHEN 200 * p.sn >= p2 * (100 + d) THEN 0 ELSE rb * (p.sn / 10000.0) * (sqrt(p2 * (100 + d) / (200.0 * p.sn)) - 1) / (1 - fee / 10000.0) END) AS lift,
+  sum(CASE WHEN 200 * p.sn <= p2 * (100 - d) THEN 0 ELSE rb * (p.sn / 10000.0) * (1 - sqrt(greatest(p2 * (100 - d), 0) / (200.0 * p.sn))) * (1 - fee / 10000.0) END) AS sink
+  FROM ref r JOIN pools p ON r.pair_id = p.pair_id AND rb > 0 CROSS JOIN rung WHERE p2 IS NOT NULL GROUP BY ALL),
+both_sides AS (SELECT bk.pair_id, bk.d, buy / 10000.0 + coalesce(lift, 0) AS buy, sell / 10000.0 + coalesce(sink, 0) AS sell, cost, reach FROM bk LEFT JOIN pl ON bk.pair_id = pl.pair_id AND bk.d = pl.d),
+w AS (SELECT pair_id, max(CASE WHEN d = 2 THEN least(buy, sell) END) AS depth2, max(CASE WHEN d = 5 THEN least(buy, sell) END) AS depth5, max(CASE WHEN d = 10 THEN sell END) AS sell10,
+  max(CASE WHEN d = 50 AND reach THEN cost END) AS cost50, min(CASE WHEN d >= 50 AND reach THEN cost END) AS least_cost FROM both_sides GROUP BY 1),
+known AS (SELECT ref.*, w.* EXCLUDE (pair_id), conc.* EXCLUDE (asset_id) FROM ref LEFT JOIN w ON ref.pair_id = w.pair_id LEFT JOIN conc ON ref.pair_id % 25 = conc.asset_id)"""
+#: SQL of each flag over ``known``: when it is unevaluated, and when it is triggered otherwise.
+_FLAG_SQL = {
+    "NO_EXECUTABLE_PRICE": ("false", "p2 IS NULL"),
+    "ZERO_DEPTH_2PCT": ("p2 IS NULL", "depth2 = 0"),
+    "MANIPULATION_CHEAP": ("p2 IS NULL", "least_cost < 100000000"),
+    "MANIPULATION_RATIO_LOW": ("p2 IS NULL OR s IS NULL", "least_cost / 100.0 < (s / 100.0) * (p2 / 20000.0) * 0.1"),
+    "PRICE_SOURCE_CONFLICT": ("sn IS NOT NULL AND mid2 IS NULL", "abs(mid2 - 2 * sn) * 100 > 20 * sn"),
+    "SPREAD_EXTREME": ("mid2 IS NULL OR p2 IS NULL", "(ask - bid) * 200 > 20 * p2"),
+    "NO_GENUINE_TRADE_30D": ("true", "false"),
+    "HOLDER_CONCENTRATION_EXTREME": ("s IS NULL", "top1 * 100 > 50 * s"),
+    "THIN_DEPTH_5PCT": ("p2 IS NULL", "depth5 < 50000"),
+    "NO_GENUINE_TRADE_7D": ("true", "false"),
+    "HOLDER_CONCENTRATION_HIGH": ("s IS NULL", "top10 * 100 > 80 * s"),
+    "WASH_TRADE_SUSPECTED": ("true", "false"),
+}
+_STATES = ", ".join(f"CASE WHEN {u} THEN 'unevaluated' WHEN {t} THEN 'triggered' ELSE 'clear' END AS {f}" for f, (u, t) in _FLAG_SQL.items())
+
+
+def _listed(state: str) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {f} = '{state}' THEN '{f}' END" for f, _ in risk.FLAGS) + ")"
+
+
+def _any(state: str, *tiers: str) -> str:
+    return "(" + " OR ".join(f"{f} = '{state}'" for f, t in risk.FLAGS if t in tiers) + ")"
+
+
+@query(f"""{PRICED}, {HOLDERS}, {_RUNGS}, st AS (SELECT *, {_STATES} FROM known)
+SELECT pair_id, CAST(1000 AS BIGINT) AS ledger_seq, price_source, CASE WHEN {_any("triggered", "CRITICAL")} THEN 'CRITICAL' WHEN {_any("triggered", "HIGH")} THEN 'HIGH' WHEN {_any("triggered", "MEDIUM")} THEN 'MEDIUM' ELSE 'LOW' END AS band,
+  CASE WHEN {_any("unevaluated", "HIGH", "CRITICAL")} THEN 'partial' ELSE 'full' END AS band_confidence, {_listed("triggered")} AS flags, {_listed("unevaluated")} AS unevaluated_flags,
+  round(least(sell10 * 0.5, cost50 / 10000.0 * 0.25) + 1e-6, 2) AS max_safe FROM st""")
+def risk_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full risk record of every pair with holder concentration attached; pool terms take square roots, so the ceiling has two decimals."""
+    r = risk.asset_risk(*_books(spark, sf_dir), _supporting(spark, sf_dir))
+    return r.select("pair_id", "ledger_seq", "price_source", "band", "band_confidence", F.array_join("flags", ",").alias("flags"), F.array_join("unevaluated_flags", ",").alias("unevaluated_flags"), F.round(F.col("collateral.max_safe").cast("double") + 1e-6, 2).alias("max_safe"))
+
+
 @query(f"WITH {HOLDERS} SELECT asset_id, account_id, CAST(rank AS BIGINT) AS rank, round(CAST(b AS DOUBLE) * 100 / CAST(s AS DOUBLE), 6) AS share_pct, round(CAST(upto AS DOUBLE) * 100 / CAST(s AS DOUBLE), 6) AS cumulative_pct FROM k")
 def holder_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holders.ranking(_kept(spark, sf_dir)).select("asset_id", "account_id", *big("rank"), r6("share_pct"), r6("cumulative_pct"))
