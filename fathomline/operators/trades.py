@@ -214,6 +214,25 @@ def window_end_seen(trades: DataFrame, end: Column) -> DataFrame:
     return trades.groupBy("pair_id").agg(F.coalesce(F.max("closed_at") >= end, F.lit(False)).alias("end_seen"))
 
 
+def latest_before(at: DataFrame, readings: DataFrame, when: str, hours: int) -> DataFrame:
+    """Per row of ``at`` (pair_id, ledger_seq, ledger_closed_at) the latest reading not after it, as a struct ``r``; of readings
+    at one time the largest row. Readings without a time count for none.
+
+    Times fall into buckets of ``hours``: the latest reading is looked for in the row's own bucket, else it is the last of
+    the buckets before, of which a pair has one row each. So no task holds more of a pair than a bucket.
+    """
+    bucket = lambda c: F.floor(F.unix_micros(c) / F.lit(hours * 3_600_000_000)).alias("bucket")
+    row = F.struct(F.col(when).alias("_at"), F.struct(*(c for c in readings.columns if c != "pair_id")).alias("row"))
+    known = readings.where(F.col(when).isNotNull()).select("pair_id", F.lit(None).cast("bigint").alias("ledger_seq"), F.lit(None).cast("timestamp").alias("ledger_closed_at"), F.col(when).alias("t"), bucket(when), row.alias("r"))
+    asked = at.select("pair_id", "ledger_seq", "ledger_closed_at", F.col("ledger_closed_at").alias("t"), bucket("ledger_closed_at"), F.lit(None).cast(known.schema["r"].dataType).alias("r"))
+    every = known.union(asked)
+    earlier = Window.partitionBy("pair_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = every.groupBy("pair_id", "bucket").agg(F.max("r").alias("most")).select("pair_id", "bucket", F.max("most").over(earlier).alias("before"))
+    own = Window.partitionBy("pair_id", "bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = every.withColumn("inside", F.max("r").over(own)).where("ledger_seq IS NOT NULL").drop("r")
+    return inside.join(before, ["pair_id", "bucket"]).select("pair_id", "ledger_seq", "ledger_closed_at", F.coalesce("inside", "before")["row"].alias("r")).where("r IS NOT NULL")
+
+
 def attach_supporting(snapshots: DataFrame, holder_readings: DataFrame, trade_readings: DataFrame, holder_hours: int = 48, trade_hours: int = 36) -> DataFrame:
     """Snapshots with the latest readings not after them and not older than allowed; an absence carries its reason.
 
@@ -224,8 +243,7 @@ def attach_supporting(snapshots: DataFrame, holder_readings: DataFrame, trade_re
     at = snapshots.select(*key, "ledger_closed_at")
     out = snapshots
     for readings, when, hours, name in ((holder_readings, "read_at", holder_hours, "holder"), (trade_readings, "anchor", trade_hours, "trade")):
-        row = F.struct(*(c for c in readings.columns if c != "pair_id"))
-        latest = at.join(readings, "pair_id").where(F.col(when) <= F.col("ledger_closed_at")).groupBy(*key, "ledger_closed_at").agg(F.max_by(row, F.col(when)).alias("r"))
+        latest = latest_before(at, readings, when, hours)
         fresh = F.unix_micros("ledger_closed_at") - F.unix_micros(f"r.{when}") <= hours * 3_600_000_000
         kept = latest.select(*key, fresh.alias("_fresh"), *(F.when(fresh, F.col(f"r.{c}")).alias(c) for c in readings.columns if c not in ("pair_id",)))
         out = out.join(kept, key, "left").withColumn(f"{name}_note", F.when(F.col("_fresh").isNull(), f"no {name} reading").when(~F.col("_fresh"), f"the latest {name} reading is older than {hours} h")).drop("_fresh")

@@ -1,5 +1,6 @@
 """Replay against a sequential fold, medians, legs and the registered queries' shapes."""
 
+import datetime
 import random
 from decimal import Decimal as D
 
@@ -139,3 +140,30 @@ def test_scalars(spark):
     ).first()
     assert tuple(r["t"]) == (str((7 << 32) + 4096 + 5), 3, 7) and tuple(r["j"]) == ("", 0, 0) and r["s"] and r["a"]["code"] == "ABC" and r["n"] is None and r["c"] == 0 and r["p"] is None and r["k"] == "null"
     assert abs(float(r["q"]) - 1.224744871391589) < 1e-15
+
+
+def test_latest_reading_is_that_of_a_plain_search(spark):
+    """As-of attach across buckets, at equal times, before any reading, and beyond the age allowed."""
+    base = datetime.datetime(2024, 1, 1)
+    rng = random.Random(5)
+    reads = [(rng.randrange(3), base + datetime.timedelta(hours=rng.randrange(400)), rng.randrange(5)) for _ in range(40)] + [(0, None, 9)]
+    asks = [(p, k, base + datetime.timedelta(hours=k - 20)) for p in range(4) for k in range(0, 440, 7)]
+    at = spark.createDataFrame(asks, "pair_id bigint, ledger_seq bigint, ledger_closed_at timestamp")
+    readings = spark.createDataFrame(reads, "pair_id bigint, read_at timestamp, value int")
+    got = {(r["pair_id"], r["ledger_seq"]): (r["r"]["read_at"], r["r"]["value"]) for r in trades.latest_before(at, readings, "read_at", 48).collect()}
+    want = {(p, k): max((a, v) for q, a, v in reads if q == p and a and a <= t) for p, k, t in asks if any(q == p and a and a <= t for q, a, _ in reads)}
+    assert got == want
+
+
+def test_supporting_figures_carry_a_reason_for_absence(spark):
+    """A fresh reading is attached, an old one and a missing one give notes."""
+    base = datetime.datetime(2024, 1, 1)
+    hours = lambda h: base + datetime.timedelta(hours=h)
+    snapshots = spark.createDataFrame([("a", 1, hours(0)), ("a", 2, hours(60)), ("b", 1, hours(0))], "pair_id string, ledger_seq bigint, ledger_closed_at timestamp")
+    held = spark.createDataFrame([("a", hours(-1), D(5), 1.0, 2.0)], "pair_id string, read_at timestamp, circulating_supply decimal(30,7), top1_pct double, top10_pct double")
+    traded = spark.createDataFrame([("a", hours(-1), 3.0, hours(-9), 30)], "pair_id string, anchor timestamp, trades_excluded_pct double, last_genuine_at timestamp, searched_days int")
+    got = {(r["pair_id"], r["ledger_seq"]): r for r in trades.attach_supporting(snapshots, held, traded).collect()}
+    assert len(got) == 3
+    assert (got["a", 1]["top1_pct"], got["a", 1]["searched_days"], got["a", 1]["holder_note"]) == (1.0, 30, None)
+    assert got["a", 2]["top1_pct"] is None and got["a", 2]["holder_note"] == "the latest holder reading is older than 48 h"
+    assert got["b", 1]["trade_note"] == "no trade reading" and got["b", 1]["holder_note"] == "no holder reading"
