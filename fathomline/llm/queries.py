@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, html_extract, language_id, license_scan, near_dedup, oracles, pii, quality_rules, sentencepiece_codec, substring_dedup, token_counts
+from fathomline.llm import byte_bpe, conversation_repair, decontaminate, html_extract, language_id, license_scan, near_dedup, oracles, pii, quality_rules, sentencepiece_codec, substring_dedup, token_alignment, token_counts
 from fathomline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,8 +93,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, keep=["doc_id"]).drop("host_rate")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation of the damaged table its faults, its cheapest edits and the digest of the repaired turns; nulls read as one space."""
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the count and digest of its byte-level BPE ids and the digest of the bytes they decode to; a null text has none."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded_col="decoded", keep=["doc_id"], packed=True)
+    return coded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document how its byte-level BPE tokens and its pieces align, and how common the linked id pairs are; texts without tokens have zeros."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), public_tokenizers.PATTERN, tokenizer_path("piece_bpe_32k.model"), digest=True)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_decontaminate, op4_near_dedup, op5_language_id, op6_license_scan, op7_pii, op8_html_extract, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_decontaminate, op4_near_dedup, op5_language_id, op6_license_scan, op7_pii, op8_html_extract, op9_token_counts, op10_quality_rules, op11_conversation_repair, op12_byte_bpe, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
