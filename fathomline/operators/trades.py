@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import exact as X
+from fathomline.operators.running import window_medians
 from fathomline.params import DEFAULT, Params
 
 #: Exclusion conditions in the order in which they are tried.
 CONDITIONS = ["self_trade", "dust", "issuer_leg", "off_book_pool_fill", "price_outlier"]
 
+#: Comparison windows in a chunk of time whose prices meet in one task.
+COMPARED_CHUNK = 16
+
 
 def upper_median(df: DataFrame, keys: list[str], value: str, name: str, weight: str | None = None) -> DataFrame:
     """Per key the value at place floor(n / 2) + 1 in ascending order: the upper of two middles, never an average.
@@ -43,23 +47,23 @@ def day_median(trades: DataFrame, day: str) -> DataFrame:
 
 
 def contemporaneous_price(trades: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """For each pool fill the upper median of order-book prices within the comparison window on either side, ends included.
+    """For each pool fill the upper median of order-book prices within the comparison window on either side, ends included;
+    a fill without a price near it has no row. Book trades of one time and price are counted together first."""
+    p, w = with_price(trades).withColumn("at", F.unix_micros("closed_at")), params.book_comparison_seconds * 1_000_000
+    fills = p.where(F.col("pool_id").isNotNull()).select("pair_id", "trade_id", (F.col("at") - w).alias("low"), (F.col("at") + w).alias("high"))
+    found = window_medians(book_prices(p), fills, ["pair_id"], 2 * w, COMPARED_CHUNK * w)
+    return found.where(F.col("median").isNotNull()).select("pair_id", "trade_id", F.col("median").alias("book_reference"))
 
-    A range join by time buckets of the window's length: a fill looks into its own bucket and the two beside it.
-    Book trades of one second and price are counted together first.
-    """
-    w = params.book_comparison_seconds * 1_000_000
-    p = with_price(trades).withColumn("at", F.unix_micros("closed_at"))
-    book = p.where(F.col("pool_id").isNull() & F.col("price").isNotNull()).groupBy("pair_id", F.col("at").alias("book_at"), F.col("price").alias("book_price")).agg(F.count(F.lit(1)).alias("n"))
-    book = book.withColumn("bucket", F.floor(F.col("book_at") / w))
-    own = F.floor(F.col("at") / w)
-    fills = p.where(F.col("pool_id").isNotNull()).select("pair_id", "trade_id", "at", F.explode(F.array(own - 1, own, own + 1)).alias("bucket"))
-    near = fills.join(book, ["pair_id", "bucket"]).where(F.abs(F.col("at") - F.col("book_at")) <= w)
-    return upper_median(near, ["pair_id", "trade_id"], "book_price", "book_reference", "n")
+
+def book_prices(priced: DataFrame) -> DataFrame:
+    """(pair_id, at, price, n): order-book prices of each time, counted."""
+    return priced.where(F.col("pool_id").isNull() & F.col("price").isNotNull()).groupBy("pair_id", "at", "price").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _verdict(issuer: Column, params: Params) -> Column:
+def verdict(issuer: Column, params: Params, reference: Column | None = None, median: Column | None = None) -> Column:
+    """(state, condition) of a trade: the first condition that holds, given the book's price near a pool fill and the day's median."""
     c = F.col
+    reference, median = c("book_reference") if reference is None else reference, c("day_median") if median is None else median
     is_pool = c("pool_id").isNotNull()
     base, counter = F.nullif(c("base_account"), F.lit("")), F.nullif(c("counter_account"), F.lit(""))
     excluded = lambda x: F.struct(F.lit("excluded").alias("state"), F.lit(x).alias("condition"))
@@ -68,9 +72,9 @@ def _verdict(issuer: Column, params: Params) -> Column:
         F.when(base == counter, excluded("self_trade"))
         .when(c("counter_amount") < F.lit(params.dust).cast("decimal(4,2)"), excluded("dust"))
         .when((base == issuer) | (counter == issuer), excluded("issuer_leg"))
-        .when(is_pool & c("book_reference").isNull(), plain("unevaluated"))
-        .when(is_pool & X.pool_fill_is_dearer(c("price"), c("book_reference")), excluded("off_book_pool_fill"))
-        .when(X.price_is_outlier(c("price"), c("day_median"), params.outlier_factor), excluded("price_outlier"))
+        .when(is_pool & reference.isNull(), plain("unevaluated"))
+        .when(is_pool & X.pool_fill_is_dearer(c("price"), reference), excluded("off_book_pool_fill"))
+        .when(X.price_is_outlier(c("price"), median, params.outlier_factor), excluded("price_outlier"))
         .otherwise(plain("genuine"))
     )
 
@@ -84,7 +88,7 @@ def classify(trades: DataFrame, issuers: DataFrame, medians: DataFrame | None =
     p = with_price(trades)
     p = p.join(medians.select("pair_id", "day_median"), "pair_id", "left") if medians is not None else p.join(daily_medians(trades), ["pair_id", "day"], "left")
     p = p.join(contemporaneous_price(trades, params), ["pair_id", "trade_id"], "left").join(issuers.select("pair_id", "issuer"), "pair_id", "left")
-    return p.withColumn("_v", _verdict(F.nullif(F.col("issuer"), F.lit("")), params)).select("*", "_v.state", "_v.condition").drop("_v", "issuer")
+    return p.withColumn("_v", verdict(F.nullif(F.col("issuer"), F.lit("")), params)).select("*", "_v.state", "_v.condition").drop("_v", "issuer")
 
 
 def summarise(classified: DataFrame) -> DataFrame:
