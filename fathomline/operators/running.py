@@ -59,21 +59,21 @@ def window_medians(prices: DataFrame, queries: DataFrame, keys: list[str], longe
     own = [f for f in queries.schema.fields if f.name not in keys]
     result = T.StructType([*(queries.schema[k] for k in keys), *own, T.StructField("median", prices.schema["price"].dataType)])
     of = lambda c: F.floor(c / F.lit(chunk)).alias("chunk")
-    spread = prices.where("price IS NOT NULL").select(*(F.col(k).alias(f"of_{k}") for k in keys), "at", "price", "n", F.explode(F.array_distinct(F.array(of(F.col("at")), of(F.col("at") - longest)))).alias("of_chunk"))
+    spread = prices.where("price IS NOT NULL").select(*(F.col(k).alias(f"of_{k}") for k in keys), *(F.col(c).alias(f"of_{c}") for c in ("at", "price", "n")), F.explode(F.array_distinct(F.array(of(F.col("at")), of(F.col("at") - longest)))).alias("of_chunk"))
     asked = queries.withColumn("chunk", of(F.col("low")))
 
     def found(known: pa.Table, wanted: pa.Table) -> pa.Table:
         out = wanted.select([f.name for f in result.fields[:-1]])
         if not wanted.num_rows or not known.num_rows:
-            return out.append_column("median", pa.nulls(wanted.num_rows, known.schema.field("price").type))
-        by_time = known.sort_by("at")
-        times, times_n = by_time["at"].to_numpy(), by_time["n"].to_numpy()
-        by_price = pc.sort_indices(by_time["price"]).to_numpy()
+            return out.append_column("median", pa.nulls(wanted.num_rows, known.schema.field("of_price").type))
+        by_time = known.sort_by("of_at")
+        times, times_n = by_time["of_at"].to_numpy(), by_time["of_n"].to_numpy()
+        by_price = pc.sort_indices(by_time["of_price"]).to_numpy()
         rank = np.empty(len(by_price), np.int64)
         rank[by_price] = np.arange(len(by_price))
         i, j = np.searchsorted(times, wanted["low"].to_numpy()), np.searchsorted(times, wanted["high"].to_numpy(), side="right")
         at = ranked_middle(rank, times_n.astype(np.int64), i, np.maximum(i, j))
-        return out.append_column("median", by_time["price"].take(pa.array(by_price[np.maximum(at, 0)], mask=at < 0)).combine_chunks())
+        return out.append_column("median", by_time["of_price"].take(pa.array(by_price[np.maximum(at, 0)], mask=at < 0)).combine_chunks())
 
     return spread.groupBy(*(f"of_{k}" for k in keys), "of_chunk").cogroup(asked.groupBy(*keys, "chunk")).applyInArrow(found, result)
 

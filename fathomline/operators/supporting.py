@@ -43,29 +43,30 @@ def judged(trades: DataFrame, issuers: DataFrame, anchors: DataFrame, params: Pa
     day_before = medians.select("pair_id", F.date_add("day", 1).alias("day"), F.col("day_median").alias("before_median"))
     fills = priced.where(F.col("pool_id").isNotNull()).select("pair_id", "trade_id", "at")
     start = _day_start(F.col("at"))
-    none = F.lit(None).cast(anchors.schema["ledger_seq"].dataType).alias("ledger_seq")
     window = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"))
     low, high = F.col("at") - w, F.col("at") + w
-    own = fills.select("pair_id", "trade_id", none, F.explode(F.array_compact(F.array(
+    own = fills.select("pair_id", "trade_id", F.explode(F.array_compact(F.array(
         window(LATER, low, high), F.when(high >= start + DAY, window(NEXT, low, start + DAY - 1)), F.when(low < start, window(SAME, start, high)),
-    ))).alias("q")).select("pair_id", "trade_id", "ledger_seq", "q.*")
-    edge = edge_fills(fills, anchors, w).select("pair_id", "trade_id", "ledger_seq", F.lit("edge").alias("kind"), F.greatest(low, F.col("day_start")).alias("low"), F.col("anchor").alias("high"))
-    found = window_medians(T.book_prices(priced), own.unionByName(edge), ["pair_id"], 2 * w, T.COMPARED_CHUNK * w)
+    ))).alias("q")).select("pair_id", "trade_id", "q.*")
+    prices, chunk = T.book_prices(priced), T.COMPARED_CHUNK * w
+    found = window_medians(prices, own, ["pair_id"], 2 * w, chunk)
     seen = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct(F.lit(True).alias("known"), F.col("median"))))
-    by_fill = found.where("ledger_seq IS NULL").groupBy("pair_id", "trade_id").agg(*(seen(k).alias(f"ref_{k}") for k in (LATER, NEXT, SAME)))
+    by_fill = found.groupBy("pair_id", "trade_id").agg(*(seen(k).alias(f"ref_{k}") for k in (LATER, NEXT, SAME)))
     out = priced.join(medians, ["pair_id", "day"], "left").join(day_before, ["pair_id", "day"], "left").join(by_fill, ["pair_id", "trade_id"], "left").join(issuers.select("pair_id", "issuer"), "pair_id", "left")
     cut = lambda k: F.when(F.col(f"ref_{k}.known"), F.col(f"ref_{k}.median")).otherwise(F.col("ref_later.median"))  # noqa: E731  not cut off: as for later days
     issuer = F.nullif(F.col("issuer"), F.lit(""))
     state = lambda reference, median: T.verdict(issuer, params, reference, F.col(median))["state"]
     out = out.withColumns({LATER: state(F.col("ref_later.median"), "day_median"), NEXT: state(cut(NEXT), "day_median"), SAME: state(cut(SAME), "before_median")})
-    edges = found.where("kind = 'edge'").select("pair_id", "trade_id", F.col("ledger_seq").alias("asked_ledger"), F.col("median").alias("edge_median")).join(out, ["pair_id", "trade_id"])
-    return out, edges.select("pair_id", "asked_ledger", "trade_id", "at", "base_amount", "counter_amount", state(F.col("edge_median"), "before_median").alias("edge")).withColumnRenamed("asked_ledger", "ledger_seq")
+    cut_off = edge_fills(priced.where(F.col("pool_id").isNotNull()), anchors, w).join(day_before, ["pair_id", "day"], "left").join(issuers.select("pair_id", "issuer"), "pair_id", "left")
+    edges = window_medians(prices, cut_off.withColumns({"low": F.greatest(low, F.col("day_start")), "high": F.col("anchor")}), ["pair_id"], 2 * w, chunk)
+    return out, edges.select(*_KEY, "trade_id", "at", "anchor", "base_amount", "counter_amount", state(F.col("median"), "before_median").alias("edge"))
 
 
 def edge_fills(fills: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
     """Pool fills of the ledger's own day within ``width`` before it, with anchor and day_start: a join by time buckets of that width."""
     bucket = F.floor(F.col("at") / width).alias("bucket")
     a = anchors.select(*_KEY, F.unix_micros("ledger_closed_at").alias("anchor")).withColumn("day_start", _day_start(F.col("anchor")))
+    fills = fills.drop("ledger_seq")
     own = F.floor(F.col("anchor") / width)
     near = a.select("*", F.explode(F.array(own - 1, own)).alias("bucket")).join(fills.select("*", bucket), ["pair_id", "bucket"])
     return near.where((F.col("at") > F.col("anchor") - width) & (F.col("at") <= F.col("anchor")) & (F.col("at") >= F.col("day_start")))
@@ -104,13 +105,12 @@ def supporting_at(trades: DataFrame, issuers: DataFrame, anchors: DataFrame, sup
     figures = ran.groupBy(*_KEY).agg(*(F.max(F.when(F.col("place") == p, F.struct(F.col("at").alias("t"), *sums, *most))).alias(f"p_{p}") for p in ("anchor", "today", "before", "uncut", *windows)))
 
     state = F.col("edge")
-    cut = edges.join(a, _KEY)
-    inside = lambda s: F.col("at") > at - s
-    by_anchor = cut.groupBy(*_KEY).agg(
+    inside = lambda s: F.col("at") > F.col("anchor") - s
+    by_anchor = edges.groupBy(*_KEY).agg(
         *(F.sum(F.when((state == "genuine") & inside(s), F.col(f"{kind}_amount"))).alias(f"edge_{kind}_{n}") for n, s in windows.items() for kind in ("base", "counter")),
         F.sum(F.when(state == "excluded", F.col("counter_amount"))).alias("edge_excluded"), F.max(F.when(state == "genuine", F.col("at"))).alias("edge_last"),
     )
-    first = known.groupBy("pair_id").agg(F.min("at").alias("first"))
+    first = trades.groupBy("pair_id").agg(F.unix_micros(F.min("closed_at")).alias("first"))
     out = a.join(figures, _KEY, "left").join(by_anchor, _KEY, "left").join(first, "pair_id", "left")
     if supply is not None:
         out = out.join(supply.select(*_KEY, "circulating_supply"), _KEY, "left")

@@ -62,6 +62,13 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def supporting_anchors(trades: DataFrame) -> DataFrame:
+    """Ledgers that ask for trade figures: the last trade of every pair in each six hours, and one a week after the log."""
+    last = trades.groupBy("pair_id", F.floor(F.unix_seconds("closed_at") / 21600)).agg(F.max("closed_at").alias("ledger_closed_at")).select("pair_id", "ledger_closed_at")
+    after = trades.select("pair_id").distinct().withColumn("ledger_closed_at", F.lit("2024-02-05 12:00:00").cast("timestamp"))
+    return last.union(after).select("pair_id", F.floor(F.unix_seconds("ledger_closed_at") / 5).alias("ledger_seq"), "ledger_closed_at")
+
+
 def issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account p issues the base asset of pair p."""
     return _read(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("pair_id")).distinct().withColumn("issuer", F.col("pair_id").cast("string"))

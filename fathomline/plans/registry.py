@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import exact as X
-from fathomline.operators import accounts, book, bounds, holders, replay, risk, store, trades
+from fathomline.operators import accounts, book, bounds, holders, replay, risk, store, supporting, trades
 from fathomline.plans import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,10 +134,13 @@ def pool_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _supporting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concentration of the nation-wide asset whose number is the pair's remainder."""
+    """Concentration of the nation-wide asset, and trade figures of the traded pair, whose number is the pair's remainder."""
     stats = holders.concentration(A.holders(spark, sf_dir), A.holder_exclusions(spark, sf_dir))
-    s = A.snapshots(spark, sf_dir)
-    return s.withColumn("asset_id", F.col("pair_id") % 25).join(stats, "asset_id", "left").select(*book.KEY, "circulating_supply", "top1_pct", "top10_pct")
+    s, log = A.snapshots(spark, sf_dir), A.trades(spark, sf_dir)
+    asked = log.select("pair_id").distinct().select("pair_id", F.lit(A.LEDGER).cast("bigint").alias("ledger_seq"), anchor().alias("ledger_closed_at"))
+    traded = supporting.supporting_at(log, A.issuers(spark, sf_dir), asked).drop("ledger_seq").withColumnRenamed("pair_id", "traded_id")
+    out = s.withColumns({"asset_id": F.col("pair_id") % 25, "traded_id": F.col("pair_id") % 10}).join(stats, "asset_id", "left").join(traded, "traded_id", "left")
+    return out.select(*book.KEY, *risk.SUPPORTING)
 
 
 @query(f"""{PRICED}, asks AS (SELECT r.pair_id, d, coalesce(sum(amount * n) FILTER (side = 'ask' AND 200 * n < p2 * (100 + d)), 0) AS cost, coalesce(bool_or(side = 'ask' AND 200 * n >= p2 * (100 + d)), false) AS reach
@@ -224,6 +227,38 @@ def trade_rolling_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, (trades.rolling_extremes(c, anchor(), n).select("pair_id", F.lit(n).alias("days"), *big("least", "greatest"), r6("weighted_price")) for n in _EXTREMES))
 
 
+def _supporting_sql(anchors: str) -> str:
+    """CTEs after TRADES that end in ``sup``: figures of each (pair_id, a) of the query ``anchors``, every trade judged anew for every anchor."""
+    return f"""asked AS ({anchors}),
+seen AS (SELECT asked.a, date_trunc('day', asked.a) AS today, t.*, t.closed_at >= date_trunc('day', asked.a) AS own FROM asked JOIN t ON asked.pair_id = t.pair_id AND t.closed_at <= asked.a),
+span AS (SELECT *, CASE WHEN own THEN greatest(closed_at - INTERVAL 15 MINUTE, today) ELSE closed_at - INTERVAL 15 MINUTE END AS lo, CASE WHEN own THEN least(closed_at + INTERVAL 15 MINUTE, a) ELSE least(closed_at + INTERVAL 15 MINUTE, today - INTERVAL 1 MICROSECOND) END AS hi FROM seen),
+near AS (SELECT q.trade_id, lo, hi, quantile_disc(b.n, 0.5 ORDER BY b.n DESC) AS ref FROM (SELECT DISTINCT pair_id, trade_id, lo, hi FROM span WHERE pool) q JOIN t b ON q.pair_id = b.pair_id AND NOT b.pool AND b.n > 0 AND b.closed_at BETWEEN lo AND hi GROUP BY ALL),
+verdicts AS (SELECT span.*, CASE WHEN base = counter OR c100 < 1 OR base = span.pair_id OR counter = span.pair_id THEN 'excluded' WHEN pool AND ref IS NULL THEN 'unevaluated' WHEN pool AND n > ref THEN 'excluded' WHEN med IS NOT NULL AND n > 0 AND (n * 2 > med * 3 OR n * 3 < med * 2) THEN 'excluded' ELSE 'genuine' END AS verdict
+  FROM span LEFT JOIN med ON span.pair_id = med.pair_id AND med.day = CASE WHEN own THEN CAST(today AS DATE) - 1 ELSE span.day END LEFT JOIN near ON span.trade_id = near.trade_id AND span.lo = near.lo AND span.hi = near.hi),
+s0 AS (SELECT pair_id, a, min(closed_at) AS first, {', '.join(f"coalesce(sum(k) FILTER (verdict = 'genuine' AND closed_at > a - INTERVAL {d} DAY), 0) AS base_{d}d" for d in (1, 7, 30))},
+  coalesce(sum(c100) FILTER (verdict = 'genuine' AND closed_at > a - INTERVAL 15 MINUTE), 0) AS oracle_c, count(*) FILTER (closed_at > a - INTERVAL 15 MINUTE) AS oracle_trades, CAST(sum(c100) FILTER (verdict = 'excluded') AS DOUBLE) AS ex, CAST(sum(c100) AS DOUBLE) AS total, max(closed_at) FILTER (verdict = 'genuine') AS last FROM verdicts GROUP BY ALL),
+sup AS (SELECT *, first > date_trunc('day', a) - INTERVAL 1 DAY AS partial, first <= a - INTERVAL 30 DAY AS covers, CASE WHEN total > 0 THEN coalesce(ex, 0) * 100 / total END AS excluded_pct, CAST(floor((epoch_us(a) - epoch_us(last)) / 1000000) AS BIGINT) AS age, CAST(floor((epoch_us(a) - epoch_us(first)) / 86400000000) AS INTEGER) AS searched FROM s0)"""
+
+
+_ASKED = "SELECT pair_id, max(closed_at) AS a FROM t GROUP BY pair_id, epoch_us(closed_at) // 21600000000 UNION ALL SELECT DISTINCT pair_id, TIMESTAMP '2024-02-05 12:00:00' FROM t"
+
+
+@query(f"""WITH {TRADES}, {_supporting_sql(_ASKED)}, sp AS (SELECT asset_id, circulating FROM (SELECT CAST(c_nationkey AS BIGINT) AS asset_id, CAST(count(*) AS DOUBLE) * 1000 AS circulating FROM customer GROUP BY 1))
+SELECT pair_id, CAST(floor(epoch(a) / 5) AS BIGINT) AS ledger_seq, CASE WHEN partial THEN 'the trades begin within the reference day, whose median would be partial' END AS refused, {', '.join(f"CASE WHEN NOT partial THEN CAST(base_{d}d AS BIGINT) END AS genuine_base_{d}d" for d in (1, 7, 30))},
+  CASE WHEN NOT partial THEN CAST(oracle_c AS DOUBLE) / 100 END AS oracle_genuine_volume, CASE WHEN NOT partial THEN oracle_trades END AS oracle_trades, CASE WHEN NOT partial THEN round(excluded_pct, 6) END AS trades_excluded_pct, CASE WHEN NOT partial THEN age END AS last_genuine_age_seconds, CASE WHEN NOT partial THEN searched END AS searched_days,
+  CASE WHEN NOT partial AND covers THEN round(base_30d / circulating, 9) END AS volume_to_supply_30d, CASE WHEN partial OR NOT covers THEN 'volume not measured' WHEN circulating IS NULL THEN 'supply not measured' END AS volume_to_supply_why FROM sup LEFT JOIN sp ON sup.pair_id = sp.asset_id""")
+def trade_supporting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade figures of every pair at the last trade of each six hours, judged as of that ledger, set against a supply of 1,000 a holder."""
+    log = A.trades(spark, sf_dir)
+    asked = A.supporting_anchors(log)
+    supply = A.holders(spark, sf_dir).groupBy(F.col("asset_id").alias("pair_id")).agg((F.count(F.lit(1)) * 1000).cast("decimal(30,7)").alias("circulating_supply"))
+    found = supporting.supporting_at(log, A.issuers(spark, sf_dir), asked, asked.join(supply, "pair_id"))
+    return found.select(
+        "pair_id", "ledger_seq", "refused", *big("genuine_base_1d", "genuine_base_7d", "genuine_base_30d"), F.col("oracle_genuine_volume").cast("double").alias("oracle_genuine_volume"), *big("oracle_trades"), r6("trades_excluded_pct"),
+        *big("last_genuine_age_seconds"), "searched_days", F.round("volume_to_supply_30d", 9).alias("volume_to_supply_30d"), "volume_to_supply_why",
+    )
+
+
 LEGS = f"""WITH {TRADES}, f AS (SELECT *, CASE WHEN lag(seller) OVER o IS DISTINCT FROM seller AND lag(seller) OVER o IS NOT NULL THEN 1 ELSE 0 END AS turn FROM t WHERE n > 0 WINDOW o AS (PARTITION BY pair_id, op ORDER BY fill)),
 g AS (SELECT *, sum(turn) OVER (PARTITION BY pair_id, op ORDER BY fill ROWS UNBOUNDED PRECEDING) AS leg FROM f),
 legs AS (SELECT pair_id, op, leg, min(closed_at) AS closed_at, count(*) AS fills, arg_min(n, fill) AS first_n, arg_max(n, fill) AS last_n, min(trade_id) AS first_trade, max(trade_id) AS last_trade, min(fill) AS first_fill, sum(c100) AS notional FROM g GROUP BY ALL)"""
@@ -282,7 +317,8 @@ pl AS (SELECT r.pair_id, d, sum(CASE WHEN 200 * p.sn >= p2 * (100 + d) THEN 0 EL
 both_sides AS (SELECT bk.pair_id, bk.d, buy / 10000.0 + coalesce(lift, 0) AS buy, sell / 10000.0 + coalesce(sink, 0) AS sell, cost, reach FROM bk LEFT JOIN pl ON bk.pair_id = pl.pair_id AND bk.d = pl.d),
 w AS (SELECT pair_id, max(CASE WHEN d = 2 THEN least(buy, sell) END) AS depth2, max(CASE WHEN d = 5 THEN least(buy, sell) END) AS depth5, max(CASE WHEN d = 10 THEN sell END) AS sell10,
   max(CASE WHEN d = 50 AND reach THEN cost END) AS cost50, min(CASE WHEN d >= 50 AND reach THEN cost END) AS least_cost FROM both_sides GROUP BY 1),
-known AS (SELECT ref.*, w.* EXCLUDE (pair_id), conc.* EXCLUDE (asset_id) FROM ref LEFT JOIN w ON ref.pair_id = w.pair_id LEFT JOIN conc ON ref.pair_id % 25 = conc.asset_id)"""
+traded AS (SELECT pair_id AS traded_id, age, searched, excluded_pct, CAST(oracle_c AS DOUBLE) / 100 AS oracle_volume FROM sup WHERE NOT partial),
+known AS (SELECT ref.*, w.* EXCLUDE (pair_id), conc.* EXCLUDE (asset_id), traded.* EXCLUDE (traded_id) FROM ref LEFT JOIN w ON ref.pair_id = w.pair_id LEFT JOIN conc ON ref.pair_id % 25 = conc.asset_id LEFT JOIN traded ON ref.pair_id % 10 = traded_id)"""
 #: SQL of each flag over ``known``: when it is unevaluated, and when it is triggered otherwise.
 _FLAG_SQL = {
     "NO_EXECUTABLE_PRICE": ("false", "p2 IS NULL"),
@@ -291,12 +327,12 @@ _FLAG_SQL = {
     "MANIPULATION_RATIO_LOW": ("p2 IS NULL OR s IS NULL", "least_cost / 100.0 < (s / 100.0) * (p2 / 20000.0) * 0.1"),
     "PRICE_SOURCE_CONFLICT": ("sn IS NOT NULL AND mid2 IS NULL", "abs(mid2 - 2 * sn) * 100 > 20 * sn"),
     "SPREAD_EXTREME": ("mid2 IS NULL OR p2 IS NULL", "(ask - bid) * 200 > 20 * p2"),
-    "NO_GENUINE_TRADE_30D": ("true", "false"),
+    "NO_GENUINE_TRADE_30D": ("age IS NULL AND coalesce(searched, 0) < 30", "age > 30 * 86400 OR age IS NULL"),
     "HOLDER_CONCENTRATION_EXTREME": ("s IS NULL", "top1 * 100 > 50 * s"),
     "THIN_DEPTH_5PCT": ("p2 IS NULL", "depth5 < 50000"),
-    "NO_GENUINE_TRADE_7D": ("true", "false"),
+    "NO_GENUINE_TRADE_7D": ("age IS NULL AND coalesce(searched, 0) < 7", "age > 7 * 86400 OR age IS NULL"),
     "HOLDER_CONCENTRATION_HIGH": ("s IS NULL", "top10 * 100 > 80 * s"),
-    "WASH_TRADE_SUSPECTED": ("true", "false"),
+    "WASH_TRADE_SUSPECTED": ("excluded_pct IS NULL", "excluded_pct > 50"),
 }
 _STATES = ", ".join(f"CASE WHEN {u} THEN 'unevaluated' WHEN {t} THEN 'triggered' ELSE 'clear' END AS {f}" for f, (u, t) in _FLAG_SQL.items())
 
@@ -309,14 +345,16 @@ def _any(state: str, *tiers: str) -> str:
     return "(" + " OR ".join(f"{f} = '{state}'" for f, t in risk.FLAGS if t in tiers) + ")"
 
 
-@query(f"""{PRICED}, {HOLDERS}, {_RUNGS}, st AS (SELECT *, {_STATES} FROM known)
+@query(f"""{PRICED}, {HOLDERS}, {TRADES}, {_supporting_sql(f"SELECT DISTINCT pair_id, {_A} AS a FROM t")}, {_RUNGS}, st AS (SELECT *, {_STATES} FROM known)
 SELECT pair_id, CAST(1000 AS BIGINT) AS ledger_seq, price_source, CASE WHEN {_any("triggered", "CRITICAL")} THEN 'CRITICAL' WHEN {_any("triggered", "HIGH")} THEN 'HIGH' WHEN {_any("triggered", "MEDIUM")} THEN 'MEDIUM' ELSE 'LOW' END AS band,
   CASE WHEN {_any("unevaluated", "HIGH", "CRITICAL")} THEN 'partial' ELSE 'full' END AS band_confidence, {_listed("triggered")} AS flags, {_listed("unevaluated")} AS unevaluated_flags,
-  round(least(sell10 * 0.5, cost50 / 10000.0 * 0.25) + 1e-6, 2) AS max_safe FROM st""")
+  round(least(sell10 * 0.5, cost50 / 10000.0 * 0.25) + 1e-6, 2) AS max_safe, round(cost50 / 10000.0 + oracle_volume + 1e-6, 2) AS oracle_total, CASE WHEN oracle_volume > 0 THEN round(cost50 / 10000.0 / oracle_volume + 1e-8, 5) END AS oracle_ratio,
+  CASE WHEN p2 IS NULL THEN 'no manipulation rung at the critical delta' WHEN oracle_volume IS NULL THEN 'genuine volume was not measured at this ledger' WHEN cost50 IS NULL THEN 'unreachable' END AS oracle_reason FROM st""")
 def risk_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full risk record of every pair with holder concentration attached; pool terms take square roots, so the ceiling has two decimals."""
+    """The full risk record of every pair with holder concentration and trade figures attached; pool terms take square roots, so the ceiling has two decimals."""
     r = risk.asset_risk(*_books(spark, sf_dir), _supporting(spark, sf_dir))
-    return r.select("pair_id", "ledger_seq", "price_source", "band", "band_confidence", F.array_join("flags", ",").alias("flags"), F.array_join("unevaluated_flags", ",").alias("unevaluated_flags"), F.round(F.col("collateral.max_safe").cast("double") + 1e-6, 2).alias("max_safe"))
+    return r.select("pair_id", "ledger_seq", "price_source", "band", "band_confidence", F.array_join("flags", ",").alias("flags"), F.array_join("unevaluated_flags", ",").alias("unevaluated_flags"), F.round(F.col("collateral.max_safe").cast("double") + 1e-6, 2).alias("max_safe"),
+                    F.round(F.col("oracle.total").cast("double") + 1e-6, 2).alias("oracle_total"), F.round(F.col("oracle.ratio").cast("double") + 1e-8, 5).alias("oracle_ratio"), F.col("oracle.reason").alias("oracle_reason"))
 
 
 @query(f"WITH {HOLDERS} SELECT asset_id, account_id, CAST(rank AS BIGINT) AS rank, round(CAST(b AS DOUBLE) * 100 / CAST(s AS DOUBLE), 6) AS share_pct, round(CAST(upto AS DOUBLE) * 100 / CAST(s AS DOUBLE), 6) AS cumulative_pct FROM k")
