@@ -1,9 +1,10 @@
 """Operator 3: benchmark decontamination by pigeonhole edit matching.
 
 A test item with an error budget of k edits is split into k + 1 pieces: within k edits of the item at least one
-piece stands unchanged; an item too short for an edit is its one piece. An Aho-Corasick automaton finds every piece in every text, each hit gives a window around
-the place where the item would stand, and Myers' bit-parallel distance decides whether the item stands there within
-its budget. Texts are read once for each block of items; a block is bounded in characters, and with several blocks the
+piece stands unchanged; an item too short for an edit is its one piece. An Aho-Corasick automaton finds every piece in
+every text, each hit gives the window where the item would stand, the windows of an item are merged into regions of the
+text that do not overlap, and Myers' bit-parallel distance, one pass over each region, decides whether the item stands
+there within its budget. So repetitive items and texts cost a pass over the text for an item. Texts are read once for each block of items; a block is bounded in characters, and with several blocks the
 hits of each are written before the next is searched, so a task holds one block and what goes to the tasks does not
 grow with the benchmark or the texts.
 """
@@ -67,42 +68,62 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, t, len(t) // CHARS_PER_EDIT) for i, t in items if t]
-        pieces: dict[str, list[tuple[int, int]]] = {}
+        pieces: dict[str, dict[int, tuple[int, int]]] = {}
         for n, (_, t, k) in enumerate(self.items):
             cuts = [len(t) * x // (k + 1) for x in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                pieces.setdefault(t[a:b], []).append((n, a))
+                of = pieces.setdefault(t[a:b], {})
+                of[n] = (of[n][0], a) if n in of else (a, a)
         self.automaton = ahocorasick.Automaton()
         for p, where in pieces.items():
-            self.automaton.add_word(p, (len(p), where))
+            # an item has a piece once, with its first and its last place
+            self.automaton.add_word(p, (len(p), [(n, first, last) for n, (first, last) in where.items()]))
         if pieces:
             self.automaton.make_automaton()
 
     def matches(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item id, distance, end in the normalised text) of each item found, at its best place."""
+        """(item id, distance, end in the normalised text) of each item found, at its best place, the first of equals."""
         if not self.items or not (t := normalise(text)):
             return []
         found: dict[int, tuple[int, int]] = {}
-        tried: dict[int, int] = {}
+        regions: dict[int, list[list[int]]] = {}
         for end, (length, where) in self.automaton.iter(t):
-            for n, at in where:
+            for n, first, last in where:
                 _, item, budget = self.items[n]
-                start = end + 1 - length - at
-                # an unchanged passage hits with all its pieces at one start
-                if (n in found and found[n][0] == 0) or tried.get(n) == start:
+                start = end + 1 - length
+                if not budget:
+                    if n not in found and not t[start - 1 : start].strip() and not t[end + 1 : end + 2].strip():
+                        found[n] = (0, end + 1)
                     continue
-                tried[n] = start
-                if not budget and (t[start - 1 : start].strip() or t[end + 1 : end + 2].strip()):
-                    continue
-                a = max(0, start - budget)
-                window = t[a : start + len(item) + budget]
-                exact = window.find(item)
-                hit = (0, exact + len(item)) if exact >= 0 else distance(item, window, budget)
+                a, b = max(0, start - last - budget), start - first + len(item) + budget
+                known = regions.setdefault(n, [[a, b]])
+                if a <= known[-1][1] and b >= known[-1][0]:
+                    known[-1] = [min(a, known[-1][0]), max(b, known[-1][1])]
+                else:
+                    known.append([a, b])
+        for n, known in regions.items():
+            _, item, budget = self.items[n]
+            for a, b in _merged(known):
+                exact = t.find(item, a, b)
+                hit = (0, exact - a + len(item)) if exact >= 0 else distance(item, t[a:b], budget)
                 if hit and (n not in found or hit[0] < found[n][0]):
                     found[n] = (hit[0], a + hit[1])
+                if hit and not hit[0]:
+                    break
         return sorted((self.items[n][0], d, e) for n, (d, e) in found.items())
 
 
+def _merged(regions: list[list[int]]) -> list[list[int]]:
+    """Regions in order, those that touch as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(regions):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of at most BLOCK_CHARS characters (one item at least), streamed to the driver partition by partition."""
     block, size = [], 0
