@@ -1,7 +1,7 @@
 """Order books and pools at each (pair_id, ledger_seq): best prices, reference price, depth, manipulation cost.
 
-Every operator groups by pair and ledger, so any number of pairs and ledgers is one job; sums and extremes are
-combined before the shuffle, so a pair with very many levels costs a row a task.
+Every operator groups by pair and ledger, so any number of pairs and ledgers is one job. Best prices and totals are
+combined before the shuffle; in the ladders the levels of one book meet in one task, as a stream.
 """
 
 from __future__ import annotations
@@ -59,9 +59,20 @@ def reference_price(snapshots: DataFrame, levels: DataFrame, pools: DataFrame, p
     A two-sided book gives its mid, unless a pool exists whose spot price differs by more than the threshold; then,
     and without a two-sided book, the deepest pool's spot price. divergence_pct is null unless both exist.
     """
-    pool = deepest_pool(pools).select(*KEY, "pool_id", "spot")
-    out = snapshots.join(book_top(levels), KEY, "left").join(pool, KEY, "left")
-    mid = ((F.col("best_bid") + F.col("best_ask")) / 2).cast(X.PRICE)
+    return priced_top(snapshots.join(book_top(levels), KEY, "left"), pools, params)
+
+
+def middle(bid: Column, ask: Column) -> Column:
+    """Halfway between two prices to the last place of a price; their sum in DECIMAL keeps all places where they have 19 digits before the point."""
+    narrow = lambda c: c.cast("decimal(37,18)")
+    return ((narrow(bid) + narrow(ask)) / 2).cast(X.PRICE)
+
+
+def priced_top(topped: DataFrame, pools: DataFrame | None, params: Params = DEFAULT) -> DataFrame:
+    """The same for snapshots that have the columns of ``book_top``; without pools no snapshot has one."""
+    pool = None if pools is None else deepest_pool(pools).select(*KEY, "pool_id", "spot")
+    out = topped.withColumns({"pool_id": F.lit(None).cast("string"), "spot": F.lit(None).cast(X.PRICE)}) if pool is None else topped.join(pool, KEY, "left")
+    mid = middle(F.col("best_bid"), F.col("best_ask"))
     divergence = X.ratio_pct(F.abs(F.col("book_mid") - F.col("spot")), F.col("spot"))
     out = out.withColumn("book_mid", mid).withColumn("divergence_pct", divergence)
     source = (
@@ -123,13 +134,10 @@ def ladders(priced: DataFrame, levels: DataFrame, pools: DataFrame, params: Para
     each meet their snapshot once and are summed for all rungs at a time, so nothing is multiplied by the rungs;
     snapshots have one row a pair and ledger.
     """
-    near, far = (sorted(d, key=float) for d in (params.market_deltas, params.manipulation_deltas))
-    delta = lambda d: F.lit(d).cast(DELTA)
-    p0 = F.col("p0").cast("decimal(32,18)")
-    targets = {**{f"up{d}": p0 * (1 + delta(d)) for d in {*near, *far}}, **{f"down{d}": p0 * (1 - delta(d)) for d in near}}
+    near, far = rungs_of(params)
     t = lambda name: F.col(f"`t {name}`")
     ask, bid, price, quote = F.col("level_side") == "ask", F.col("level_side") == "bid", F.col("level_price"), F.col("level_quote")
-    marked = priced.select("*", *(c.alias(f"t {name}") for name, c in targets.items()))
+    marked = priced.select("*", *(c.alias(f"t {name}") for name, c in rung_targets(params).items()))
     whole = [F.col(f"`{c}`") for c in priced.columns]
     sized = with_price(levels).select(*KEY, F.col("side").alias("level_side"), F.col("price").alias("level_price"), X.notional(F.col("amount"), F.col("price_n"), F.col("price_d")).alias("level_quote"))
     # grouping by the snapshot's columns needs no exchange beyond its key's and carries them along
@@ -140,14 +148,43 @@ def ladders(priced: DataFrame, levels: DataFrame, pools: DataFrame, params: Para
         *(F.sum(F.when(ask & (price < t(f"up{d}")), quote)).alias(f"cost{d}") for d in far),
         *(F.max(ask & (price >= t(f"up{d}"))).alias(f"reach{d}") for d in far),
     )
-    active = active_pools(pools).select(*KEY, F.col("reserve_quote").alias("pool_quote"), X.spot_price(F.col("reserve_base"), F.col("reserve_quote")).alias("pool_spot"), X.fee_fraction(F.col("fee_bp")).alias("pool_fee"))
-    pool = [F.col("pool_quote"), F.col("pool_spot")]
-    summed = [F.col(f"`{c}`") for c in book.columns]
-    both = book.select("*", *(c.alias(f"t {name}") for name, c in targets.items())).join(active, KEY, "left").groupBy(*summed).agg(
-        F.count("pool_spot").alias("active"),
-        *(F.sum(amm_buy(*pool, t(f"up{d}"), F.col("pool_fee"))).alias(f"lift{d}") for d in sorted({*near, *far}, key=float)),
-        *(F.sum(amm_sell(*pool, t(f"down{d}"), F.col("pool_fee"))).alias(f"sink{d}") for d in near),
-    )
+    return with_rungs(book, priced.columns, pools, params)
+
+
+def rungs_of(params: Params) -> tuple[list[str], list[str]]:
+    """The deltas of depth and of manipulation in ascending order."""
+    near, far = (sorted(d, key=float) for d in (params.market_deltas, params.manipulation_deltas))
+    return near, far
+
+
+def _delta(d: str) -> Column:
+    return F.lit(d).cast(DELTA)
+
+
+def rung_targets(params: Params) -> dict[str, Column]:
+    """Prices that the rungs stand for: ``up{delta}`` of all, ``down{delta}`` of the depth rungs."""
+    near, far = rungs_of(params)
+    p0 = F.col("p0").cast("decimal(32,18)")
+    return {**{f"up{d}": p0 * (1 + _delta(d)) for d in {*near, *far}}, **{f"down{d}": p0 * (1 - _delta(d)) for d in near}}
+
+
+def with_rungs(book: DataFrame, columns: list[str], pools: DataFrame | None, params: Params = DEFAULT) -> DataFrame:
+    """``columns`` of snapshots with depth, manipulation and the highest price reached, from the sums of their asks and bids:
+    ``below`` the highest ask, ``buy{d}`` and ``sell{d}`` up to the depth rungs, ``cost{d}`` and ``reach{d}`` of the manipulation rungs."""
+    near, far = rungs_of(params)
+    targets, delta, both = rung_targets(params), _delta, book
+    if pools is not None:
+        t = lambda name: F.col(f"`t {name}`")
+        active = active_pools(pools).select(*KEY, F.col("reserve_quote").alias("pool_quote"), X.spot_price(F.col("reserve_base"), F.col("reserve_quote")).alias("pool_spot"), X.fee_fraction(F.col("fee_bp")).alias("pool_fee"))
+        pool = [F.col("pool_quote"), F.col("pool_spot")]
+        summed = [F.col(f"`{c}`") for c in book.columns]
+        both = book.select("*", *(c.alias(f"t {name}") for name, c in targets.items())).join(active, KEY, "left").groupBy(*summed).agg(
+            F.count("pool_spot").alias("active"),
+            *(F.sum(amm_buy(*pool, t(f"up{d}"), F.col("pool_fee"))).alias(f"lift{d}") for d in sorted({*near, *far}, key=float)),
+            *(F.sum(amm_sell(*pool, t(f"down{d}"), F.col("pool_fee"))).alias(f"sink{d}") for d in near),
+        )
+    else:
+        both = book.withColumns({"active": F.lit(0), **{f"lift{d}": F.lit(0) for d in {*near, *far}}, **{f"sink{d}": F.lit(0) for d in near}})
     n = lambda name: F.coalesce(F.col(f"`{name}`"), F.lit(0)).cast(X.WIDE)  # noqa: E731  nothing to trade with is a measured zero
     depth = [
         F.struct(
@@ -166,7 +203,7 @@ def ladders(priced: DataFrame, levels: DataFrame, pools: DataFrame, params: Para
     ]
     known, top = F.col("p0").isNotNull(), F.when(F.col("active") == 0, F.col("highest_ask"))
     return both.select(
-        *whole, F.when(known, F.array(*depth)).alias("depth"), F.when(known, F.array(*manipulation)).alias("manipulation"),
+        *(F.col(f"`{c}`") for c in columns), F.when(known, F.array(*depth)).alias("depth"), F.when(known, F.array(*manipulation)).alias("manipulation"),
         top.alias("max_reachable_price"), F.when(top.isNotNull(), n("below")).alias("cost_to_max_reachable"),
     )
 
@@ -193,7 +230,7 @@ def max_reachable(snapshots: DataFrame, levels: DataFrame, pools: DataFrame) ->
 
 def market_survey(levels: DataFrame, pools: DataFrame, holders: DataFrame, trades: DataFrame) -> DataFrame:
     """Per pair level counts, best prices, spread over the mid, pools, their quote, holders and recent trades."""
-    top = book_top(levels).withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2)
+    top = book_top(levels).withColumn("mid", middle(F.col("best_bid"), F.col("best_ask")))
     spread = X.ratio_pct(F.col("best_ask") - F.col("best_bid"), F.col("mid").cast(X.PRICE))
     by_pool = pools.groupBy("pair_id").agg(F.count(F.lit(1)).alias("pools"), F.sum("reserve_quote").alias("pool_quote"))
     by_holder = holders.groupBy("pair_id").agg(F.count_if(F.col("balance") > 0).alias("holders"))

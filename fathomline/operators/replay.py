@@ -107,14 +107,17 @@ def resting_totals(found: DataFrame, targets: DataFrame, bucket: int = 1 << 8) -
     return out.where(F.col("offers") > 0)
 
 
-def book_from_offers(resting: DataFrame) -> DataFrame:
-    """Book levels: asks as they are, bids with the price inverted and the amount in base units; one level a fraction."""
+def as_levels(resting: DataFrame) -> DataFrame:
+    """Offers as levels of the book: asks as they are, bids with the price inverted and the amount in base units. Other columns stay."""
     bid = F.col("side") == "bid"
     ok = resting.where(X.price_valid(F.col("price_n"), F.col("price_d")) & (F.col("price_d") > 0))
     base = F.when(bid, X.notional(F.col("amount"), F.col("price_n"), F.col("price_d"))).otherwise(F.col("amount")).cast(X.AMOUNT)
-    key = [c for c in ("pair_id", "ledger_seq") if c in ok.columns]
-    levels = ok.select(*key, "side", F.when(bid, F.col("price_d")).otherwise(F.col("price_n")).alias("price_n"), F.when(bid, F.col("price_n")).otherwise(F.col("price_d")).alias("price_d"), base.alias("amount"))
-    return merge_levels(levels)
+    return ok.withColumns({"amount": base, "price_n": F.when(bid, F.col("price_d")).otherwise(F.col("price_n")), "price_d": F.when(bid, F.col("price_n")).otherwise(F.col("price_d"))})
+
+
+def book_from_offers(resting: DataFrame) -> DataFrame:
+    """Book levels of resting offers, one a fraction."""
+    return merge_levels(as_levels(resting).select("pair_id", "ledger_seq", "side", "price_n", "price_d", "amount"))
 
 
 def missing_offers(offer_ops: DataFrame, trades: DataFrame) -> DataFrame:

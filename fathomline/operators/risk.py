@@ -121,7 +121,11 @@ def asset_risk(snapshots: DataFrame, levels: DataFrame, pools: DataFrame, suppor
     ``supporting`` is keyed by pair and ledger and may have the columns of SUPPORTING. The oracle volume counts only
     where its anchor is this ledger's close time.
     """
-    out = book.ladders(book.reference_price(snapshots, levels, pools, params), levels, pools, params)
+    return assessed(book.ladders(book.reference_price(snapshots, levels, pools, params), levels, pools, params), supporting, params)
+
+
+def assessed(out: DataFrame, supporting: DataFrame | None = None, params: Params = DEFAULT) -> DataFrame:
+    """Priced snapshots with their ladders, and what follows from them: ceiling, oracle resistance, flags, band."""
     if supporting is not None:
         out = out.join(supporting.select(*KEY, *(c for c in SUPPORTING if c in supporting.columns)), KEY, "left")
     for c, kind in SUPPORTING.items():

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import exact as X
-from fathomline.operators import accounts, book, bounds, holders, replay, risk, store, supporting, trades
+from fathomline.operators import accounts, book, bounds, holders, replay, risk, series, store, supporting, trades
+from fathomline.params import DEFAULT
 from fathomline.plans import adapters as A
+from fathomline.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -411,6 +413,19 @@ REPLAY = """ev AS (SELECT l_orderkey AS o, (date_diff('day', DATE '1995-01-01',
   l_returnflag AS f, CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) * 10 END AS q10 FROM lineitem)"""
 
 
+def _rebuilt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Offer versions, and every (pair, ledger) with an operation or a trade of the pair."""
+    ops, fills = A.offer_ops(spark, sf_dir), A.offer_trades(spark, sf_dir)
+    at = X.toid_ledger(F.col("toid")).alias("ledger_seq")
+    return replay.versions(replay.events(ops, fills)), ops.select("pair_id", at).union(fills.select("pair_id", at)).distinct()
+
+
+_VERSIONS = """ev AS (SELECT l_orderkey AS o, l_orderkey % 50 AS pair_id, (date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)))::BIGINT AS d, l_linenumber * 1000000 + l_suppkey AS k, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS cls, CASE WHEN l_returnflag = 'R' THEN l_partkey % 1000 ELSE 0 END AS fi,
+  l_returnflag AS f, CASE WHEN l_linestatus = 'F' THEN 'bid' ELSE 'ask' END AS side, CAST(l_quantity AS BIGINT) AS q, l_suppkey + 1 AS n, CAST(round(l_discount * 100) AS BIGINT) + 1 AS pd_ FROM lineitem),
+e AS (SELECT *, count(*) FILTER (f <> 'R') OVER (w ROWS UNBOUNDED PRECEDING) AS epoch, lead(d) OVER w AS until FROM ev WHERE o <> 0 WINDOW w AS (PARTITION BY o ORDER BY d, k, cls, fi)),
+v AS (SELECT pair_id, d, until, max(side) FILTER (f = 'A') OVER w AS side, max(n) FILTER (f = 'A') OVER w AS pn, max(pd_) FILTER (f = 'A') OVER w AS pd, max(q) FILTER (f = 'A') OVER w * 10 - coalesce(sum(q) FILTER (f = 'R') OVER w, 0) AS tenths FROM e WINDOW w AS (PARTITION BY o, epoch ORDER BY d, k, cls, fi ROWS UNBOUNDED PRECEDING))"""
+
+
 @query("""WITH ev AS (SELECT l_orderkey AS o, l_orderkey % 50 AS pair_id, (date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)))::BIGINT AS d, l_linenumber * 1000000 + l_suppkey AS k, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS cls, CASE WHEN l_returnflag = 'R' THEN l_partkey % 1000 ELSE 0 END AS fi,
   l_returnflag AS f, CASE WHEN l_linestatus = 'F' THEN 'bid' ELSE 'ask' END AS side, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
 e AS (SELECT *, count(*) FILTER (f <> 'R') OVER (w ROWS UNBOUNDED PRECEDING) AS epoch, lead(d) OVER w AS until FROM ev WHERE o <> 0 WINDOW w AS (PARTITION BY o ORDER BY d, k, cls, fi)),
@@ -420,10 +435,51 @@ t AS (SELECT DISTINCT pair_id, d AS ledger_seq FROM ev)
 SELECT t.pair_id, t.ledger_seq, side, count(*) AS offers, CAST(sum(tenths) AS DOUBLE) / 10 AS amount FROM t JOIN s ON t.pair_id = s.pair_id AND s.d <= t.ledger_seq AND (until IS NULL OR until > t.ledger_seq) GROUP BY ALL""")
 def replay_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resting offers and their amount on each side of every pair, at every ledger with an operation or a trade of the pair."""
-    ops, fills = A.offer_ops(spark, sf_dir), A.offer_trades(spark, sf_dir)
-    v = replay.versions(replay.events(ops, fills))
-    targets = ops.select("pair_id", X.toid_ledger(F.col("toid")).alias("ledger_seq")).union(fills.select("pair_id", X.toid_ledger(F.col("toid")).alias("ledger_seq"))).distinct()
-    return replay.resting_totals(v, targets).select("pair_id", "ledger_seq", "side", "offers", F.col("amount").cast("double").alias("amount"))
+    return replay.resting_totals(*_rebuilt(spark, sf_dir)).select("pair_id", "ledger_seq", "side", "offers", F.col("amount").cast("double").alias("amount"))
+
+
+#: Prices as whole numbers of 1e-18, rounded as DECIMAL division rounds: half up at 19 places, then at 18.
+_E18 = "CAST(({n}::HUGEINT * 20000000000000000000 + {d}) // (2 * {d}) + 5 AS HUGEINT) // 10"
+_TIMES = "(p0 * {x} + 5000) // 10000"
+
+
+def _up(d: str) -> str:
+    return _TIMES.format(x=10000 + int(float(d) * 10000))
+
+
+_NEAR, _FAR = book.rungs_of(DEFAULT)
+_NAMED = {d: d.replace(".", "_") for d in (*_NEAR, *_FAR)}
+SERIES = f"""{_VERSIONS}, s AS (SELECT * FROM v WHERE tenths > 0 AND (until IS NULL OR until > d)),
+t AS (SELECT DISTINCT pair_id, d AS ledger_seq FROM ev),
+lv AS (SELECT t.pair_id, ledger_seq, side, CASE WHEN side = 'bid' THEN pd ELSE pn END AS n, CASE WHEN side = 'bid' THEN pn ELSE pd END AS d, CASE WHEN side = 'bid' THEN round(tenths / 10.0 * pn / pd, 7) ELSE tenths / 10.0 END AS amount
+  FROM t JOIN s ON t.pair_id = s.pair_id AND s.d <= t.ledger_seq AND (until IS NULL OR until > t.ledger_seq)),
+lm AS (SELECT pair_id, ledger_seq, side, n, d, {_E18.format(n="n", d="d")} AS price, sum(amount) AS amount, sum(amount) * max(n) / max(d) AS quote, count(*) AS offers FROM lv GROUP BY ALL),
+top AS (SELECT t.pair_id, t.ledger_seq, max(price) FILTER (side = 'bid') AS bid, min(price) FILTER (side = 'ask') AS ask, max(price) FILTER (side = 'ask') AS high, count(*) FILTER (side = 'bid') AS bids, count(*) FILTER (side = 'ask') AS asks, CAST(coalesce(sum(offers), 0) AS BIGINT) AS offers FROM t LEFT JOIN lm ON t.pair_id = lm.pair_id AND t.ledger_seq = lm.ledger_seq GROUP BY ALL),
+ref AS (SELECT *, (bid + ask + 1) // 2 AS p0 FROM top),
+rungs AS (SELECT ref.pair_id, ref.ledger_seq, {', '.join(f"sum(quote) FILTER (side = 'ask' AND price <= {_up(d)}) AS buy{_NAMED[d]}, sum(quote) FILTER (side = 'bid' AND price >= {_up('-' + d)}) AS sell{_NAMED[d]}" for d in _NEAR)},
+  {', '.join(f"sum(quote) FILTER (side = 'ask' AND price < {_up(d)}) AS cost{_NAMED[d]}, coalesce(max(high) >= max({_up(d)}), false) AS reach{_NAMED[d]}" for d in _FAR)}, sum(quote) FILTER (side = 'ask' AND price < high) AS below
+  FROM ref LEFT JOIN lm ON ref.pair_id = lm.pair_id AND ref.ledger_seq = lm.ledger_seq GROUP BY ALL),
+known AS (SELECT ref.*, rungs.* EXCLUDE (pair_id, ledger_seq), {', '.join(f"coalesce(buy{_NAMED[d]}, 0) AS b{_NAMED[d]}, coalesce(sell{_NAMED[d]}, 0) AS s{_NAMED[d]}" for d in _NEAR)}, {', '.join(f"coalesce(cost{_NAMED[d]}, 0) AS c{_NAMED[d]}" for d in _FAR)} FROM ref JOIN rungs ON ref.pair_id = rungs.pair_id AND ref.ledger_seq = rungs.ledger_seq),
+lows AS (SELECT *, least({', '.join(f"CASE WHEN reach{_NAMED[d]} THEN c{_NAMED[d]} END" for d in _FAR)}) AS least_cost FROM known),
+states AS (SELECT *, p0 IS NULL AS no_price, p0 IS NOT NULL AND (b0_02 < 1e-9 OR s0_02 < 1e-9) AS zero_depth, p0 IS NOT NULL AND coalesce(least_cost < 10000, false) AS cheap, p0 IS NOT NULL AND (ask - bid) * 100 > 20 * p0 AS spread, p0 IS NOT NULL AND least(b0_05, s0_05) < 50000 AS thin FROM lows)"""
+
+
+@query(f"""WITH {SERIES} SELECT pair_id, ledger_seq, bids, asks, offers, coalesce(bid >= ask, false) AS crossed, CASE WHEN p0 IS NULL THEN 'none' ELSE 'book' END AS price_source, round(p0 / 1e18, 9) AS p0, round((ask - bid) / p0::DOUBLE * 100, 4) AS spread_pct,
+  {', '.join(f"CASE WHEN p0 IS NOT NULL THEN round(b{_NAMED[d]} + 1e-7, 4) END AS depth_buy_{_NAMED[d]}, CASE WHEN p0 IS NOT NULL THEN round(s{_NAMED[d]} + 1e-7, 4) END AS depth_sell_{_NAMED[d]}" for d in _NEAR)},
+  {', '.join(f"CASE WHEN p0 IS NOT NULL THEN round(c{_NAMED[d]} + 1e-7, 4) END AS mc_cost_{_NAMED[d]}, CASE WHEN p0 IS NOT NULL THEN reach{_NAMED[d]} END AS mc_reachable_{_NAMED[d]}" for d in _FAR)},
+  round(high / 1e18, 9) AS max_reachable_price, CASE WHEN high IS NOT NULL THEN round(coalesce(below, 0) + 1e-7, 4) END AS cost_to_max_reachable,
+  CASE WHEN no_price OR zero_depth OR cheap THEN 'CRITICAL' WHEN spread THEN 'HIGH' WHEN thin THEN 'MEDIUM' ELSE 'LOW' END AS band,
+  concat_ws(',', CASE WHEN no_price THEN 'NO_EXECUTABLE_PRICE' END, CASE WHEN zero_depth THEN 'ZERO_DEPTH_2PCT' END, CASE WHEN cheap THEN 'MANIPULATION_CHEAP' END, CASE WHEN spread THEN 'SPREAD_EXTREME' END, CASE WHEN thin THEN 'THIN_DEPTH_5PCT' END) AS flags FROM states""")
+def series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book-series report: price, ladders, flags and band of the rebuilt book of every pair at every ledger with an operation or a trade of the pair."""
+    found, targets = _rebuilt(spark, sf_dir)
+    rows = sinks.ladder_columns(series.series_rows(found, targets))
+    four = [c for c in rows.columns if c.startswith(("depth_", "mc_cost_"))] + ["cost_to_max_reachable"]
+    return rows.select(
+        "pair_id", "ledger_seq", *big("bids", "asks", "offers"), "crossed", "price_source", F.round(F.col("p0").cast("double"), 9).alias("p0"), F.round(F.col("spread_pct").cast("double"), 4).alias("spread_pct"),
+        *(F.round(F.col(f"`{c}`").cast("double") + 1e-7, 4).alias(c.replace(".", "_")) for c in four), *(F.col(f"`{c}`").alias(c.replace(".", "_")) for c in rows.columns if c.startswith("mc_reachable_")),
+        F.round(F.col("max_reachable_price").cast("double"), 9).alias("max_reachable_price"), "band", F.array_join("flags", ",").alias("flags"),
+    )
 
 
 @query(f"WITH {REPLAY} SELECT count(DISTINCT o) AS missing FROM ev WHERE f = 'R' AND o <> 0 AND o NOT IN (SELECT o FROM ev WHERE f <> 'R')")
