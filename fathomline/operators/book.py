@@ -134,6 +134,11 @@ def ladders(priced: DataFrame, levels: DataFrame, pools: DataFrame, params: Para
     each meet their snapshot once and are summed for all rungs at a time, so nothing is multiplied by the rungs;
     snapshots have one row a pair and ledger.
     """
+    return with_rungs(level_sums(priced, levels, params), priced.columns, pools, params)
+
+
+def level_sums(priced: DataFrame, levels: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """``priced`` with the sums of its levels that ``with_rungs`` takes."""
     near, far = rungs_of(params)
     t = lambda name: F.col(f"`t {name}`")
     ask, bid, price, quote = F.col("level_side") == "ask", F.col("level_side") == "bid", F.col("level_price"), F.col("level_quote")
@@ -141,14 +146,13 @@ def ladders(priced: DataFrame, levels: DataFrame, pools: DataFrame, params: Para
     whole = [F.col(f"`{c}`") for c in priced.columns]
     sized = with_price(levels).select(*KEY, F.col("side").alias("level_side"), F.col("price").alias("level_price"), X.notional(F.col("amount"), F.col("price_n"), F.col("price_d")).alias("level_quote"))
     # grouping by the snapshot's columns needs no exchange beyond its key's and carries them along
-    book = marked.join(sized, KEY, "left").groupBy(*whole).agg(
+    return marked.join(sized, KEY, "left").groupBy(*whole).agg(
         F.sum(F.when(ask & (price < F.col("highest_ask")), quote)).alias("below"),
         *(F.sum(F.when(ask & (price <= t(f"up{d}")), quote)).alias(f"buy{d}") for d in near),
         *(F.sum(F.when(bid & (price >= t(f"down{d}")), quote)).alias(f"sell{d}") for d in near),
         *(F.sum(F.when(ask & (price < t(f"up{d}")), quote)).alias(f"cost{d}") for d in far),
         *(F.max(ask & (price >= t(f"up{d}"))).alias(f"reach{d}") for d in far),
     )
-    return with_rungs(book, priced.columns, pools, params)
 
 
 def rungs_of(params: Params) -> tuple[list[str], list[str]]:

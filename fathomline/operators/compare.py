@@ -2,51 +2,103 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import exact as X
+from fathomline.operators import book, risk
 from fathomline.operators.book import KEY, with_price
 
 #: A recorded side with so many levels is the beginning of a longer one.
 FULL_PAGE, TOLERANCE = 200, "0.0000001"
 
 
-def ranked(levels: DataFrame) -> DataFrame:
-    """Levels with their rank: bids from the highest price, asks from the lowest."""
-    p = with_price(levels)
+def crosscheck(recorded: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """Per (pair, ledger): counts of levels, whether counts, prices (exact, by rank) and amounts (within tolerance) match, first difference.
+
+    A recorded side of FULL_PAGE levels is the beginning of a longer one (``capped``): there the rebuilt side may go on.
+    Both books are ranked in one pass, bids from the highest price and asks from the lowest, and meet by rank.
+    """
+    level = F.struct("price_n", "price_d", "amount")
+    tagged = with_price(recorded).select(*KEY, "side", "price", level.alias("level"), F.lit(True).alias("is_recorded")).union(with_price(rebuilt).select(*KEY, "side", "price", level.alias("level"), F.lit(False)))
     best_first = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
-    return p.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY, "side").orderBy(best_first, "price_n", "amount")))
+    ranked = tagged.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY, "side", "is_recorded").orderBy(best_first, "level.price_n", "level.amount")))
+    met = ranked.groupBy(*KEY, "side", "rank").agg(F.max(F.when(F.col("is_recorded"), F.col("level"))).alias("a"), F.max(F.when(~F.col("is_recorded"), F.col("level"))).alias("b"))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    price = F.when(both, X.price_compare(F.col("a.price_n"), F.col("a.price_d"), F.col("b.price_n"), F.col("b.price_d")) == 0)
+    amount = F.when(both, F.abs(F.col("a.amount") - F.col("b.amount")) <= F.lit(TOLERANCE).cast("decimal(9,7)"))
+    why = F.when(F.col("b").isNull(), "missing from the rebuilt book").when(F.col("a").isNull(), "not in the recorded book").when(~price, "price differs").when(~amount, "amount differs")
+    place = F.struct("rank", "side", why.alias("why"))
+    sides = met.groupBy(*KEY, "side").agg(
+        F.count("a").alias("r"), F.count("b").alias("n"), F.bool_and(price).alias("price"), F.bool_and(amount).alias("amount"),
+        F.min(F.when(why.isNotNull() & F.col("a").isNotNull(), place)).alias("differs"), F.min(F.when(F.col("a").isNull(), place)).alias("beyond"),
+    )
+    capped = F.col("r") >= FULL_PAGE
+    first = F.when(capped, F.col("differs")).otherwise(F.least("differs", "beyond"))
+    count = lambda c, side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col(c))), F.lit(0))
+    found = sides.groupBy(*KEY).agg(
+        *(count(c, s).alias(f"{n}_{s}s") for n, c in (("recorded", "r"), ("rebuilt", "n")) for s in ("bid", "ask")), F.bool_or(capped).alias("capped"),
+        F.bool_and(F.when(capped, F.col("n") >= F.col("r")).otherwise(F.col("n") == F.col("r"))).alias("levels_match"),
+        F.coalesce(F.bool_and("price"), F.lit(True)).alias("prices_match"), F.coalesce(F.bool_and("amount"), F.lit(True)).alias("amounts_match"), F.min(first).alias("first"),
+    )
+    return found.withColumn("first", F.when(F.col("first").isNotNull(), F.concat_ws(" ", "first.side", F.col("first.rank").cast("string"), "first.why"))).withColumnRenamed("first", "explanation")
 
 
-def crosscheck(recorded: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """Per (pair, ledger): counts of levels, whether counts, prices (exact, by rank) and amounts (within tolerance) match, first difference."""
-    key = [*KEY, "side", "rank"]
-    a, b = (ranked(x).select(*key, F.col("price_n").alias(f"n{k}"), F.col("price_d").alias(f"d{k}"), F.col("amount").alias(f"a{k}")) for k, x in enumerate((recorded, rebuilt)))
-    j = a.join(b, key, "full_outer")
-    sides = j.groupBy(*KEY, "side").agg(F.count("n0").alias("r"), F.count("n1").alias("b"))
-    prefix = sides.select(*KEY, "side", (F.col("r") >= FULL_PAGE).alias("prefix"), F.when(F.col("r") >= FULL_PAGE, F.col("b") >= F.col("r")).otherwise(F.col("b") == F.col("r")).alias("counts_match"), "r", "b")
-    j = j.join(prefix.select(*KEY, "side", "prefix"), [*KEY, "side"]).where(~F.col("prefix") | F.col("n0").isNotNull())
-    both = F.col("n0").isNotNull() & F.col("n1").isNotNull()
-    price = F.when(both, X.price_compare(F.col("n0"), F.col("d0"), F.col("n1"), F.col("d1")) == 0)
-    amount = F.when(both, F.abs(F.col("a0") - F.col("a1")) <= F.lit(TOLERANCE).cast("decimal(9,7)"))
-    why = F.when(F.col("n1").isNull(), "missing from the rebuilt book").when(F.col("n0").isNull(), "not in the recorded book").when(~price, "price differs").when(~amount, "amount differs")
-    place = F.struct(F.col("rank"), F.col("side"))
-    compared = j.groupBy(*KEY).agg(
-        F.coalesce(F.bool_and(price), F.lit(True)).alias("prices_match"), F.coalesce(F.bool_and(amount), F.lit(True)).alias("amounts_match"),
-        F.min_by(F.concat_ws(" ", "side", F.col("rank").cast("string"), why), F.when(why.isNotNull(), place)).alias("explanation"),
+def figures_of(records: DataFrame) -> DataFrame:
+    """(pair_id, ledger_seq, place, path, number, said): the figures of risk records that a difference of their books would move.
+
+    Nested ladders become one row a figure, flags the sorted set of them; places give the order in which differences are reported.
+    """
+    number = lambda c: c.cast(X.WIDE)
+    figure = lambda place, path, n=None, text=None: F.struct(
+        F.lit(place).alias("place"), (path if isinstance(path, Column) else F.lit(path)).alias("path"), (F.lit(None) if n is None else n).cast(X.WIDE).alias("number"), (F.lit(None) if text is None else text).cast("string").alias("said")
     )
-    counts = prefix.groupBy(*KEY).agg(
-        *(F.coalesce(F.sum(F.when(F.col("side") == s, F.col(c))), F.lit(0)).alias(f"{n}_{s}s") for n, c in (("recorded", "r"), ("rebuilt", "b")) for s in ("bid", "ask")), F.bool_and("counts_match").alias("levels_match")
+    plain = F.array(
+        figure(0, "price_source", text=F.col("price_source")), figure(1, "band", text=F.col("band")), figure(2, "p0", number(F.col("p0"))), figure(3, "spread_pct", number(F.col("spread_pct"))),
+        figure(5, "flags", text=F.array_join(F.array_sort("flags"), ",")),
     )
-    return counts.join(compared, KEY, "left").withColumn("prices_match", F.coalesce("prices_match", F.lit(True))).withColumn("amounts_match", F.coalesce("amounts_match", F.lit(True)))
+    rung = lambda r: F.concat(F.lit("depth "), r["delta"].cast("double").cast("string"))
+    ladder = F.flatten(F.transform(F.coalesce("depth", F.array().cast(records.schema["depth"].dataType)), lambda r: F.array(figure(4, F.concat(rung(r), F.lit(" buy_side")), r["buy_side"]), figure(4, F.concat(rung(r), F.lit(" sell_side")), r["sell_side"]))))
+    return records.select(*KEY, F.explode(F.concat(plain, ladder)).alias("f")).select(*KEY, "f.*")
+
+
+def risk_differences(recorded: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """Per (pair, ledger) of either side whether two risk records agree, and the first figure that differs, with both values.
+
+    Numbers agree within the tolerance, null with null only; texts and flag sets agree exactly. A figure that only one
+    record has differs.
+    """
+    key = [*KEY, "place", "path"]
+    a, b = (figures_of(x).withColumn("value", F.struct("number", "said")) for x in (recorded, rebuilt))
+    j = a.select(*key, F.col("value").alias("a")).join(b.select(*key, F.col("value").alias("b")), key, "full_outer")
+    near = F.when(F.col("a.number").isNull() | F.col("b.number").isNull(), F.col("a.number").eqNullSafe(F.col("b.number"))).otherwise(F.abs(F.col("a.number") - F.col("b.number")) <= F.lit(TOLERANCE).cast("decimal(9,7)"))
+    agrees = F.col("a").isNotNull() & F.col("b").isNotNull() & near & F.col("a.said").eqNullSafe(F.col("b.said"))
+    value = lambda c: F.coalesce(F.col(f"{c}.said"), F.col(f"{c}.number").cast("string"), F.lit("null"))
+    first = F.min(F.when(~agrees, F.struct("place", "path", value("a").alias("a"), value("b").alias("b"))))
+    out = j.groupBy(*KEY).agg(first.alias("first"))
+    return out.select(*KEY, F.col("first").isNull().alias("risk_match"), F.col("first.path").alias("risk_differs_at"), F.when(F.col("first").isNotNull(), F.concat(F.col("first.path"), F.lit(" differs: recorded "), F.col("first.a"), F.lit(", rebuilt "), F.col("first.b"))).alias("risk_explanation"))
+
+
+def crosscheck_with_risk(recorded: DataFrame, rebuilt: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``crosscheck`` and the risk of both books alone, without pools; a capped recording is a prefix, of which no risk is computed."""
+    books = [risk.assessed(book.with_rungs(*_book_sums(snapshots, levels), None)) for levels in (recorded, rebuilt)]
+    out = crosscheck(recorded, rebuilt).join(risk_differences(*books), KEY, "left")
+    note = F.lit("a recorded side is at the page limit, so the risk of a prefix was not computed")
+    return out.withColumns({"risk_match": F.col("capped") | F.col("risk_match"), "risk_differs_at": F.when(~F.col("capped"), F.col("risk_differs_at")), "explanation": F.coalesce("explanation", F.when(F.col("capped"), note).otherwise(F.col("risk_explanation")))}).drop("risk_explanation")
+
+
+def _book_sums(snapshots: DataFrame, levels: DataFrame) -> tuple[DataFrame, list[str]]:
+    priced = book.priced_top(snapshots.join(book.book_top(levels), KEY, "left"), None)
+    return book.level_sums(priced, levels), priced.columns
 
 
 def verdicts(checked: DataFrame) -> DataFrame:
-    """ERROR, PARTIAL (offers unresolved), MATCH or MISMATCH; columns error and unresolved are optional."""
+    """ERROR, PARTIAL (offers unresolved), MATCH or MISMATCH; columns error, unresolved and risk_match are optional."""
     error = F.col("error").isNotNull() if "error" in checked.columns else F.lit(False)
     partial = F.col("unresolved") > 0 if "unresolved" in checked.columns else F.lit(False)
     all_match = F.col("levels_match") & F.col("prices_match") & F.col("amounts_match")
+    if "risk_match" in checked.columns:
+        all_match = all_match & F.col("risk_match")
     return checked.withColumn("verdict", F.when(error, "ERROR").when(all_match, "MATCH").when(partial, "PARTIAL").otherwise("MISMATCH"))
 
 

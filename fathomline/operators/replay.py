@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import exact as X
 from fathomline.operators.book import merge_levels
+from fathomline.operators.running import up_to
 
 RESTING = ["pair_id", "offer_id"]
 
@@ -174,6 +175,32 @@ def rewind(live: DataFrame, target: int) -> DataFrame:
     return live.groupBy("pair_id").agg(F.count_if(kept).alias("carried"), F.count_if(~kept).alias("changed_after_target"))
 
 
+def rewound_books(live: DataFrame, targets: DataFrame) -> DataFrame:
+    """Levels of the book at every (pair_id, ledger_seq) of ``targets``: the live offers that were not modified after it."""
+    t = targets.select("pair_id", "ledger_seq").distinct()
+    return book_from_offers(live.join(t, "pair_id").where(F.col("last_modified_ledger") <= F.col("ledger_seq")))
+
+
+def rewound_points(live: DataFrame, traded: DataFrame, targets: DataFrame, span: int = 1 << 12) -> DataFrame:
+    """For every (pair_id, ledger_seq) of ``targets``: offers carried back, changed after it, and gone: real offers traded at or
+    after it (pair_id, ledger_seq, offer_id) that are not live now. certain: nothing on the book was guessed at.
+
+    Counts are running sums over the ledgers, so targets meet neither offers nor trades.
+    """
+    last = traded.where((F.col("offer_id") != 0) & ~X.synthetic_offer(F.col("offer_id"))).groupBy(*RESTING).agg(F.max("ledger_seq").alias("at"))
+    gone = last.join(live.select(*RESTING), RESTING, "left_anti")
+    kept, left = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    entries = live.select("pair_id", F.col("last_modified_ledger").alias("at"), kept.alias("offers"), left.alias("gone")).union(gone.select("pair_id", "at", left, kept))
+    t = targets.select("pair_id", "ledger_seq").distinct()
+    place = lambda name, at, strict=False: F.struct(F.lit(name).alias("place"), at.cast("bigint").alias("at"), F.lit(strict).alias("strict"))
+    end = F.lit(1 << 33)
+    asked = t.select("*", F.explode(F.array(place("upto", F.col("ledger_seq")), place("before", F.col("ledger_seq"), True), place("all", end))).alias("p")).select("pair_id", "ledger_seq", "p.*")
+    ran = up_to(entries, asked, ["pair_id"], lambda c: F.floor(c / F.lit(span)), ["offers", "gone"])
+    figure = lambda place, c: F.max(F.when(F.col("place") == place, F.col(c)))
+    out = ran.groupBy("pair_id", "ledger_seq").agg(figure("upto", "offers").alias("carried"), (figure("all", "offers") - figure("upto", "offers")).alias("changed_after_target"), (figure("all", "gone") - figure("before", "gone")).alias("gone"))
+    return out.withColumn("certain", (F.col("changed_after_target") == 0) & (F.col("gone") == 0))
+
+
 def gone_offers(trades: DataFrame, live: DataFrame, target: int) -> DataFrame:
     """Real offers traded at or after the target that are not live now, counted per pair."""
     traded = trades.where((F.col("ledger_seq") >= target) & ~X.synthetic_offer(F.col("offer_id"))).select(*RESTING).distinct()

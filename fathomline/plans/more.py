@@ -246,6 +246,21 @@ def replay_gone_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.gone_offers(fills, _table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select((k % 50).alias("pair_id"), k.alias("offer_id")), 1200)
 
 
+@query(f"""WITH live AS (SELECT o_custkey % 50 AS pair_id, o_orderkey AS o, (date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)))::BIGINT AS m FROM orders WHERE o_orderstatus <> 'F'),
+tr AS (SELECT l_orderkey % 50 AS pair_id, l_orderkey AS o, max({DAYS}) AS last FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey <> 0 GROUP BY ALL), gn AS (SELECT tr.* FROM tr LEFT JOIN live ON tr.pair_id = live.pair_id AND tr.o = live.o WHERE live.o IS NULL),
+tg AS (SELECT DISTINCT l_orderkey % 50 AS pair_id, {DAYS} AS ledger_seq FROM lineitem WHERE l_linenumber = 1),
+cl AS (SELECT tg.pair_id, ledger_seq, count(*) FILTER (m <= ledger_seq) AS carried, count(*) FILTER (m > ledger_seq) AS changed FROM tg LEFT JOIN live ON tg.pair_id = live.pair_id GROUP BY ALL),
+cg AS (SELECT tg.pair_id, ledger_seq, count(*) FILTER (last >= ledger_seq) AS gone FROM tg LEFT JOIN gn ON tg.pair_id = gn.pair_id GROUP BY ALL)
+SELECT cl.pair_id, cl.ledger_seq, carried, changed AS changed_after_target, gone, changed = 0 AND gone = 0 AS certain FROM cl JOIN cg ON cl.pair_id = cg.pair_id AND cl.ledger_seq = cg.ledger_seq""")
+def replay_rewound_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What carrying the open orders back to every ledger with a first line leaves unresolved there."""
+    o = _table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'")
+    live = o.select((F.col("o_custkey") % 50).alias("pair_id"), F.col("o_orderkey").alias("offer_id"), _days("o_orderdate").alias("last_modified_ledger"))
+    fills = A.offer_trades(spark, sf_dir).withColumn("ledger_seq", X.toid_ledger(F.col("toid")))
+    targets = _table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 50).alias("pair_id"), _days("l_shipdate").alias("ledger_seq"))
+    return replay.rewound_points(live, fills, targets)
+
+
 @query("""WITH e AS (SELECT user_id AS pool_id, event_id, CAST(floor(epoch(ts) / 5) AS BIGINT) AS l, event_type = 'error' AS removed, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 n AS (SELECT pool_id, arg_max(removed, event_id) AS removed, arg_max(k, event_id) AS k FROM e WHERE l <= 341000000 GROUP BY 1)
 SELECT p.pool_id, CASE WHEN n.pool_id IS NULL THEN 'unreached' WHEN removed THEN 'removed' ELSE 'found' END AS status, CAST(CASE WHEN NOT removed THEN k END AS BIGINT) AS reserve_base FROM (SELECT DISTINCT pool_id FROM e) p LEFT JOIN n ON p.pool_id = n.pool_id""")
@@ -267,12 +282,16 @@ c AS (SELECT pair_id, count(n0) FILTER (side = 'bid') AS recorded_bids, count(n0
   count(n0) FILTER (side = 'bid') = count(n1) FILTER (side = 'bid') AND count(n0) FILTER (side = 'ask') = count(n1) FILTER (side = 'ask') AS levels_match, coalesce(bool_and(n0 = n1), true) AS prices_match, coalesce(bool_and(q0 = q1), true) AS amounts_match FROM j GROUP BY 1)"""
 
 
-def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged books against books with levels left out, prices moved and amounts changed by rules over all rows."""
+def _both_books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Merged books, and books with levels left out, prices moved and amounts changed by rules over all rows."""
     a = book.merge_levels(A.book_levels(spark, sf_dir))
     p, n = F.col("pair_id"), F.col("price_n")
     b = a.where(~((p % 4 == 1) & (n % 9 == 0))).withColumn("price_n", F.when((p % 6 == 2) & (F.col("side") == "bid"), n + 1).otherwise(n))
-    return compare.crosscheck(a, b.withColumn("amount", F.when(p % 10 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(19,7)")))
+    return a, b.withColumn("amount", F.when(p % 10 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(19,7)"))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.crosscheck(*_both_books(spark, sf_dir))
 
 
 @query(f"{_CHECKED} SELECT * FROM c")
@@ -281,6 +300,26 @@ def book_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).select("pair_id", *big("recorded_bids", "recorded_asks", "rebuilt_bids", "rebuilt_asks"), "levels_match", "prices_match", "amounts_match")
 
 
+def _book_risk_sql(name: str, table: str) -> str:
+    """CTE ``name`` with the risk figures of the books (pair_id, side, n, q) of a table, without pools; money in ten-thousandths."""
+    near, far = (2, 5, 10), (50, 100, 1000, 10000)
+    return f"""{name}_top AS (SELECT p_partkey AS pair_id, max(n) FILTER (side = 'bid') AS bid, min(n) FILTER (side = 'ask') AS ask FROM part LEFT JOIN {table} l ON p_partkey = l.pair_id GROUP BY 1),
+{name}_sums AS (SELECT t.pair_id, bid, ask, bid + ask AS p2, {', '.join(f"coalesce(sum(q * n) FILTER (side = 'ask' AND 200 * n <= (bid + ask) * (100 + {d})), 0) AS buy{d}, coalesce(sum(q * n) FILTER (side = 'bid' AND 200 * n >= (bid + ask) * (100 - {d})), 0) AS sell{d}" for d in near)},
+  {', '.join(f"CASE WHEN bool_or(side = 'ask' AND 200 * n >= (bid + ask) * (100 + {d})) THEN coalesce(sum(q * n) FILTER (side = 'ask' AND 200 * n < (bid + ask) * (100 + {d})), 0) END AS cost{d}" for d in far)} FROM {name}_top t LEFT JOIN {table} l ON t.pair_id = l.pair_id GROUP BY ALL),
+{name}_flags AS (SELECT *, p2 IS NULL AS f1, p2 IS NOT NULL AND (buy2 = 0 OR sell2 = 0) AS f2, p2 IS NOT NULL AND coalesce(least({', '.join(f"cost{d}" for d in far)}) < 100000000, false) AS f3, coalesce((ask - bid) * 200 > 20 * p2, false) AS f4, p2 IS NOT NULL AND least(buy5, sell5) < 500000000 AS f5 FROM {name}_sums),
+{name} AS (SELECT *, p2 IS NULL AS none, CASE WHEN f1 OR f2 OR f3 THEN 3 WHEN f4 THEN 2 WHEN f5 THEN 1 ELSE 0 END AS band FROM {name}_flags)"""
+
+
+@query(f"""{_CHECKED}, {_book_risk_sql("x", "a")}, {_book_risk_sql("y", "b")},
+w AS (SELECT x.pair_id, CASE WHEN x.none <> y.none THEN 'price_source' WHEN x.band <> y.band THEN 'band' WHEN x.p2 IS DISTINCT FROM y.p2 THEN 'p0' WHEN abs((x.ask - x.bid) * 200.0 / x.p2 - (y.ask - y.bid) * 200.0 / y.p2) > 0.0000001 THEN 'spread_pct' {' '.join(f"WHEN x.p2 IS NOT NULL AND x.{k}{d} <> y.{k}{d} THEN 'depth {d / 100} {k}_side'" for d in (2, 5, 10) for k in ("buy", "sell"))}
+  WHEN x.f1 <> y.f1 OR x.f2 <> y.f2 OR x.f3 <> y.f3 OR x.f4 <> y.f4 OR x.f5 <> y.f5 THEN 'flags' END AS at_ FROM x JOIN y ON x.pair_id = y.pair_id)
+SELECT c.pair_id, levels_match, prices_match, amounts_match, at_ IS NULL AS risk_match, at_ AS risk_differs_at, CASE WHEN levels_match AND prices_match AND amounts_match AND at_ IS NULL THEN 'MATCH' ELSE 'MISMATCH' END AS verdict FROM c JOIN w ON c.pair_id = w.pair_id""")
+def book_risk_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded books against changed ones, with the first figure of their risk that differs."""
+    checked = compare.crosscheck_with_risk(*_both_books(spark, sf_dir), A.snapshots(spark, sf_dir))
+    return compare.verdicts(checked).select("pair_id", "levels_match", "prices_match", "amounts_match", "risk_match", "risk_differs_at", "verdict")
+
+
 @query(f"{_CHECKED} SELECT CASE WHEN pair_id % 13 = 0 THEN 'ERROR' WHEN levels_match AND prices_match AND amounts_match THEN 'MATCH' WHEN pair_id % 5 = 0 THEN 'PARTIAL' ELSE 'MISMATCH' END AS verdict, count(*) AS recordings FROM c GROUP BY 1")
 def crosscheck_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts over all pairs, some with an error and some with offers unresolved."""
