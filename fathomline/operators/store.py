@@ -167,19 +167,62 @@ def set_active(pairs: DataFrame, ids: list, active: bool) -> DataFrame:
     return pairs.withColumn("active", F.when(F.col("pair_id").isin(ids), F.lit(active)).otherwise(F.col("active")))
 
 
+def _first_broken(columns: list[str], rules: list[tuple[str, tuple[str, ...], Column]]) -> Column:
+    """Why a row is refused: the first rule that it breaks, of those whose columns the table has; null for a good row."""
+    held = [F.when(broken, F.lit(why)) for why, needed, broken in rules if {*needed} <= {*columns}]
+    return F.coalesce(*held, F.lit(None).cast("string"))
+
+
+def risk_violation(columns: list[str]) -> Column:
+    c = F.col
+    return _first_broken(columns, [
+        ("no source but a price", ("price_source", "p0"), (c("price_source") == "none") & c("p0").isNotNull()),
+        ("a source but no price", ("price_source", "p0"), (c("price_source") != "none") & c("p0").isNull()),
+        ("depth without a price", ("price_source", "depth"), (c("price_source") == "none") & c("depth").isNotNull()),
+        ("a spread without a price", ("price_source", "spread_pct"), (c("price_source") == "none") & c("spread_pct").isNotNull()),
+        ("unknown price source", ("price_source",), ~c("price_source").isin("book", "pool", "none")),
+        ("unknown band", ("band",), ~c("band").isin("LOW", "MEDIUM", "HIGH", "CRITICAL")),
+        ("unknown data source", ("data_source",), ~c("data_source").isin("horizon", "hubble", "offers-implied", "trades-implied")),
+        ("a ledger that is not positive", ("ledger_seq",), ~(c("ledger_seq") > 0) | c("ledger_seq").isNull()),
+    ])
+
+
 def risk_violations(metrics: DataFrame) -> DataFrame:
     """Rows whose parts contradict each other, with the reason; must be empty before a store."""
-    why = (
-        F.when((F.col("price_source") == "none") & F.col("p0").isNotNull(), "no source but a price")
-        .when((F.col("price_source") != "none") & F.col("p0").isNull(), "a source but no price")
-        .when((F.col("price_source") == "none") & F.col("depth").isNotNull(), "depth without a price")
-        .when(~F.col("band").isin("LOW", "MEDIUM", "HIGH", "CRITICAL"), "unknown band")
-        .when(~F.col("data_source").isin("horizon", "hubble", "offers-implied", "trades-implied"), "unknown data source")
-    )
-    return metrics.withColumn("violation", why).where(F.col("violation").isNotNull())
+    return metrics.withColumn("violation", risk_violation(metrics.columns)).where(F.col("violation").isNotNull())
+
+
+def holder_violation(columns: list[str]) -> Column:
+    """Figures and their provenance go together: a truncated reading has none, figures need the ledger and its span."""
+    c = F.col
+    figures = c("circulating_supply").isNotNull()
+    return _first_broken(columns, [
+        ("truncated with figures", ("truncated", "circulating_supply"), c("truncated") & figures),
+        ("figures without a ledger", ("circulating_supply", "snapshot_ledger"), figures & c("snapshot_ledger").isNull()),
+        ("a span that ends before it begins", ("ledger_min", "ledger_max"), c("ledger_max") < c("ledger_min")),
+        ("a ledger outside its span", ("snapshot_ledger", "ledger_min", "ledger_max"), (c("snapshot_ledger") < c("ledger_min")) | (c("snapshot_ledger") > c("ledger_max"))),
+        ("a basis without a label", ("basis", "label"), c("basis").isNotNull() & (F.coalesce(F.trim("label"), F.lit("")) == "")),
+        ("a negative supply", ("circulating_supply",), c("circulating_supply") < 0),
+        ("a share outside 0 to 100", ("top1_pct",), ~c("top1_pct").between(0, 100)),
+        ("ten holders with less than one", ("top1_pct", "top10_pct"), c("top10_pct") < c("top1_pct")),
+    ])
+
+
+def trade_violation(columns: list[str]) -> Column:
+    """A trade reading has an anchor and a searched span; only a full scope has volumes, and nothing lies after the anchor."""
+    c = F.col
+    return _first_broken(columns, [
+        ("no anchor", ("anchor",), c("anchor").isNull()),
+        ("a negative span", ("searched_days",), c("searched_days") < 0),
+        ("unknown scope", ("scope",), ~c("scope").isin("full", "last_genuine_only")),
+        ("volumes without the full scope", ("scope", "genuine_base_30d"), (c("scope") == "last_genuine_only") & c("genuine_base_30d").isNotNull()),
+        ("a negative volume", ("genuine_base_30d",), c("genuine_base_30d") < 0),
+        ("a longer window with less volume", ("genuine_base_7d", "genuine_base_30d"), c("genuine_base_30d") < c("genuine_base_7d")),
+        ("a share outside 0 to 100", ("trades_excluded_pct",), ~c("trades_excluded_pct").between(0, 100)),
+        ("a trade after the anchor", ("last_genuine_at", "anchor"), c("last_genuine_at") > c("anchor")),
+    ])
 
 
 def reading_violations(readings: DataFrame) -> DataFrame:
-    """Holder readings that are truncated yet carry figures, or carry figures without a ledger."""
-    figures = F.col("circulating_supply").isNotNull()
-    return readings.withColumn("violation", F.when(F.col("truncated") & figures, "truncated with figures").when(figures & F.col("snapshot_ledger").isNull(), "figures without a ledger")).where(F.col("violation").isNotNull())
+    """Holder readings whose figures and provenance contradict each other, with the reason."""
+    return readings.withColumn("violation", holder_violation(readings.columns)).where(F.col("violation").isNotNull())

@@ -6,7 +6,7 @@ Bodies are parsed with from_json under declared schemas. A body that is not what
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import exact as X
@@ -36,7 +36,8 @@ def order_books(bodies: DataFrame) -> DataFrame:
     rows = b.withColumn("error", error).select("pair_id", "ledger_seq", "error", F.explode_outer(F.when(F.col("error").isNull(), F.concat(side("bid", F.col("_b.bids")), side("ask", F.col("_b.asks"))))).alias("l"))
     n, d, a = F.col("l.n"), F.col("l.d"), F.col("l.a")
     bad = F.col("l").isNotNull() & (~X.price_valid(n, d) | a.isNull())
-    base = F.when(F.col("l.side") == "bid", F.try_divide(a * d.cast("decimal(12,0)"), F.nullif(n, F.lit(0)).cast("decimal(12,0)")).cast(X.AMOUNT)).otherwise(a)
+    base = F.when(F.col("l.side") == "bid", F.when(X.price_valid(n, d) & (d > 0), X.notional(a, d, n).try_cast(X.AMOUNT))).otherwise(a)
+    bad = bad | (F.col("l").isNotNull() & base.isNull())
     return rows.select("pair_id", "ledger_seq", F.col("l.side").alias("side"), n.alias("price_n"), d.alias("price_d"), base.alias("amount"), F.when(bad, "malformed level").otherwise(F.col("error")).alias("error"))
 
 
@@ -129,7 +130,7 @@ def pool_effects(bodies: DataFrame) -> DataFrame:
 
 def recordings(spark: SparkSession, path: str) -> DataFrame:
     """Recorded files below ``path`` (gzip is transparent), bodies verbatim, with schema version, degraded, consistent and hash checks."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").option("wholetext", True).text(path).select(F.col("value"), F.col("_metadata.file_path").alias("path"))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("path"))
     r = raw.select("path", F.from_json("value", S.RECORDING).alias("r")).select("path", "r.*")
     known = F.col("ledger_before").isNotNull() & (F.col("ledger_before") != 0)
     return r.withColumn("schema_version", F.greatest(F.coalesce("schema_version", F.lit(1)), F.lit(1))).select(
@@ -138,6 +139,38 @@ def recordings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def archive(spark: SparkSession, path: str) -> DataFrame:
+    """All recordings below ``path`` in one scan, whatever their schema: ticks, and the snapshots and holder pages of schema 1.
+
+    kind (tick, snapshot, holders), schema_version (absent: 1), subject (pair or asset), recorded_at, ledger_before and
+    ledger_after (of the first and the last response), consistent, truncated, bodies as (endpoint, body) in order, and
+    ``raw``, the file's own text. A file that is none of these is one row with ``error``.
+    """
+    at = lambda p: F.get_json_object("raw", f"$.{p}")
+    body = lambda endpoint, c: F.struct(F.lit(endpoint).alias("endpoint"), c.alias("body"))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path, wholetext=True).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path"))
+    version = F.greatest(F.coalesce(at("schema_version").try_cast("int"), F.lit(1)), F.lit(1))
+    kind = F.when((version >= 2) & at("sources").isNotNull(), "tick").when((version == 1) & at("requested_asset").isNotNull(), "holders").when((version == 1) & at("requested_base").isNotNull(), "snapshot").when((version == 1) & at("sources").isNotNull(), "tick")
+    rows = raw.withColumns({"schema_version": version, "kind": kind})
+    by_kind = lambda tick, snapshot, holders: F.when(F.col("kind") == "tick", tick).when(F.col("kind") == "snapshot", snapshot).when(F.col("kind") == "holders", holders)
+    sources = F.transform(F.from_json("raw", S.RECORDING)["sources"], lambda s: F.struct(s["endpoint"].alias("endpoint"), s["body"].alias("body")))
+    books = F.array(body("order_book", at("order_book")), body("liquidity_pools", at("liquidity_pools")), body("ledger", at("ledger")))
+    pages = F.concat(F.array(body("asset_summary", at("asset_summary"))), F.transform(F.from_json(at("account_pages"), "array<string>"), lambda x: body("account_page", x)))
+    number = lambda p: at(p).try_cast("bigint")
+    out = rows.select(
+        "path", "kind", "schema_version", by_kind(at("pair"), F.concat_ws("/", at("requested_base"), at("requested_quote")), at("requested_asset")).alias("subject"), by_kind(at("recorded_at"), at("fetched_at"), at("fetched_at")).try_cast("timestamp").alias("recorded_at"),
+        by_kind(number("ledger_before"), number("book_latest_ledger"), number("first_page_latest_ledger")).alias("ledger_before"), by_kind(number("ledger_after"), number("pool_latest_ledger"), number("last_page_latest_ledger")).alias("ledger_after"),
+        F.coalesce(at("truncated").try_cast("boolean"), F.lit(False)).alias("truncated"), F.filter(by_kind(sources, books, pages), lambda b: b["body"].isNotNull()).alias("bodies"), "raw", F.when(F.col("kind").isNull(), "not a recording").alias("error"),
+    )
+    same = (F.col("ledger_before") == F.col("ledger_after")) & (F.col("ledger_before") != 0)
+    return out.withColumn("consistent", F.coalesce(same, F.lit(False)))
+
+
+def archived_bodies(archived: DataFrame, endpoint: str) -> DataFrame:
+    """(path, kind, subject, ledger_seq, recorded_at, body) of one endpoint of each recording, a row a body."""
+    return archived.where("error IS NULL").withColumn("b", F.explode("bodies")).where(F.col("b.endpoint") == endpoint).select("path", "kind", "subject", F.col("ledger_before").alias("ledger_seq"), "recorded_at", F.col("b.body").alias("body"))
+
+
 def bodies_of(recorded: DataFrame, endpoint: str) -> DataFrame:
     """(path, pair, ledger_seq, recorded_at, body) of one endpoint of each recording."""
     return recorded.withColumn("s", F.explode("sources")).where(F.col("s.endpoint") == endpoint).select("path", "pair", F.col("ledger_before").alias("ledger_seq"), "recorded_at", F.col("s.body").alias("body"))
@@ -154,6 +187,58 @@ def pairs(spark: SparkSession, path: str) -> DataFrame:
     return p.join(n, ["base", "quote"]).select("base", "quote", "note", why.alias("error"))
 
 
+#: The fields of a pair list, of its entries and of their assets, and the asset types.
+PAIR_FILE, PAIR_ENTRY, PAIR_ASSET = ("note", "pairs"), ("base", "quote", "note"), ("code", "issuer", "type")
+ASSET_TYPES = ("native", "credit_alphanum4", "credit_alphanum12")
+
+
+def pair_list(spark: SparkSession, path: str) -> DataFrame:
+    """The pairs of a list file ``{"note", "pairs": [{"base", "quote", "note"}]}`` in their order, each with the reason for which it must be refused.
+
+    Fields that the format does not know are refused by name, at every level; so are malformed assets (the type is stated,
+    never taken from the code), equal sides and a pair listed before. A file without pairs gives one row with ``error``.
+    """
+    keys = "map<string,string>"
+    unknown = lambda m, known, where: F.when(F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, known)))) > 0, F.concat(F.lit(f"unknown field of the {where}: "), F.array_join(F.array_sort(F.array_except(F.map_keys(m), F.array(*map(F.lit, known)))), ", ")))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", keys).alias("file"))
+    entries = F.from_json(F.col("file")["pairs"], f"array<{keys}>")
+    rows = files.select("path", F.when(F.col("file").isNull(), "unreadable pair list").otherwise(unknown(F.col("file"), PAIR_FILE, "list")).alias("_file"), F.posexplode_outer(entries).alias("place", "e"))
+    rows = rows.select("path", "_file", "place", "e", F.from_json(F.col("e")["base"], keys).alias("b"), F.from_json(F.col("e")["quote"], keys).alias("q"))
+    text = lambda m, k: F.coalesce(m[k], F.lit(""))
+
+    def refused(side: str, m: Column) -> Column:
+        code, issuer, kind = text(m, "code"), text(m, "issuer"), text(m, "type")
+        return (
+            F.when(m.isNull(), f"the {side} is missing").when(~kind.isin(*ASSET_TYPES), f"the {side}'s type is none of {', '.join(ASSET_TYPES)}")
+            .when((kind == "native") & ((code != "") | (issuer != "")), f"the {side} is native and carries a code or an issuer")
+            .when((kind != "native") & ((code == "") | (issuer == "")), f"the {side} needs a code and an issuer").when((kind != "native") & ~issuer.rlike("^G[A-Z2-7]{55}$"), f"the {side}'s issuer is malformed")
+        )
+
+    name = lambda m: F.when(text(m, "type") == "native", F.lit("XLM")).otherwise(F.concat_ws(":", m["code"], m["issuer"]))
+    same = F.struct(name(F.col("b")).alias("base"), text(F.col("b"), "type").alias("x"), name(F.col("q")).alias("quote"), text(F.col("q"), "type").alias("y"))
+    first = F.min("place").over(Window.partitionBy("path", same))
+    error = F.coalesce(
+        "_file", F.when(F.col("e").isNull(), "the list holds no pairs"), unknown(F.col("e"), PAIR_ENTRY, "pair"), unknown(F.col("b"), PAIR_ASSET, "base"), unknown(F.col("q"), PAIR_ASSET, "quote"),
+        refused("base", F.col("b")), refused("quote", F.col("q")), F.when((same["base"] == same["quote"]) & (same["x"] == same["y"]), "the same asset on both sides"), F.when(first < F.col("place"), "listed before"),
+    )
+    return rows.select("path", "place", name(F.col("b")).alias("base"), name(F.col("q")).alias("quote"), F.col("e")["note"].alias("note"), error.alias("error"))
+
+
+def pool_evidence_at(evidence: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For every wanted (base, quote, ledger_seq) the proof that ``pool_evidence`` covers it: ``pools`` counted and ``error`` null,
+    or why it does not: no entry, several entries, a refused pool, a pool named twice."""
+    key = ["base", "quote", "ledger_seq"]
+    named = evidence.groupBy(*key, F.lower("pool_id").alias("id")).agg(F.count("pool_id").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("error").alias("error"), F.countDistinct("entry").alias("e"), F.collect_set("entry").alias("entries"))
+    found = named.groupBy(*key).agg(F.count("id").alias("pools"), F.min("error").alias("_error"), F.max(F.col("n") > F.col("e")).alias("_twice"), F.size(F.array_distinct(F.flatten(F.collect_list("entries")))).alias("_entries"))
+    why = F.when(F.col("_entries").isNull(), "no pool evidence for the pair and ledger").when(F.col("_entries") > 1, "several entries for the pair and ledger").when(F.col("_error").isNotNull(), F.col("_error")).when(F.col("_twice"), "a pool is named twice")
+    return wanted.select(*key).distinct().join(found, key, "left").select(*key, F.when(why.isNull(), F.col("pools")).alias("pools"), why.alias("error"))
+
+
+def live_sellers(offers: DataFrame) -> DataFrame:
+    """(pair_id, seller): who sells on either side now."""
+    return offers.where(F.col("seller").isNotNull()).select("pair_id", "seller").distinct()
+
+
 def known_removals(spark: SparkSession, path: str) -> DataFrame:
     """Known removals with a reason for every entry that must be refused, in offer order."""
     r = spark.read.schema(S.REMOVAL).option("multiLine", True).json(path)
@@ -165,15 +250,16 @@ def known_removals(spark: SparkSession, path: str) -> DataFrame:
 
 def pool_evidence(spark: SparkSession, path: str) -> DataFrame:
     """Pools at a ledger from evidence files: null pools are unknown and refused, an empty list means none (one row, pool null)."""
-    body = spark.read.option("wholetext", True).text(path)
-    e = body.select(F.explode(F.from_json("value", f"array<{S.POOL_EVIDENCE}>")).alias("e")).select("e.*")
+    body = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    e = body.select("path", F.posexplode(F.from_json("value", f"array<{S.POOL_EVIDENCE}>")).alias("at", "e")).select(F.concat_ws("#", "path", F.col("at").cast("string")).alias("entry"), "e.*")
     name = lambda s: X.asset_id(F.col(f"{s}.Code"), F.col(f"{s}.Issuer"))
-    rows = e.select(name("Base").alias("base"), name("Quote").alias("quote"), F.col("LedgerSeq").alias("ledger_seq"), F.col("Pools").isNull().alias("_unknown"), F.explode_outer("Pools").alias("p"))
+    rows = e.select("entry", name("Base").alias("base"), name("Quote").alias("quote"), F.col("LedgerSeq").alias("ledger_seq"), ((F.col("Source") != "offers-implied") | F.col("LedgerClosedAt").isNull()).alias("_unsourced"), F.col("Pools").isNull().alias("_unknown"), F.explode_outer("Pools").alias("p"))
     why = (
-        F.when(F.col("_unknown"), "pools are unknown").when(F.col("p").isNotNull() & ~F.coalesce(F.col("p.PoolID").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), "malformed pool id")
+        F.when(F.col("_unknown"), "pools are unknown").when(F.coalesce("_unsourced", F.lit(True)), "not of the offers-implied source, or without a close time").when(F.col("p").isNotNull() & ~F.coalesce(F.col("p.PoolID").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), "malformed pool id")
         .when(F.col("p").isNotNull() & ~F.coalesce(F.col("p.FeeBP").between(0, 9999), F.lit(False)), "fee out of range")
+        .when(F.col("p").isNotNull() & ~F.coalesce((F.col("p.ReserveBase").try_cast(X.AMOUNT) >= 0) & (F.col("p.ReserveQuote").try_cast(X.AMOUNT) >= 0), F.lit(False)), "a reserve is missing or negative")
     )
-    return rows.select("base", "quote", "ledger_seq", F.col("p.PoolID").alias("pool_id"), F.col("p.ReserveBase").try_cast(X.AMOUNT).alias("reserve_base"), F.col("p.ReserveQuote").try_cast(X.AMOUNT).alias("reserve_quote"), F.col("p.FeeBP").alias("fee_bp"), why.alias("error"))
+    return rows.select("entry", "base", "quote", "ledger_seq", F.col("p.PoolID").alias("pool_id"), F.col("p.ReserveBase").try_cast(X.AMOUNT).alias("reserve_base"), F.col("p.ReserveQuote").try_cast(X.AMOUNT).alias("reserve_quote"), F.col("p.FeeBP").alias("fee_bp"), why.alias("error"))
 
 
 def live_offers(bodies: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from fathomline.sources import sinks
 
 def recordings(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """New recording files as they land, degraded ones too."""
-    raw = spark.readStream.schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").option("maxFilesPerTrigger", max_files).text(path)
+    raw = spark.readStream.schema("value string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").option("maxFilesPerTrigger", max_files).text(path)
     return raw.select(F.from_json("value", S.RECORDING).alias("r")).select("r.*")
 
 
