@@ -163,13 +163,16 @@ def daily_volumes(classified: DataFrame, anchor: Column) -> DataFrame:
 
 def rolling_extremes(classified: DataFrame, anchor: Column, days: int = 7) -> DataFrame:
     """Least and greatest trailing genuine base volume over ``days`` full days, and the volume-weighted price."""
-    w = Window.partitionBy("pair_id").orderBy("day").rowsBetween(1 - days, 0)
-    d = daily_volumes(classified, anchor).withColumn("trailing", F.sum("genuine_base").over(w)).withColumn("_n", F.count(F.lit(1)).over(w))
-    full = F.col("_n") == days
-    return d.groupBy("pair_id").agg(
-        F.min(F.when(full, F.col("trailing"))).alias("least"), F.max(F.when(full, F.col("trailing"))).alias("greatest"),
-        F.try_divide(F.sum("genuine_quote").cast("double"), F.sum("genuine_base").cast("double")).alias("weighted_price"),
-    )
+    return rolling_extremes_of(classified, anchor, [days]).drop("days")
+
+
+def rolling_extremes_of(classified: DataFrame, anchor: Column, lengths: list[int]) -> DataFrame:
+    """The same for several lengths in days, a row for each, from one daily table and one sort of it."""
+    over = {n: Window.partitionBy("pair_id").orderBy("day").rowsBetween(1 - n, 0) for n in lengths}
+    d = daily_volumes(classified, anchor).select("*", *(F.when(F.count(F.lit(1)).over(w) == n, F.sum("genuine_base").over(w)).alias(f"trailing_{n}") for n, w in over.items()))
+    price = F.try_divide(F.sum("genuine_quote").cast("double"), F.sum("genuine_base").cast("double"))
+    extremes = [F.struct(F.lit(n).alias("days"), F.min(f"trailing_{n}").alias("least"), F.max(f"trailing_{n}").alias("greatest")) for n in lengths]
+    return d.groupBy("pair_id").agg(F.array(*extremes).alias("e"), price.alias("weighted_price")).select("pair_id", F.inline("e"), "weighted_price")
 
 
 def oracle_window(trades: DataFrame, issuers: DataFrame, anchor: Column, params: Params = DEFAULT) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+#: The version, ladders, windows and thresholds of the methodology.
 METHODOLOGY_VERSION = "1.0.8-draft"
 
 

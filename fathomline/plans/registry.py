@@ -6,7 +6,6 @@ Ratios are rounded to six decimals on both sides; sums and comparisons stay exac
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -225,8 +224,7 @@ g AS (SELECT d.pair_id, d.day, coalesce(sum(k) FILTER (verdict = 'genuine'), 0)
 w AS ({' UNION ALL '.join(f'SELECT *, {n} AS days, sum(b) OVER x AS tr, count(*) OVER x AS m FROM g WINDOW x AS (PARTITION BY pair_id ORDER BY day ROWS {n - 1} PRECEDING)' for n in _EXTREMES)})
 SELECT pair_id, days, CAST(min(tr) FILTER (m = days) AS BIGINT) AS least, CAST(max(tr) FILTER (m = days) AS BIGINT) AS greatest, round(CAST(sum(c) AS DOUBLE) / 100 / CAST(sum(b) AS DOUBLE), 6) AS weighted_price FROM w GROUP BY ALL""")
 def trade_rolling_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _classified(spark, sf_dir)
-    return reduce(DataFrame.union, (trades.rolling_extremes(c, anchor(), n).select("pair_id", F.lit(n).alias("days"), *big("least", "greatest"), r6("weighted_price")) for n in _EXTREMES))
+    return trades.rolling_extremes_of(_classified(spark, sf_dir), anchor(), list(_EXTREMES)).select("pair_id", "days", *big("least", "greatest"), r6("weighted_price"))
 
 
 def _supporting_sql(anchors: str) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import exact as X
 from fathomline.sources import schemas as S
+from fathomline.sources.sinks import LOG_BITS
 
 #: A page with so many records may have been cut.
 FULL_PAGE = 200
@@ -83,6 +84,20 @@ def trades_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.TRADES_CSV).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
 
 
+def trade_log(spark: SparkSession, path: str, first: int, last: int, pair: int | None = None) -> DataFrame:
+    """The trades of ledgers ``first`` to ``last`` of a log that ``sinks.trade_log`` wrote. Spans of ledgers prune folders, the
+    rest of the range and the pair reach the files' statistics."""
+    log = spark.read.parquet(path).where(F.col("span").between(first >> LOG_BITS, last >> LOG_BITS) & F.col("ledger_seq").between(first, last))
+    return (log if pair is None else log.where(F.col("pair_id") == pair)).drop("span")
+
+
+def trade_log_coverage(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """Per pair whether its log reaches over the whole range: a trade at or before its begin and one at or after its end. Only
+    bounds are read."""
+    bounds = spark.read.parquet(path).groupBy("pair_id").agg(F.min("ledger_seq").alias("from_ledger"), F.max("ledger_seq").alias("to_ledger"))
+    return bounds.withColumn("complete", (F.col("from_ledger") <= first) & (F.col("to_ledger") >= last))
+
+
 def holders_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.HOLDERS_CSV).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
 

@@ -141,6 +141,16 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+#: Ledgers of a partition of the trade log, as a power of two.
+LOG_BITS = 17
+
+
+def trade_log(trades: DataFrame, path: str) -> None:
+    """Trades by spans of ledgers, in each file sorted by pair and ledger, so that a pair's range reads few files and few of their rows."""
+    spans = trades.withColumn("span", F.shiftright("ledger_seq", LOG_BITS))
+    spans.repartitionByRange("span", "pair_id", "ledger_seq", "trade_id").sortWithinPartitions("span", "pair_id", "ledger_seq", "trade_id").write.mode("append").partitionBy("span").parquet(path)
+
+
 def trades_csv(trades: DataFrame, path: str) -> None:
     """The fixed trade columns in order; absent ones are empty."""
     names = [c.strip().split(" ")[0] for c in re.split(r",\s*(?![^(]*\))", S.TRADES_CSV)]

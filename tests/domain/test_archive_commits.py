@@ -166,3 +166,27 @@ def test_capped_recording(spark):
     assert capped["levels_match"] and capped["risk_match"] and capped["explanation"].startswith("a recorded side is at the page limit")
     short = compare.crosscheck_with_risk(spark.createDataFrame(rows(3), schema), spark.createDataFrame(rows(2), schema), snapshots).first()
     assert not short["levels_match"] and short["explanation"] == "ask 3 missing from the rebuilt book" and short["risk_match"] is False and short["risk_differs_at"] == "depth 0.1 buy_side"
+
+
+def test_trade_log_reads_its_range(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.range(40_000).select((F.col("id") % 4).alias("pair_id"), F.col("id").alias("trade_id"), (F.col("id") * 50).alias("ledger_seq"), F.lit(1).alias("amount"))
+    sinks.trade_log(rows, path)
+    files = len(list((tmp_path / "log").glob("span=*/*.parquet")))
+    got = scans.trade_log(spark, path, 500_000, 510_000, pair=2)
+    assert sorted(r["trade_id"] for r in got.collect()) == [k for k in range(10_000, 10_201) if k % 4 == 2]
+    plan = got._jdf.queryExecution().executedPlan()
+    scan = [s for s in _nodes(plan) if s.nodeName().startswith("Scan parquet")][0]
+    assert scan.metrics().apply("numFiles").value() <= 4 < 12 <= files
+    assert "GreaterThanOrEqual(ledger_seq,500000)" in plan.toString()
+    ends = {r["pair_id"]: r["complete"] for r in scans.trade_log_coverage(spark, path, 100, 1_999_850).collect()}
+    assert ends == {0: False, 1: True, 2: True, 3: False}
+
+
+def _nodes(plan):
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        plan = plan.executedPlan()
+    out, children = [plan], plan.children()
+    for k in range(children.size()):
+        out += _nodes(children.apply(k))
+    return out
