@@ -102,7 +102,8 @@ def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", keep:
     """``keep`` columns with the figures of ``document_figures``, base_failed, host_rate and kept.
 
     A document is kept unless a base rule fails, its symbols are beyond the severe limit, or it breaks a soft
-    rule and its host is not trusted; so a clean document stays on any host. A null host is a host of its own. Empty tables give an empty result.
+    rule and its host is not trusted; so a clean document stays on any host. A null host counts
+    as the empty one. Empty tables give an empty result.
     """
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
     named = df.select(carry(df, keep), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
