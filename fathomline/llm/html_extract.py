@@ -1,19 +1,30 @@
 """Operator 8: main text of web pages as the maximum-scoring run of words and tags.
 
 A page is a sequence of words and tags. Words score positive and tags negative, and one linear scan (the running
-sum, restarted where it falls to zero) finds the contiguous run of greatest sum: the article. What stands between two
-words, tags and elements without article text alike, costs MOST_GAP at most, so an inserted box doesn't cut an article
-in two. The weights are fitted by a structured perceptron to labelled pages, those that mark their article with an
-element of their own; the scan itself never reads that mark. Inside the run, elements that hold no article text are
-left out: by their name or a whole class, id or role token, unless they wrap the bulk of the page.
+sum, restarted where it falls to zero) finds the contiguous run of greatest sum: the article. How much a word counts is
+the least score of the elements around it, from -1 to 1, and words below zero are left out of the run: menus, notices
+and adverts inside the article. The scores are linear in features of an element: its name, its class, id and role
+tokens, whether they are known names of boxes, the share of its words in links, its size, its punctuation, and where it
+lies against the smallest element that holds most of the words and the title. No element goes by its name alone, but
+for hidden ones.
+
+All weights are fitted to labelled pages, those that mark their article with an element of their own, which the scan
+never reads: element weights by logistic regression, weights of words and tags by a structured perceptron. Each
+labelled page trains in five forms (``_forms``): with its mark as a plain div, without it, cut to a short article, with boxes of
+other pages' words before, in and after the article, and with the article's paragraphs recast as
+headings, lists and tables that carry names of boxes, as does what holds the title.
 """
 
 from __future__ import annotations
 
 import html as _html
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,35 +32,38 @@ from pyspark.sql import types as T
 
 from fathomline.llm.common import text_batches, texts, unique_names
 
-#: Bound of the labelled pages that the weights are fitted on, and rounds over them.
-TRAINING_PAGES, ROUNDS = 400, 4
+#: Bound of the labelled pages that the weights are fitted on, of the characters of each, and rounds over them.
+TRAINING_PAGES, TRAINING_CHARS, ROUNDS = 400, 200_000, 4
+#: Steps, rate and decay of the logistic regression.
+STEPS, RATE, DECAY = 400, 0.5, 1e-4
 WORD, ASIDE = "word", "aside"
 FIRST_WORD, FIRST_TAG, LEAST = 1.0, -1.0, 0.05
 #: Elements whose text is never shown, elements that hold no article text, void elements, block elements.
 HIDDEN = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas"}
-OUTSIDE = {"nav", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu", "header"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-#: Parts of class, id and role tokens that name what is no article text; first parts after which they do not.
-_ASIDE = {
-    "ad", "ads", "advert", "advertisement", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "discussion",
-    "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promotion", "related", "replies", "search", "share", "sharing", "sidebar",
-    "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
-}
-_OF_ARTICLE = {"article", "post", "entry", "content", "story", "body", "text", "with", "has", "no", "without", "before", "after"}
-_SOCIAL = {"links", "share", "media", "icons", "bar", "buttons"}
-#: Elements that are left out however much of a page they hold.
-NEVER = {"nav", "footer", "button", "select", "textarea", "dialog", "menu"}
-#: Least score of what stands between two words.
-MOST_GAP = -4.0
+#: Elements that are text themselves; all others are boxes.
+FLOW = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "li", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "details", "summary"}
+#: Names of boxes in class, id and role tokens, and words that follow them.
+BOXES = (
+    "ad ads advert advertisement alert banner bottom breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies discussion "
+    "footer header masthead menu nav navbar navigation newsletter notice popup promo promotion related replies search share sharing sidebar "
+    "signup social sponsor sponsored subscribe thread toolbar topbar widget"
+).split()
+_BOX = set(BOXES)
+_AFTER = "area bar box buttons container content form icons inner items links list media section slot unit wrapper".split()
 #: Marks of labelled pages; the scan sees them as if they were not there.
 LABEL = {"article", "main"}
 _REST = r"|<[!?][^>]*+>|</[^a-zA-Z][^>]*+>|</>|[^<]++|<(?![a-zA-Z/!?])"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>" + _REST, re.DOTALL)
 _PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>" + _REST, re.DOTALL)
+_UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)")
+_STYLE = re.compile(r"\bstyle\s*=\s*(?:\"[^\"]*display\s*:\s*none|'[^']*display\s*:\s*none|display:none)", re.IGNORECASE)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+UNSEEN = "\0hidden"
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 
@@ -88,111 +102,135 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             if name in HIDDEN:
                 continue
             marks = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(m[3])).lower() if "=" in m[3] else ""
+            if m[3] and not m[1] and (_UNSEEN.search(_QUOTED.sub("", m[3].lower())) or _STYLE.search(m[3])):
+                marks = f"{marks} {UNSEEN}"
             yield "close" if m[1] else "open", name, marks
         elif m[0][0] != "<" or m[0] == "<":
             yield "text", m[0], ""
 
 
-def names_aside(marks: str) -> bool:
-    """Whether a class, id or role token names what is no article text: by itself, or by its first or last part."""
+def _box_names(marks: str) -> set[str]:
+    """How class, id and role tokens name a box: "whole" by a token of its own, "last" or "first" by its last or first part."""
+    out = set()
     for token in marks.split():
         parts = [x for x in re.split(r"[-_]+", token) if x]
-        if not parts or parts[0] in _OF_ARTICLE:
+        if not parts:
             continue
-        if parts[0] == "social":
-            if len(parts) == 1 or _SOCIAL.intersection(parts[1:]):
-                return True
-        elif parts[0] in _ASIDE or parts[-1] in _ASIDE:
-            return True
-    return False
-
-
-def _feature(kind: str, name: str, marks: str) -> str:
-    return f"{kind}:{name}" + (":aside" if marks and names_aside(marks) else "")
+        if parts[0] in _BOX and all(x in _BOX or x in _AFTER for x in parts[1:]):
+            out.add("whole")
+        elif parts[-1] in _BOX:
+            out.add("last")
+        elif parts[0] in _BOX:
+            out.add("first")
+    return out
 
 
 def _ends(found: list[tuple[str, str, str]]) -> dict[int, int]:
-    """For each opening tag where its element ends: at its closing tag, else where the element around it ends."""
+    """For each opening tag where its element ends: at its closing tag, a paragraph at the next block, else where the element around it ends."""
     ends: dict[int, int] = {}
     open_: dict[str, list[int]] = {}
     stack: list[int] = []
+
+    def close(name: str, at: int) -> None:
+        while stack:
+            k = stack.pop()
+            open_[found[k][1]].pop()
+            ends[k] = at
+            if found[k][1] == name:
+                break
+
     for i, (kind, name, _) in enumerate(found):
         if kind == "open" and name not in VOID:
+            if name in BLOCKS and open_.get("p"):
+                close("p", i)
             open_.setdefault(name, []).append(i)
             stack.append(i)
         elif kind == "close" and open_.get(name):
-            while stack:
-                k = stack.pop()
-                open_[found[k][1]].pop()
-                ends[k] = i
-                if found[k][1] == name:
-                    break
+            close(name, i)
     return ends | {k: len(found) for k in stack}
 
 
-def _aside(found: list[tuple[str, str, str]]) -> list[bool]:
-    """For each token whether it lies in an element that holds no article text.
+def _elements(found: list[tuple[str, str, str]]) -> Iterator[tuple[int, int, tuple[str, ...] | None]]:
+    """Start, end and features of each block with words; None for a hidden one. Elements that hold the middle of the page aren't listed.
 
-    An element that wraps the page's first h1 and half of its words, without an h1 four fifths of them, is none whatever its class;
-    a header with a heading and without a menu is a title.
+    The middle is the smallest box with more than half of the words outside links that holds an h1 if the box around it does.
     """
-    ends, words, title = _ends(found), [0], None
+    ends = _ends(found)
+    words, free, stops, titles, linked = [0], [0], [0], [0], 0
+    for i, (kind, name, _) in enumerate(found):
+        n = len(name.split()) if kind == "text" else 0
+        if kind == "open" and name == "a" and ends.get(i, i) > linked:
+            linked = ends[i]
+        words.append(words[-1] + n)
+        free.append(free[-1] + (n if i >= linked else 0))
+        stops.append(stops[-1] + (len(re.findall(r"[.!?]\s", name + " ")) if kind == "text" else 0))
+        titles.append(titles[-1] + (kind == "open" and name == "h1"))
+    within = lambda sums, i, e: sums[e] - sums[i]
+    start, end = 0, len(found)
+    inner = None
     for i, (kind, name, _) in enumerate(found):
-        words.append(words[-1] + (len(name.split()) if kind == "text" else 0))
-        if title is None and kind == "open" and name == "h1":
-            title = i
-    out, until = [False] * len(found), 0
+        if kind == "open" and i in ends and name in BLOCKS and name not in FLOW and 2 * within(free, i, ends[i]) > free[-1]:
+            if within(titles, i, ends[i]) or not within(titles, start, end):
+                start, end = i, ends[i]
+            else:
+                inner = (i, ends[i])
+                break
     for i, (kind, name, marks) in enumerate(found):
-        if i >= until and kind == "open" and name not in VOID and name not in ("body", "html", *LABEL):
-            by_class = bool(marks) and names_aside(marks)
-            if name in OUTSIDE or by_class:
-                end, all_ = ends[i], words[-1]
-                inside = words[end] - words[i]
-                names = {x for k, x, _ in found[i + 1 : end] if k == "open"} if name == "header" and not by_class else ()
-                wraps = name not in NEVER and (5 * inside > 4 * all_ if title is None else i < title < end and 2 * inside > all_)
-                if not wraps and not (names and names & {"h1", "h2"} and not names & {"nav", "ul", "ol", "form", "menu"}):
-                    until = end + 1
-        out[i] = i < until
+        if kind != "open" or i not in ends or name not in BLOCKS and not marks:
+            continue
+        name = "div" if name in LABEL else name
+        e = ends[i]
+        if marks.endswith(UNSEEN):
+            yield i, e, None
+            continue
+        n = within(words, i, e)
+        if i <= start and e >= end or not n or name in ("html", "body"):
+            continue
+        group = "flow" if name in FLOW else "box"
+        place = "before" if e <= start else "after" if i >= end else "in"
+        links = 1 - within(free, i, e) / n
+        out = [
+            "bias", f"name:{name}", f"place:{place}", f"place:{place}:{group}", f"links:{group}:{min(3, int(links * 4))}",
+            f"size:{group}:{min(4, len(str(n)))}", f"stops:{group}:{min(2, within(stops, i, e))}", f"share:{group}:{min(3, 10 * n // max(1, words[-1]))}",
+        ]
+        if within(titles, i, e):
+            out.append(f"title:{name}:{place}")
+        if inner and (e <= inner[0] or i >= inner[1]):
+            out.append("beside:" + ("before" if e <= inner[0] else "after"))
+        out += [f"box:{x}:{group}:{place}" for x in sorted(_box_names(marks))]
+        out += [f"token:{x}:{group}:{place}" for x in sorted(set(marks.split()))]
+        yield i, e, tuple(out)
+
+
+def _sure(found: list[tuple[str, str, str]], weights: dict[str, float]) -> list[float]:
+    """For each token the least score of the elements around it, from -1 to 1; 1 outside all that are scored."""
+    at: dict[int, tuple[int, float]] = {}
+    for i, e, features in _elements(found):
+        x = -1.0 if features is None else sum(weights.get("e|" + f, FIRST_WORD if f == "bias" else 0.0) for f in features)
+        at[i] = (e, max(-1.0, min(1.0, x)))
+    out, around = [], [(len(found) + 1, 1.0)]
+    for i in range(len(found)):
+        while around[-1][0] <= i:
+            around.pop()
+        if i in at:
+            around.append((min(at[i][0], around[-1][0]), min(at[i][1], around[-1][1])))
+        out.append(around[-1][1])
     return out
 
 
-def sequence(page: str) -> tuple[list[str], list[bool], list[tuple[str, str, str]]]:
-    """Features of the words and tags of a page, whether each lies in a labelled element, and the tokens they come from."""
-    found = list(tokens(page))
-    features, inside, depth = [], [], 0
-    for (kind, name, marks), aside in zip(found, _aside(found), strict=True):
+def sequence(found: list[tuple[str, str, str]], weights: dict[str, float]) -> list[tuple[str, float]]:
+    """Feature and amount of each word run and tag of a page: words by how surely they are article text, tags by name."""
+    out = []
+    for (kind, name, _), sure in zip(found, _sure(found, weights), strict=True):
         if kind == "text":
-            features.append(f"{ASIDE if aside else WORD}*{len(name.split())}")
-        elif name in LABEL:
-            depth = max(0, depth + (1 if kind == "open" else -1))
-            features.append("")
-        else:
-            features.append(_feature(kind, name, marks))
-        inside.append(depth > 0)
-    return features, inside, found
-
-
-def _scores(weights: dict[str, float], features: list[str]) -> list[float]:
-    """The score of each token; between two words no more than MOST_GAP is lost."""
-    out, gap = [], 0.0
-    for f in features:
-        x = _score(weights, f)
-        if x > 0:
-            gap = 0.0
+            out.append((WORD if sure >= 0 else ASIDE, len(name.split()) * abs(sure)))
         else:
-            x = max(x, MOST_GAP - gap)
-            gap += x
-        out.append(x)
+            out.append((f"{kind}:{'div' if name in LABEL else name}", 1.0))
     return out
 
 
-def _score(weights: dict[str, float], f: str) -> float:
-    if not f:
-        return 0.0
-    if "*" in f:
-        name, n = f.split("*")
-        return weights.get(name, FIRST_WORD if name == WORD else FIRST_TAG) * int(n)
-    return weights.get(f, weights.get(f.split(":aside")[0], FIRST_TAG))
+def _scores(weights: dict[str, float], features: list[tuple[str, float]]) -> list[float]:
+    return [n * weights.get(f, FIRST_WORD if f == WORD else FIRST_TAG) for f, n in features]
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -207,31 +245,154 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def _sums(features: list[str]) -> dict[str, float]:
+def _sums(features: list[tuple[str, float]]) -> dict[str, float]:
     out: dict[str, float] = {}
-    for f in features:
-        if "*" in f:
-            name, n = f.split("*")
-            out[name] = out.get(name, 0.0) + int(n)
-        elif f:
-            out[f] = out.get(f, 0.0) + 1
+    for f, n in features:
+        out[f] = out.get(f, 0.0) + n
     return out
 
 
+Labelled = tuple[list[tuple[str, str, str]], list[bool]]
+
+
+def _labelled(page: str) -> Labelled | None:
+    """Tokens of a page and whether each lies in its mark; None without words in a mark."""
+    found, inside, depth = list(tokens(page)), [], 0
+    for kind, name, _ in found:
+        if name in LABEL and kind != "text":
+            depth = max(0, depth + (1 if kind == "open" else -1))
+        inside.append(depth > 0 or kind == "close" and name in LABEL)
+    return (found, inside) if any(x and k == "text" and t.strip() for (k, t, _), x in zip(found, inside, strict=True)) else None
+
+
+def _box(rng: random.Random, texts_: list[str], links: bool) -> list[tuple[str, str, str]]:
+    """A box that is no article text, with words of other pages."""
+    name = rng.choice(BOXES)
+    token = rng.choice([name, f"{rng.choice('page site main top'.split())}-{name}", f"{name}-{rng.choice(_AFTER)}"])
+    element = rng.choice(["div", "div", "section", "aside"])
+    out = [("open", element, token)]
+    for _ in range(rng.randint(1, 5)):
+        t = " ".join(rng.choice(texts_).split()[: rng.choice([3, 12, 60])])
+        out += [("open", "li" if links else "p", ""), *([("open", "a", "")] if links else []), ("text", t, ""), *([("close", "a", "")] if links else []), ("close", "li" if links else "p", "")]
+    return [*out, ("close", element, "")]
+
+
+#: What a recast paragraph holds inside.
+_INNER = {"table": ["tr", "td"], "ul": ["li"]}
+
+
+def _forms(page: Labelled, texts_: list[str], rng: random.Random) -> Iterator[Labelled]:
+    """A labelled page in five forms: its mark as it is, without it, cut to a short article, among and with boxes, with paragraphs recast, box names on them and round the title."""
+    found, inside = page
+    yield page
+    bare = [i for i, (k, n, _) in enumerate(found) if k == "text" or n not in LABEL]
+    yield [found[i] for i in bare], [inside[i] for i in bare]
+    first, last = inside.index(True), len(inside) - inside[::-1].index(True)
+    shown = [i for i in range(first, last) if inside[i] and found[i][0] == "text" and found[i][1].strip()]
+    if len(shown) > 2:  # a title and one paragraph
+        end = next((i for i in range(shown[1], last - 1) if found[i][:2] == ("close", "p")), last - 1) + 1
+        yield [*found[:end], *found[last - 1 :]], [*inside[:end], *inside[last - 1 :]]
+    gaps = [i for i in range(first + 1, last) if inside[i] and found[i][0] == "open" and found[i][1] == "p"]
+    starts, opened = {}, None  # whole paragraphs of the article
+    for i in range(first + 1, last):
+        if found[i][0] != "text" and found[i][1] in BLOCKS:
+            if found[i][:2] == ("close", "p") and opened is not None:
+                starts[opened] = i
+            opened = i if i in gaps else None
+    mid = rng.choice(gaps) if gaps else None
+    site = [("open", "header", ""), ("open", "h1", ""), ("text", " ".join(rng.choice(texts_).split()[:3]), ""), ("close", "h1", ""), ("close", "header", "")]
+    unknown = [("open", "div", ""), ("open", "p", ""), ("text", " ".join(rng.choice(texts_).split()[:20]), ""), ("close", "p", ""), ("close", "div", "")]
+    out: Labelled = ([], [])
+    for i in range(len(found) + 1):
+        put = []
+        if i == first:
+            put = [*site, *_box(rng, texts_, rng.random() < 0.5)]
+        if i == mid:
+            put = _box(rng, texts_, rng.random() < 0.5)
+        if i == last:
+            put = [*unknown, *_box(rng, texts_, False), ("open", "p", rng.choice(BOXES)), ("text", " ".join(rng.choice(texts_).split()[:8]), ""), ("close", "p", "")]
+        out[0].extend(put)
+        out[1].extend([False] * len(put))
+        if i < len(found):
+            out[0].append(found[i])
+            out[1].append(inside[i])
+    yield out
+    own: Labelled = ([], [])
+    until, recast, end = None, "", -1
+    headed = rng.choice(["", "div", "div", "header"])
+    for i, (t, x) in enumerate(zip(found, inside, strict=True)):
+        if i in starts:
+            end, recast = starts[i], rng.choice(["p", "p", "p", "h2", "h3", "table", "ul", "blockquote", "pre"])
+            if until is None and rng.random() < 0.3:
+                until = end
+                own[0].append(("open", "section", f"{rng.choice(BOXES)}-{rng.choice(('work', 'prices', 'laws', 'story', 'history'))}"))
+                own[1].append(True)
+        kind, name, marks = t
+        if i <= end and kind == "text" and recast in ("h2", "h3", "table"):
+            name = " ".join(name.split()[: rng.choice([2, 5])])
+        elif i <= end and name == "p":
+            name = recast
+        if x and kind == "open" and name in FLOW and rng.random() < 0.4:
+            marks = rng.choice(BOXES)
+        inner = _INNER.get(name, []) if name == recast and i <= end else []
+        parts = [(kind, name, marks), *((kind, y, "") for y in inner)] if kind != "close" else [*((kind, y, "") for y in reversed(inner)), (kind, name, marks)]
+        if x and name == "h1" and headed:
+            tag = ("open", headed, f"{rng.choice('article entry page post story'.split())}-{rng.choice(BOXES)}") if kind == "open" else ("close", headed, "")
+            parts = [tag, *parts] if kind == "open" else [*parts, tag]
+        own[0].extend(parts)
+        own[1].extend([x] * len(parts))
+        if i == until:
+            until = None
+            own[0].append(("close", "section", ""))
+            own[1].append(True)
+    yield own
+
+
+def _fit_elements(pages: list[Labelled]) -> dict[str, float]:
+    """Weights of element features by logistic regression; elements that only partly lie in the article, and those in an element outside it, don't train."""
+    seen: Counter[tuple[tuple[str, ...], bool]] = Counter()
+    for found, inside in pages:
+        on = list(accumulate((k == "text" and bool(t.strip()) and x for (k, t, _), x in zip(found, inside, strict=True)), initial=0))
+        of = list(accumulate((k == "text" and bool(t.strip()) for k, t, _ in found), initial=0))
+        outside = 0
+        for i, e, features in _elements(found):
+            n, all_ = on[e] - on[i], of[e] - of[i]
+            if features and n in (0, all_) and i >= outside:
+                outside = outside if n else e
+                seen[features, n > 0] += 1
+    names = {f: i for i, f in enumerate(sorted({f for fs, _ in seen for f in fs}))}
+    rows = np.array([r for r, (fs, _) in enumerate(seen) for _ in fs], dtype=np.int64)
+    cols = np.array([names[f] for fs, _ in seen for f in fs], dtype=np.int64)
+    want = np.array([y for _, y in seen], dtype=float)
+    share = np.sqrt(np.array(list(seen.values()), dtype=float))
+    share /= np.where(want > 0, max(1.0, share[want > 0].sum()), max(1.0, share[want == 0].sum())) * 2
+    w, pace = np.zeros(len(names)), np.zeros(len(names))
+    for _ in range(STEPS):
+        z = np.bincount(rows, weights=w[cols], minlength=len(want))
+        g = np.bincount(cols, weights=(share * (want - 1 / (1 + np.exp(-z))))[rows], minlength=len(names)) - DECAY * w
+        pace += g * g
+        w += RATE * g / (np.sqrt(pace) + 1e-9)
+    return {"e|" + f: float(w[i]) for f, i in names.items()}
+
+
 def fit(pages: list[str]) -> dict[str, float]:
-    """Weights by a structured perceptron: words stay positive, tags negative."""
-    weights: dict[str, float] = {}
-    labelled = []
-    for p in pages:
-        features, inside, _ = sequence(p)
-        on = [i for i, x in enumerate(inside) if x and features[i].startswith(WORD + "*") and features[i] != f"{WORD}*0"]
-        if on:
-            labelled.append((features, on[0], on[-1] + 1))
+    """Weights of elements, then of words and tags by a structured perceptron: words stay positive, tags negative."""
+    labelled = [x for x in map(_labelled, pages) if x]
+    if not labelled:
+        return {}
+    texts_ = [t for found, inside in labelled for (k, t, _), x in zip(found, inside, strict=True) if x and k == "text" and t.strip()]
+    rng = random.Random(0)
+    forms = [f for page in labelled for f in _forms(page, texts_, rng)]
+    weights = _fit_elements(forms)
+    runs = []
+    for found, inside in forms:
+        on = [i for i, x in enumerate(inside) if x and found[i][0] == "text" and found[i][1].strip()]
+        runs.append((sequence(found, weights), on[0], on[-1] + 1))
     for _ in range(ROUNDS):
         wrong = 0
-        for features, a, b in labelled:
+        for features, a, b in runs:
             s, e = best_run(_scores(weights, features))
-            words = [i for i in range(s, e) if features[i].startswith(WORD + "*") and features[i] != f"{WORD}*0"]
+            words = [i for i in range(s, e) if features[i][0] == WORD and features[i][1]]
             if words and (words[0], words[-1] + 1) == (a, b):
                 continue
             wrong += 1
@@ -246,16 +407,17 @@ def fit(pages: list[str]) -> dict[str, float]:
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """Blocks of the best run, one a line, without elements that hold no article text."""
+    """Blocks of the best run, one a line, without the words in it that score below zero."""
     if not page:
         return ""
-    features, _, found = sequence(page)
+    found = list(tokens(page))
+    features = sequence(found, weights)
     start, end = best_run(_scores(weights, features))
     blocks: list[list[str]] = [[]]
     for i in range(start, end):
         kind, name, _ = found[i]
         if kind == "text":
-            if features[i].startswith(WORD):
+            if features[i][0] == WORD:
                 blocks[-1].append(name)
         elif name in BLOCKS:
             blocks.append([])
@@ -266,8 +428,9 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 
 def train(pages: DataFrame, html_col: str = "html", key_col: str = "page_id") -> dict[str, float]:
-    """Weights from the TRAINING_PAGES pages that mark their article and have the smallest hashes of ``key_col`` and page, at every size."""
-    marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]")).select(html_col, F.xxhash64(key_col, html_col).alias("_order"))
+    """Weights from the TRAINING_PAGES pages that mark their article, have TRAINING_CHARS characters at most and the smallest hashes of
+    ``key_col`` and page, at every size of the table."""
+    marked = pages.where((F.length(html_col) <= TRAINING_CHARS) & F.col(html_col).rlike(r"(?i)<(article|main)[\s>]")).select(html_col, F.xxhash64(key_col, html_col).alias("_order"))
     first = lambda rows: [r[0] for r in rows.orderBy("_order", html_col).limit(TRAINING_PAGES).collect()]
     n = marked.count()
     if n > 4 * TRAINING_PAGES:  # below this bound lie about twice the pages wanted, so that tasks send the driver few more than it keeps

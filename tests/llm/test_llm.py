@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import html
 import hashlib
 import random
 import re
@@ -529,6 +530,20 @@ def test_main_text(spark):
     assert html_extract.extract(df.where("false"), {}).count() == 0
 
 
+@pytest.fixture(scope="module")
+def labelled_pages():
+    """Pages to fit on and pages held out."""
+    import pyarrow.parquet as pq
+
+    found = [x for x in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist() if x and re.search("(?i)<(article|main)[ >]", x)]
+    return found[:150], found[150:]
+
+
+@pytest.fixture(scope="module")
+def fitted(labelled_pages):
+    return html_extract.fit(labelled_pages[0])
+
+
 @pytest.mark.parametrize(
     "body",
     [
@@ -545,12 +560,76 @@ def test_main_text(spark):
         "{a}<section id='comments'><p>" + "so many words of readers " * 60 + "</p></section>",
     ],
 )
-def test_pages_of_many_kinds(body):
+def test_pages_of_many_kinds(body, fitted):
     first, second = "First words of the text stand here.", "And then come some more words, " * 5
     title = "<div class='article-header'><h1>A long title of the page</h1></div>"
     page_ = f"<html><body>{body}<footer>Imprint and terms of use</footer></body></html>".replace("{a}", f"<article>{title}<p>{first}</p><p>{second}</p></article>")
     page_ = page_.replace("{b}", f"{title}<p>{first}</p>").replace("{c}", f"<p>{second}</p>")
-    assert html_extract.main_text(page_, {}) == f"A long title of the page\n{first}\n{second.strip()}"
+    assert html_extract.main_text(page_, fitted) == f"A long title of the page\n{first}\n{second.strip()}"
+
+
+PARTS = ["The harbour was quiet that morning, and the boats lay still. Nobody had slept.", "A second paragraph follows here, with more to say about it. It ends well.", "In the third we learn why the boats were late, and who paid for it."]
+ADVERT = "<div class='dfp-slot'>Buy our lovely boats now</div>"
+
+
+@pytest.mark.parametrize("mark", ["article", "main", "div"])
+@pytest.mark.parametrize(
+    "before, middle, end, after, more",
+    [
+        ("", "", "<section class='related-work'><h2>Related work</h2><p>Others have seen boats before. They wrote it down.</p></section>", "", "Related work\nOthers have seen boats before. They wrote it down."),
+        ("", "", "<p class='notice'>The harbour will be closed on Monday. Ask at the office.</p>", "", "The harbour will be closed on Monday. Ask at the office."),
+        ("", "", "<table class='menu'><tr><td>Soup of the day</td><td>4.50</td></tr><tr><td>Fish</td><td>9.00</td></tr></table>", "", "Soup of the day\n4.50\nFish\n9.00"),
+        ("", "", "<h2 id='share'>Share prices</h2><p>They fell by two points on Tuesday, and rose on Friday.</p>", "", "Share prices\nThey fell by two points on Tuesday, and rose on Friday."),
+        ("", "", "", "<div class='thread'><p>I do not agree with this at all.</p><p>Me neither, sorry to say.</p></div>", ""),
+        (ADVERT, "", "", "", ""),
+        ("", ADVERT, "", "", ""),
+        ("", "", "", ADVERT, ""),
+        ("", "", "", "<div class='bottom'>Copyright 2024 The Harbour Times. All rights reserved.</div>", ""),
+        ("", "<div hidden>Not seen by anyone. Really.</div>", "<p style='display: none'>Nor is this one.</p>", "", ""),
+        ("<header><h1>The Harbour Times</h1></header>", "", "", "", ""),
+        ("<header><h1>The Harbour Times</h1><nav><a href=/>Home</a> <a href=/n>News</a></nav></header>", "", "", "", ""),
+    ],
+)
+def test_fitted_weights_decide(before, middle, end, after, more, mark, fitted):
+    """Article text under names of boxes stays, boxes under names of their own go; without the element weights it does not come out right."""
+    article = f"<{mark}><h1>A long title of the page</h1><p>{PARTS[0]}</p>{middle}<p>{PARTS[1]}</p><p>{PARTS[2]}</p>{end}</{mark}>"
+    page_ = f"<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>{before}{article}{after}<footer>&copy; Imprint and terms</footer></body></html>"
+    want = "\n".join(["A long title of the page", *PARTS, *([more] if more else [])])
+    assert html_extract.main_text(page_, fitted) == want
+    assert html_extract.main_text(page_, {k: v for k, v in fitted.items() if not k.startswith("e|")}) != want
+
+
+def _article_of(page_):
+    found, inside = html_extract._labelled(page_)
+    blocks = [""]
+    for (kind, name, _), x in zip(found, inside, strict=True):
+        if x and kind == "text":
+            blocks[-1] += name
+        elif x and name in html_extract.BLOCKS:
+            blocks.append("")
+        elif x and name == "br":
+            blocks[-1] += " "
+    return "\n".join(" ".join(html.unescape(b).split()) for b in blocks if b.split())
+
+
+def test_held_out_pages_without_their_mark(fitted, labelled_pages):
+    held = labelled_pages[1]
+    wrong = ablated = 0
+    tags_only = {k: v for k, v in fitted.items() if not k.startswith("e|")}
+    for p in held:
+        want, q = _article_of(p), re.sub(r"(?i)<(/?)(article|main)\b", r"<\1div", p)
+        wrong += html_extract.main_text(q, fitted) != want
+        ablated += html_extract.main_text(q, tags_only) != want
+    assert len(held) > 50 and wrong <= 0.05 * len(held) and ablated > 0.5 * len(held)
+
+
+def test_pages_repeated_and_clashing(spark, fitted):
+    p = "<html><body><nav><a href=/>Home</a></nav><article><h1>A title of it</h1><p>Some words stand here. They stay.</p></article></body></html>"
+    df = spark.createDataFrame([(1, p, "x", 5)] * 3 + [(2, None, "y", 6)], "page_id bigint, html string, text string, n_chars int")
+    got = html_extract.extract(df, fitted)
+    assert got.columns[:3] == ["page_id", "text", "n_chars"] and len(set(got.columns)) == 4
+    assert sorted(r[3] for r in got.collect()) == [""] + ["A title of it\nSome words stand here. They stay."] * 3
+    assert html_extract.fit([]) == {} and html_extract.main_text("<p>only this text here</p>", {}) == "only this text here"
 
 
 def test_broken_pages_take_linear_time():
