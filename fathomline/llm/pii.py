@@ -1,7 +1,7 @@
 """Operator 7: personal data by weak supervision.
 
-Labelers vote on candidate spans: shapes (regular expressions), checksums, word lists and the words before the
-span. How often each labeler is right is estimated without labels by expectation-maximisation over the counts of
+Labelers vote on candidate spans: what else a span of its shape may be (an identifier, a date, a path of words, a number
+of a list), checksums and word lists, and the words before the span. How often each labeler is right is estimated without labels by expectation-maximisation over the counts of
 vote patterns, which Spark sums over all documents (their number is bounded by the labelers, not by the data).
 The posteriors then train a logistic classifier on what a span looks like (its kind, length, kinds of characters and the
 word before it) and on its votes; it decides the spans beyond the base rules.
@@ -9,9 +9,11 @@ word before it) and on its votes; it decides the spans beyond the base rules.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +37,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MORE = {
     "email": re.compile(r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]{2,})+"),
     "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "secret": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 }
 #: Words that speak for a kind when they stand shortly before it, and last labels of host names.
 _CONTEXT = {
@@ -51,9 +53,16 @@ _CONTEXT = {
 }
 _AGAINST = {"version", "section", "chapter", "figure", "isbn", "issn", "order", "invoice", "id", "sha1", "sha256", "md5", "commit", "checksum"}
 _TOP = {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "it", "nl", "eu", "info", "biz", "co", "dev", "app", "example"}
+#: Words before a number that is one of a list.
+_COUNTED = {"row", "rows", "figure", "fig", "table", "page", "pages", "line", "lines", "part", "model", "section", "chapter", "equation", "step", "item", "no", "nr", "between", "range"}
+_UUID = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}")
+_DATE = re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}[-/](?:0?[1-9]|1[0-2])(?:[-/](?:0?[1-9]|[12][0-9]|3[01]))(?![0-9])")
+_DIGEST = re.compile(r"(?i)[0-9a-f]{32}(?:[0-9a-f]{8}|[0-9a-f]{32})?")
+_CODE = re.compile(r"\+[0-9]{1,3} ?$")
+_PART = re.compile(r"[-_/+=]+")
 #: Characters before a span that context labelers read.
 CONTEXT_CHARS = 32
-#: Votes: shape, checksum or word list, words before, words against. Each is 0 (none), 1 (for) or 2 (against).
+#: Votes: form, checksum or word list, words before, words against. Each is 0 (none), 1 (for) or 2 (against).
 LABELERS = 4
 EM_ROUNDS, FIT_ROUNDS, MIN_PROBABILITY = 50, 300, 0.5
 #: Slots of the word before a span; with the kinds of characters and lengths they bound the number of patterns. Weight of the classifier's penalty.
@@ -113,11 +122,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for a, _, kind, b in sorted(out)]
 
 
-def _votes(text: str, kind: str, a: int, b: int, shaped: bool) -> str:
+def _form(kind: str, s: str, lead: str, before: list[str]) -> int:
+    """The form labeler: whether a further candidate reads as something else of its shape (2), as its kind (1), or neither."""
+    if kind == "secret":
+        parts = _PART.split(s)
+        words = sum(len(x) for x in parts if len(x) >= 3 and x.isalpha() and (x.islower() or x.istitle()))
+        if _DIGEST.fullmatch(s):
+            return 0
+        if _UUID.search(s) or _DATE.search(s) or 2 * words >= len(s):
+            return 2
+        n = len(s)
+        return 1 if -sum(k / n * math.log2(k / n) for k in Counter(s).values()) >= 3.2 and max(map(len, parts)) >= 12 else 0
+    if kind in ("phone", "ssn"):
+        if before and (before[-1] in _COUNTED or before[-1].isdigit() and not _CODE.search(lead)):
+            return 2
+        marks = re.sub("[0-9()]", "", s).strip()
+        return (1 if s[0] == "(" or len(set(marks)) == 1 else 2) if kind == "phone" else 0
+    return 1 if kind == "email" and re.search(r"[(\[]dot[)\]]", s) else 0
+
+
+def _votes(text: str, kind: str, a: int, b: int, base: bool) -> str:
     s = text[a:b]
     before = re.findall(r"[a-z_0-9]+", text[max(0, a - CONTEXT_CHARS) : a].lower())
     if kind == "email":
-        proof = 1 if s.rsplit(".", 1)[-1].lower() in _TOP else 0
+        proof = 1 if re.split("[^A-Za-z0-9]+", s.rstrip(")]"))[-1].lower() in _TOP else 0
     elif kind == "card":
         proof = 1 if s[0] in "3456" else 2
     elif kind == "ip":
@@ -134,7 +162,7 @@ def _votes(text: str, kind: str, a: int, b: int, shaped: bool) -> str:
         proof = 1 if 9 <= sum(c.isdigit() for c in s) <= 15 else 0
     near = 1 if _CONTEXT[kind].intersection(before[-4:]) else 0
     against = 2 if _AGAINST.intersection(before[-2:]) else 0
-    return f"{1 if shaped else 0}{proof}{near}{against}/{_looks(s, before)}"
+    return f"{1 if base else _form(kind, s, text[max(0, a - 5) : a], before)}{proof}{near}{against}/{_looks(s, before)}"
 
 
 def _looks(s: str, before: list[str]) -> str:
@@ -155,10 +183,12 @@ def candidates(text: str | None) -> list[dict]:
         new = []
         for m in shape.finditer(text):
             a, b = m.span()
+            if kind == "iban" and " " not in m[0] and not _iban_ok(m[0]):
+                continue  # it may be a secret
             k = bisect_left(taken, (b,))  # the last taken span that starts before this one ends
             if not k or taken[k - 1][1] <= a:
                 new.append((a, b))
-                found.append({"kind": kind, "start": a, "end": b, "base": False, "votes": _votes(text, kind, a, b, kind != "phone")})
+                found.append({"kind": kind, "start": a, "end": b, "base": False, "votes": _votes(text, kind, a, b, False)})
         taken = _joined(taken + new)
     return found
 
@@ -187,24 +217,29 @@ def find_candidates(df: DataFrame, text_col: str, name: str) -> DataFrame:
     return text_batches(df).mapInArrow(run, T.StructType([df.schema[CARRIED], T.StructField(name, CANDIDATE, False)]))
 
 
-def posteriors(votes: np.ndarray, n: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Probability of personal data of each vote pattern of one kind, by expectation-maximisation with labelers independent given the class.
+def posteriors(votes: np.ndarray, n: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Probability of personal data of each vote pattern of one kind, the log odds of all, and those that each vote of each
+    labeler adds, by expectation-maximisation with labelers independent given the class.
 
     votes: (pattern, labeler); n: candidates with the pattern; base: the share of them that base rules found. Each
-    kind has reliabilities of its own; pseudo-counts say that a labeler that speaks is right more often than not.
+    kind has reliabilities of its own; pseudo-counts say that a labeler that speaks is right more often than not and that silence means nothing.
     """
     score = (votes == 1).sum(1) - (votes == 2).sum(1)
+    further = n * (1 - base)  # base spans tell how reliable labelers are, not how many further candidates are right
     post = np.clip(0.5 + 0.2 * (score - 1) + 0.2 * base, 0.05, 0.95)
     for _ in range(EM_ROUNDS):
-        prior = np.clip((n * post).sum() / n.sum(), 0.02, 0.98)
+        prior = np.clip(((further * post).sum() + 1) / (further.sum() + 2), 0.02, 0.98)
         log = np.zeros((len(n), 2))
         log[:] = np.log([1 - prior, prior])
+        says = np.zeros((LABELERS, 3))
         for j in range(LABELERS):
-            for c, p in enumerate((1 - post, post)):
-                seen = np.array([(n * p * (votes[:, j] == x)).sum() for x in range(3)]) + ([1.0, 1.0, 5.0] if c == 0 else [1.0, 5.0, 1.0])
+            sure = base + further / n * post  # base spans are right by their rules
+            for c, p in enumerate((1 - sure, sure)):
+                seen = np.array([(n * p * (votes[:, j] == x)).sum() for x in range(3)]) + ([5.0, 1.0, 8.0] if c == 0 else [5.0, 5.0, 0.5])
                 log[:, c] += np.log(seen / seen.sum())[votes[:, j]]
+                says[j] += (1 if c else -1) * np.log(seen / seen.sum())
         post = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
-    return post
+    return post, float(np.log(prior / (1 - prior))), says
 
 
 def _features(kind: str, votes: str) -> list[str]:
@@ -217,7 +252,8 @@ def fit(patterns: list[tuple[str, str, bool, int]]) -> dict[str, float]:
     """Probability of personal data for each ``kind:votes/looks``, from (kind, votes/looks, base, count) of all candidates.
 
     Expectation-maximisation estimates the labelers' reliabilities kind by kind and labels each vote pattern; a
-    logistic model on votes and looks is then fitted to these labels.
+    logistic model on votes and looks is then fitted to these labels. Its penalty draws the weight of a vote to what its
+    labeler's reliability says, that of a look to 0, so rare patterns go by the reliabilities.
     """
     if not patterns:
         return {}
@@ -227,21 +263,25 @@ def fit(patterns: list[tuple[str, str, bool, int]]) -> dict[str, float]:
     for k, v, b, c in patterns:
         n[at[k, v]] += c
         base[at[k, v]] += c * b
-    for kind in {k for k, _ in keys}:
+    start: dict[str, float] = {}
+    for kind in sorted({k for k, _ in keys}):
         own = np.array([i for i, (k, _) in enumerate(keys) if k == kind])
         voted, to = np.unique([[int(c) for c in keys[i][1].split("/")[0]] for i in own], axis=0, return_inverse=True)
         to = to.ravel()
         m = np.bincount(to, n[own])
-        post[own] = posteriors(voted, m, np.bincount(to, base[own]) / m)[to]
+        found, odds, says = posteriors(voted, m, np.bincount(to, base[own]) / m)
+        post[own] = found[to]
+        start |= {kind: odds} | {f"{kind}:{j}={v}": float(says[j, v]) for j in range(LABELERS) for v in range(3)}
     found = [_features(k, v) for k, v in keys]
     names = {f: i for i, f in enumerate(sorted({f for fs in found for f in fs}))}
     x = np.zeros((len(keys), len(names)))
     for i, fs in enumerate(found):
         x[i, [names[f] for f in fs]] = 1
-    w, weight = np.zeros(x.shape[1]), (np.sqrt(n) / np.sqrt(n).sum())[:, None]
+    first = np.array([start.get(f, 0.0) for f in names])
+    w, weight = first.copy(), (np.sqrt(n) / np.sqrt(n).sum())[:, None]
     for _ in range(FIT_ROUNDS):
         p = 1 / (1 + np.exp(-x @ w))
-        step = np.linalg.solve((x * weight * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + PENALTY / 10 * np.eye(len(w)), (x * weight).T @ (p - post) + PENALTY / 10 * w)
+        step = np.linalg.solve((x * weight * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + PENALTY / 10 * np.eye(len(w)), (x * weight).T @ (p - post) + PENALTY / 10 * (w - first))
         w -= step
         if np.abs(step).max() < 1e-4:
             break

@@ -503,6 +503,26 @@ def test_added_spans():
     assert time.process_time() - began < 30
 
 
+def test_precision_of_added_spans(spark, docs):
+    """Identifiers, dates, paths and counted numbers are no personal data; tokens, numbers and addresses among them are."""
+    clean = [
+        "id 550e8400-e29b-41d4-a716-446655440000 of it", "see x.org/articles/2020/some-long-title-here-1 for more", "at 2024-01-30T12-00-00-minutes we met", "row 100 200-3000 of it", "figure 123-45-6789 shows",
+        "the file src/main/java8/org/example/Thing", "build release-candidate-2-final-version is out", "model 415 200 3000 sold", "isbn 978 030 4061 57", "commit 0f3a9c7d5e1b2a4c6d8e0f1a2b3c4d5e6f708192 fixed",
+    ]
+    personal = [
+        ("token = {}", "sk9Zq8LmP2vXw7RtB4nY6c", "secret"), ("ssn {} here", "123-45-6789", "ssn"), ("my ssn is {}", "321-54-9876", "ssn"), ("call {} now", "(555) 123-4567", "phone"), ("phone {} today", "555-123-4567", "phone"),
+        ('api_key: "{}"', "a8F3kLm29QzXc7VbN1wE", "secret"), ("write to {}", "ann.lee [at] mail (dot) example (dot) org", "email"), ("iban {}", "DE89 3704 0044 0532 0130 00", "iban"), ("iban {}", "DE89370400440532013000", "iban"),
+    ]
+    base = [f"{w} +1 (555) 555-{1000 + k} and {w}.{k}@mail.example.com" for k, w in enumerate(WORDS * 6)]
+    texts_ = base + clean + [t.format(x) for t, x, _ in personal]
+    got = {r["doc_id"]: r["pii_spans"] for r in pii.detect(spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string"), keep=["doc_id"]).collect()}
+    for i in range(len(clean)):
+        assert not got[len(base) + i], clean[i]
+    for i, (t, x, kind) in enumerate(personal, len(base) + len(clean)):
+        assert [(s["kind"], s["start"], s["end"]) for s in got[i]] == [(kind, t.index("{"), t.index("{") + len(x))], t
+    assert all([s["kind"] for s in got[i]] == ["phone", "email"] for i in range(len(base)))
+
+
 def test_reliabilities_are_estimated_by_kind():
     """A labeler that is right for one kind and silent for another does not lend its figure."""
     chance = pii.fit([("ssn", "1110/4,0-,3", False, 50), ("ssn", "1200/4,0-,5", False, 50), ("secret", "1100/6,a0,", False, 200), ("secret", "1202/6,a0,7", False, 20)])
