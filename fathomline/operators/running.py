@@ -78,6 +78,70 @@ def window_medians(prices: DataFrame, queries: DataFrame, keys: list[str], longe
     return spread.groupBy(*(f"of_{k}" for k in keys), "of_chunk").cogroup(asked.groupBy(*keys, "chunk")).applyInArrow(found, result)
 
 
+def dominated_sums(entries: DataFrame, queries: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``queries`` with the sum of ``value``, a DECIMAL, over the entries of their key with x at or below theirs and y at or
+    below theirs (``strict``: below). Both have ``keys``, x (a long) and y; a key must fit one task. 0 without entries."""
+    own = [f for f in queries.schema.fields if f.name not in keys]
+    scale = entries.schema[value].dataType.scale
+    result = T.StructType([*(queries.schema[k] for k in keys), *own, T.StructField(value, T.DecimalType(38, scale))])
+    known = entries.select(*(F.col(k).alias(f"of_{k}") for k in keys), F.col("x").alias("of_x"), F.col("y").alias("of_y"), F.col(value).cast(f"decimal(38,{scale})").alias("of_value"))
+
+    def found(known: pa.Table, wanted: pa.Table) -> pa.Table:
+        out = wanted.select([f.name for f in result.fields[:-1]])
+        if not wanted.num_rows or not known.num_rows:
+            return out.append_column(value, pa.array([0] * wanted.num_rows, pa.decimal128(38, scale)))
+        known = known.sort_by("of_x")
+        n = known.num_rows
+        y = pa.chunked_array([*known["of_y"].chunks, *wanted["y"].chunks])
+        turn = np.concatenate([np.ones(n, np.int8), np.where(wanted["strict"].to_numpy(), 0, 2).astype(np.int8)])
+        order = pc.sort_indices(pa.table({"y": y, "turn": turn}), [("y", "ascending"), ("turn", "ascending")]).to_numpy()
+        behind = np.empty(len(order), np.int64)
+        behind[order] = np.cumsum(order < n) - (order < n)
+        upto = np.searchsorted(known["of_x"].to_numpy(), wanted["x"].to_numpy(), side="right")
+        sums = rank_sums(behind[:n], decimal_limbs(known["of_value"]), upto, behind[n:])
+        return out.append_column(value, limbs_decimal(sums, scale))
+
+    return known.groupBy(*(f"of_{k}" for k in keys)).cogroup(queries.groupBy(*keys)).applyInArrow(found, result)
+
+
+def decimal_limbs(c: pa.ChunkedArray) -> np.ndarray:
+    """Four rows of int64: the 32-bit limbs of each DECIMAL from the lowest, of which the highest has the sign; null counts as 0."""
+    a = pc.fill_null(c, 0).combine_chunks()
+    a = pa.concat_arrays(a.chunks) if isinstance(a, pa.ChunkedArray) else a
+    words = np.frombuffer(a.buffers()[1], np.uint32)[4 * a.offset : 4 * (a.offset + len(a))].reshape(-1, 4)
+    return np.stack([*(words[:, k].astype(np.int64) for k in range(3)), words[:, 3].astype(np.int32).astype(np.int64)])
+
+
+def limbs_decimal(limbs: np.ndarray, scale: int) -> pa.Array:
+    """The DECIMAL of limbs that have been added up, each below 2^63."""
+    words, carry = np.empty((limbs.shape[1], 4), np.uint32), np.int64(0)
+    for k in range(4):
+        total = limbs[k] + carry
+        words[:, k], carry = (total & 0xFFFFFFFF).astype(np.uint32), total >> 32
+    return pa.Array.from_buffers(pa.decimal128(38, scale), len(words), [None, pa.py_buffer(np.ascontiguousarray(words))])
+
+
+def rank_sums(rank: np.ndarray, values: np.ndarray, upto: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """For each question the sums of the rows of ``values`` over the first ``upto`` places whose rank is less than ``below``.
+
+    ``rank`` is a permutation. A wavelet matrix: where a bit of ``below`` is 1, all with a 0 there count and the rest is looked into.
+    """
+    i, j = np.zeros(len(upto), np.int64), upto.astype(np.int64)
+    out = np.zeros((len(values), len(upto)), np.int64)
+    for bit in reversed(range(int(len(rank)).bit_length())):
+        zero = rank >> bit & 1 == 0
+        places = np.concatenate([[0], np.cumsum(zero)])
+        high, zeros = (below >> bit & 1).astype(bool), places[-1]
+        a, b = places[i], places[j]
+        for k in range(len(values)):
+            summed = np.concatenate([[0], np.cumsum(values[k][zero])])
+            out[k] += np.where(high, summed[b] - summed[a], 0)
+        i, j = np.where(high, zeros + i - a, a), np.where(high, zeros + j - b, b)
+        order = np.concatenate([np.flatnonzero(zero), np.flatnonzero(~zero)])
+        rank, values = rank[order], values[:, order]
+    return out
+
+
 def ranked_middle(rank: np.ndarray, times: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each range [i, j) of places the rank whose values reach floor(total / 2) + 1 in order, each counted ``times``; -1 for an empty range.
 

@@ -1,10 +1,10 @@
 """Risk at every point of a rebuilt series of books, without a book for each point.
 
-Offer versions become level intervals: spans of ledgers over which a level has one amount. An interval is cut into at
-most two blocks of each power of two of ledgers, and a ledger lies in one block of each power, so what rests at a ledger
-is what the blocks over it hold. Best prices and totals of blocks are combined; the sum of a side up to a price is the
-sum over those blocks of what stands up to the price in each, taken from running sums within the block. Intervals and
-ledgers never meet in a join, and their rows grow with their number times the logarithm of the span.
+Offer versions become level intervals: spans of ledgers over which a level has one amount. For the best prices an
+interval is cut into at most two blocks of each power of two of ledgers, and a ledger lies in one block of each power.
+Counts and sums need no intervals, only what changes at their ends: the sum of a side up to a price at a ledger is the
+sum of the changes at or before both. Changes are dealt to slices of the price, each small enough for one task, where all
+sums are read from one wavelet matrix; whole slices below come from running totals. Intervals and ledgers never meet in a join.
 """
 
 from __future__ import annotations
@@ -15,16 +15,19 @@ from pyspark.sql import functions as F
 from fathomline.functions import exact as X
 from fathomline.operators import book, replay, risk
 from fathomline.operators.book import KEY
-from fathomline.operators.running import up_to
+from fathomline.operators.running import dominated_sums, up_to
 from fathomline.params import DEFAULT, Params
 from fathomline.scratch import written
 
 #: Ledgers have so many bits, and blocks so many sizes and one.
 LEDGER_BITS = 32
-#: Price buckets of a factor of two, of which each is summed in a task of its own.
-BUCKETS_A_DOUBLING = 8
+#: A slice of prices begins at one of so many places of a factor of two, and ends where it has so many changes or more.
+PLACES_A_DOUBLING, SLICE = 512, 1 << 18
+#: So many questions about a slice may meet in one task.
+ASKED = 1 << 20
 _LEVEL = ["pair_id", "side", "price_n", "price_d"]
-_BLOCK = ["pair_id", "size", "block"]
+_BLOCK = ["pair_id", "side", "size", "block"]
+_SIDE = ["pair_id", "side"]
 
 
 def level_intervals(found: DataFrame) -> DataFrame:
@@ -55,12 +58,46 @@ def blocks_of(first: Column, until: Column) -> Column:
     return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEDGER_BITS)), of_size)))
 
 
-def _price_bucket(at: Column) -> Column:
-    """Does not fall where the place rises: asks stand at their price, bids at the negative of theirs."""
-    log = F.floor(F.log2(F.abs(at).cast("double")) * BUCKETS_A_DOUBLING)
+def _price_place(at: Column) -> Column:
+    """Does not fall where the price rises: asks stand at their price, bids at the negative of theirs."""
+    log = F.floor(F.log2(F.abs(at).cast("double")) * PLACES_A_DOUBLING)
     return F.when(at < 0, -log).otherwise(log)
 
 
+def sums_below(changes: DataFrame, queries: DataFrame, size: int = SLICE, asked: int = ASKED) -> DataFrame:
+    """``queries`` (pair_id, side, ledger_seq, at, strict, rung) with ``quote``: the sum of the changes (pair_id, side, ledger_seq, at, quote)
+    of their side at or before their ledger, and at or below their price (strict: below it).
+
+    A slice has about ``size`` changes, and more only where one place of the price has; of the questions about a slice
+    about ``asked`` are answered in one task. Slices below the question's own are added up by blocks of powers of two.
+    """
+    placed = lambda df: df.withColumn("bucket", _price_place(F.col("at")))
+    places = placed(changes).select(*_SIDE, "bucket", F.lit(1).alias("n")).union(placed(queries).select(*_SIDE, "bucket", F.lit(0))).groupBy(*_SIDE, "bucket").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*_SIDE).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = places.select(*_SIDE, "bucket", F.floor(F.coalesce(before, F.lit(0)) / size).alias("slice"))
+    slices = numbered.withColumn("slices", F.max("slice").over(Window.partitionBy(*_SIDE)) + 1)
+    # from here on a slice is the bucket
+    sliced = lambda df, *own: placed(df).join(slices, [*_SIDE, "bucket"]).select(*_SIDE, F.col("slice").alias("bucket"), "ledger_seq", "at", *own)
+    entries, questions = sliced(changes, "quote", "slices"), sliced(queries, "strict", "rung")
+
+    slice_key = [*_SIDE, "bucket"]
+    parts = questions.groupBy(*slice_key).agg(F.ceil(F.count(F.lit(1)) / asked).alias("parts"))
+    known = entries.join(parts, slice_key).select(*slice_key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("ledger_seq").alias("x"), F.col("at").alias("y"), "quote")
+    wanted = questions.join(parts, slice_key).select(*slice_key, F.pmod("ledger_seq", "parts").alias("part"), F.col("ledger_seq").alias("x"), F.col("at").alias("y"), "strict", "rung")
+    own = dominated_sums(known, wanted, [*slice_key, "part"], "quote").select(*_SIDE, F.col("x").alias("ledger_seq"), "rung", "quote")
+
+    size_of = F.sequence(F.lit(0), F.lit(30))
+    shifted = lambda c, k: F.call_function("shiftright", c, k)
+    # a block that some question lies behind: it is the left one of two, and the right one begins within the slices
+    left = lambda k: F.when((shifted(F.col("bucket"), k) % 2 == 0) & (F.call_function("shiftleft", shifted(F.col("bucket"), k) + 1, k) < F.col("slices")), F.struct(k.alias("size"), shifted(F.col("bucket"), k).alias("block")))
+    totals = entries.groupBy(*slice_key, "slices", "ledger_seq").agg(F.sum("quote").cast(X.WIDE).alias("quote"))
+    nodes = totals.select(*_SIDE, F.explode(F.array_compact(F.transform(size_of, left))).alias("b"), F.col("ledger_seq").alias("at"), "quote").select(*_SIDE, "b.*", "at", "quote")
+    behind = lambda k: F.when(shifted(F.col("bucket"), k) % 2 == 1, F.struct(k.alias("size"), (shifted(F.col("bucket"), k) - 1).alias("block")))
+    visits = questions.select(*_SIDE, F.explode(F.array_compact(F.transform(size_of, behind))).alias("b"), F.col("ledger_seq").alias("at"), F.lit(False).alias("strict"), "rung").select(*_SIDE, "b.*", "at", "strict", "rung")
+    lower = up_to(nodes, visits, _BLOCK, lambda c: F.floor(c / F.lit(1 << 12)), ["quote"]).select(*_SIDE, F.col("at").alias("ledger_seq"), "rung", "quote")
+    return own.union(lower).groupBy(*_SIDE, "ledger_seq", "rung").agg(F.sum("quote").cast(X.WIDE).alias("quote"))
+
+
 def series_rows(found: DataFrame, targets: DataFrame, pools: DataFrame | None = None, supporting: DataFrame | None = None, params: Params = DEFAULT) -> DataFrame:
     """The full risk record of every (pair_id, ledger_seq) of ``targets``, with the levels and offers of each side.
 
@@ -68,27 +105,35 @@ def series_rows(found: DataFrame, targets: DataFrame, pools: DataFrame | None =
     volume counts only where ``targets`` have the ledger_closed_at that it is anchored to. A target where nothing rests
     has a row too. Prices below 1e-18 count as none.
     """
+    closed = F.min("ledger_closed_at") if "ledger_closed_at" in targets.columns else F.lit(None).cast("timestamp")
+    points = written(targets.groupBy(*KEY).agg(closed.alias("ledger_closed_at")))
     intervals = level_intervals(found).withColumn("price", X.price(F.col("price_n"), F.col("price_d"))).where(F.col("price") > 0)
+    at = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price")).cast(X.PRICE)
     quote = X.notional(F.col("amount"), F.col("price_n"), F.col("price_d"))
-    intervals = written(intervals.select("pair_id", "side", "price", "amount", "offers", quote.alias("quote"), "first", "until"))
-    held = intervals.select("pair_id", "side", "price", "amount", "offers", "quote", F.explode(blocks_of(F.col("first"), F.col("until"))).alias("b")).select("pair_id", "b.*", "side", "price", "amount", "offers", "quote")
-    bid, ask = F.col("side") == "bid", F.col("side") == "ask"
-    total = lambda c, side: F.sum(F.when(side, F.col(c))).cast("decimal(38,7)")
-    quotes = lambda side: F.sum(F.when(side, F.col("quote"))).cast(X.WIDE)
-    tops = held.groupBy(*_BLOCK).agg(
-        F.max(F.when(bid, F.struct("price", "amount"))).alias("bid"), F.min(F.when(ask, F.struct("price", (-F.col("amount")).alias("minus")))).alias("ask"), F.max(F.when(ask, F.col("price"))).alias("high"), F.min(F.when(bid, F.col("price"))).alias("low"), quotes(bid).alias("bid_quote"), quotes(ask).alias("ask_quote"),
-        F.count_if(bid).alias("bids"), F.count_if(ask).alias("asks"), total("amount", bid).alias("bid_total"), total("amount", ask).alias("ask_total"), F.sum("offers").alias("offers"),
-    )
-    closed = F.min("ledger_closed_at") if "ledger_closed_at" in targets.columns else F.lit(None).cast("timestamp")
-    points = targets.groupBy(*KEY).agg(closed.alias("ledger_closed_at"))
+    intervals = written(intervals.select(*_SIDE, at.alias("at"), "amount", "offers", quote.alias("quote"), "first", "until"))
+
+    ends = F.explode(F.array(F.struct(F.col("first").alias("ledger_seq"), F.lit(1).alias("sign")), F.struct(F.col("until").alias("ledger_seq"), F.lit(-1).alias("sign"))))
+    changes = intervals.select(*_SIDE, "at", "amount", "offers", "quote", F.col("until").isNull().alias("open"), ends.alias("c")).select("*", "c.*").where(F.col("ledger_seq").isNotNull())
+    signed = lambda c: F.when(F.col("sign") < 0, -F.col(c)).otherwise(F.col(c))  # noqa: E731  a product would round wide decimals
+    of = lambda side, c, name: F.when(F.col("side") == side, c).alias(name)
+    count, amount, still = F.col("sign").cast("bigint"), signed("amount"), F.when(F.col("open"), F.col("at"))
+    # levels that are never left are seen from every later ledger, so their best prices run on too
+    open_most = [of("bid", -still, "open_bid"), of("ask", -still, "open_ask"), of("ask", still, "open_far")]
+    sums = [of("bid", count, "bids"), of("ask", count, "asks"), signed("offers").alias("offers"), of("bid", amount, "bid_amount_total"), of("ask", amount, "ask_amount_total")]
+    entries = changes.select("pair_id", F.col("ledger_seq").alias("at"), *sums, *open_most)
+    asked = points.select("pair_id", F.col("ledger_seq").alias("at"), F.lit(False).alias("strict"), "ledger_closed_at")
+    totals = up_to(entries, asked, ["pair_id"], lambda c: F.floor(c / F.lit(1 << 12)), ["bids", "asks", "offers", "bid_amount_total", "ask_amount_total"], ["open_bid", "open_ask", "open_far"]).withColumnRenamed("at", "ledger_seq")
+
     over = F.transform(F.sequence(F.lit(0), F.lit(LEDGER_BITS)), lambda k: F.struct(k.alias("size"), F.call_function("shiftright", F.col("ledger_seq"), k).alias("block")))
-    met = points.select(*KEY, F.explode(over).alias("b")).select(*KEY, "b.*").join(tops, _BLOCK)
-    sum0 = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    top = met.groupBy(*KEY).agg(F.max("bid").alias("bid"), F.min("ask").alias("ask"), F.max("high").alias("highest_ask"), sum0("bids"), sum0("asks"), F.sum("bid_total").alias("bid_amount_total"), F.sum("ask_total").alias("ask_amount_total"), sum0("offers"))
-    topped = points.join(top, KEY, "left").select(
-        *KEY, "ledger_closed_at", F.col("bid.price").alias("best_bid"), F.col("ask.price").alias("best_ask"), F.col("bid.amount").alias("best_bid_amount"), (-F.col("ask.minus")).alias("best_ask_amount"), "highest_ask",
-        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("bids", "asks", "offers")), "bid_amount_total", "ask_amount_total",
-    )
+    asked = points.select(*KEY, F.explode(over).alias("b")).select(*KEY, "b.*")
+    in_blocks = lambda df: df.select(*_SIDE, "at", "amount", F.explode(blocks_of(F.col("first"), F.col("until"))).alias("b")).select(*_SIDE, "b.*", "at", "amount")
+    # in one buffer of fixed width each, so that blocks are combined by hash before the shuffle
+    tops = in_blocks(intervals.where(F.col("until").isNotNull())).groupBy(*_BLOCK).agg(F.min("at").alias("best"), F.max("at").alias("far"))
+    side = lambda name, c: F.when(F.col("side") == name, F.col(c))
+    top = asked.join(tops, ["pair_id", "size", "block"]).groupBy(*KEY).agg((-F.min(side("bid", "best"))).cast(X.PRICE).alias("best_bid"), F.min(side("ask", "best")).alias("best_ask"), F.max(side("ask", "far")).alias("highest_ask"))
+    some = lambda n, c: F.when(F.col(n) > 0, F.col(c)).alias(c)
+    best = [F.greatest("best_bid", "open_bid").alias("best_bid"), F.least("best_ask", (-F.col("open_ask")).cast(X.PRICE)).alias("best_ask"), F.greatest("highest_ask", "open_far").alias("highest_ask")]
+    topped = totals.join(top, KEY, "left").select(*KEY, "ledger_closed_at", *best, "bids", "asks", "offers", some("bids", "bid_amount_total"), some("asks", "ask_amount_total"))
     crossed = F.coalesce(F.col("best_bid") >= F.col("best_ask"), F.lit(False))
     priced = written(book.priced_top(topped.withColumn("crossed", crossed), pools, params))
 
@@ -96,21 +141,13 @@ def series_rows(found: DataFrame, targets: DataFrame, pools: DataFrame | None =
     price = book.rung_targets(params)
     # sums of a side up to a price, bids at their negative price; strict: without what stands at it
     rungs = [("below", "ask", F.col("highest_ask"), True), *((f"buy{d}", "ask", price[f"up{d}"], False) for d in near), *((f"cost{d}", "ask", price[f"up{d}"], True) for d in far), *((f"sell{d}", "bid", -price[f"down{d}"], False) for d in near)]
-    sided = {"ask": (F.col("ask.price"), F.col("high"), F.col("ask_quote")), "bid": (-F.col("bid.price"), -F.col("low"), F.col("bid_quote"))}
-    columns = [at.cast(X.PRICE).alias(f"at {name}") for name, _, at, _ in rungs]
-    places = met.drop("bids", "asks", "offers", "bid_total", "ask_total").join(priced.select(*KEY, *columns), KEY)
-    whole, inside = {}, []
-    for k, (name, side, _, strict) in enumerate(rungs):
-        at, (least, most, total_quote) = F.col(f"`at {name}`"), sided[side]
-        whole[name] = F.when((at > most) if strict else (at >= most), total_quote)
-        cut = (at > least) & (at <= most) if strict else (at >= least) & (at < most)
-        inside.append(F.when(cut, F.struct(F.lit(k).alias("rung"), F.lit(side).alias("side"), at.alias("at"), F.lit(strict).alias("strict"))))
-    wholes = places.groupBy(*KEY).agg(*(F.sum(c).alias(f"whole {name}") for name, c in whole.items()))
-    # only a block with levels on both sides of the price is looked into
-    queries = places.select(*KEY, "size", "block", F.explode(F.array_compact(F.array(*inside))).alias("q")).select(*_BLOCK, "ledger_seq", "q.*")
-    entries = held.select(*_BLOCK, "side", F.when(ask, F.col("price")).otherwise(-F.col("price")).cast(X.PRICE).alias("at"), "quote")
-    ran = up_to(entries, queries, [*_BLOCK, "side"], _price_bucket, ["quote"])
-    cuts = ran.groupBy(*KEY).agg(*(F.sum(F.when(F.col("rung") == k, F.col("quote"))).alias(f"cut {name}") for k, (name, *_) in enumerate(rungs)))
-    sums = wholes.join(cuts, KEY, "left").select(*KEY, *((F.coalesce(F.col(f"`whole {name}`"), F.lit(0)) + F.coalesce(F.col(f"`cut {name}`"), F.lit(0))).alias(name) for name, *_ in rungs))
+    asks = [F.when(c.isNotNull(), F.struct(F.lit(side).alias("side"), c.cast(X.PRICE).alias("at"), F.lit(strict).alias("strict"), F.lit(k).alias("rung"))) for k, (_, side, c, strict) in enumerate(rungs)]
+    queries = priced.select(*KEY, F.explode(F.array_compact(F.array(*asks))).alias("q")).select(*KEY, "q.*")
+    summed = sums_below(changes.select(*_SIDE, "ledger_seq", "at", signed("quote").alias("quote")), queries)
+    sums = summed.groupBy(*KEY).agg(*(F.coalesce(F.sum(F.when(F.col("rung") == k, F.col("quote"))), F.lit(0)).alias(name) for k, (name, *_) in enumerate(rungs)))
     reach = {f"reach{d}": F.col("highest_ask") >= price[f"up{d}"] for d in far}
-    return risk.assessed(book.with_rungs(priced.join(sums, KEY, "left").withColumns(reach), priced.columns, pools, params), supporting, params)
+    out = risk.assessed(book.with_rungs(priced.join(sums, KEY, "left").withColumns(reach), priced.columns, pools, params), supporting, params)
+    # last, as a join that falls away where these columns are not used
+    best = asked.join(in_blocks(intervals).groupBy(*_BLOCK).agg(F.min(F.struct("at", (-F.col("amount")).alias("minus"))).alias("best")), ["pair_id", "size", "block"])
+    amounts = best.groupBy(*KEY).agg(*((-F.min(side(s, "best"))["minus"]).alias(f"best_{s}_amount") for s in ("bid", "ask")))
+    return out.join(amounts, KEY, "left")
