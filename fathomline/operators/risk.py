@@ -121,7 +121,7 @@ def asset_risk(snapshots: DataFrame, levels: DataFrame, pools: DataFrame, suppor
     ``supporting`` is keyed by pair and ledger and may have the columns of SUPPORTING. The oracle volume counts only
     where its anchor is this ledger's close time.
     """
-    return assessed(book.ladders(book.reference_price(snapshots, levels, pools, params), levels, pools, params), supporting, params)
+    return assessed(book.priced_ladders(snapshots, levels, pools, params), supporting, params)
 
 
 def assessed(out: DataFrame, supporting: DataFrame | None = None, params: Params = DEFAULT) -> DataFrame:

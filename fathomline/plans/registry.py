@@ -97,7 +97,7 @@ SELECT r.pair_id, d AS delta_pct, coalesce(CAST(sum(amount * n) FILTER (side = '
   coalesce(CAST(sum(amount * n) FILTER (side = 'bid' AND 200 * n >= p2 * (100 - d)) AS DOUBLE), 0) / 10000 AS sell_book FROM r LEFT JOIN levels l ON r.pair_id = l.pair_id GROUP BY ALL""")
 def book_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, l, p = _books(spark, sf_dir)
-    d = book.depth_ladder(book.reference_price(s, l, p), l, p)
+    d = book.priced_ladders(s, l, p).select(*book.KEY, F.inline("depth"))
     return d.select("pair_id", (F.col("delta") * 100).cast("int").alias("delta_pct"), F.col("from_book").cast("double").alias("from_book"), F.col("sell_from_book").cast("double").alias("sell_book"))
 
 
@@ -109,7 +109,7 @@ FROM r JOIN pools p ON r.pair_id = p.pair_id AND rb > 0 GROUP BY ALL"""
 @query(_POOL_RUNGS)
 def pool_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, l, p = _books(spark, sf_dir)
-    d = book.depth_ladder(book.reference_price(s, l, p), l, p).join(book.active_pools(p).select(*book.KEY).distinct(), book.KEY, "left_semi")
+    d = book.priced_ladders(s, l, p).select(*book.KEY, F.inline("depth")).join(book.active_pools(p).select(*book.KEY).distinct(), book.KEY, "left_semi")
     return d.select("pair_id", (F.col("delta") * 100).cast("int").alias("delta_pct"), F.round(F.col("from_pools").cast("double") + 1e-6, 2).alias("from_pools"))
 
 
@@ -118,7 +118,7 @@ SELECT r.pair_id, d AS delta_pct, coalesce(CAST(sum(amount * n) FILTER (side = '
   coalesce(bool_or(side = 'ask' AND 200 * n >= p2 * (100 + d)), false) OR max(r.sn) IS NOT NULL AS combined_reachable FROM r LEFT JOIN levels l ON r.pair_id = l.pair_id GROUP BY ALL""")
 def book_manipulation_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, l, p = _books(spark, sf_dir)
-    m = book.manipulation_ladder(book.reference_price(s, l, p), l, p)
+    m = book.priced_ladders(s, l, p).select(*book.KEY, F.inline("manipulation"))
     return m.select("pair_id", (F.col("delta") * 100).cast("int").alias("delta_pct"), F.col("book_cost").cast("double").alias("book_cost"), "book_reachable", "combined_reachable")
 
 
