@@ -5,7 +5,7 @@ Each view is a deterministic expression over one or two tables; integers and dec
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LEDGER = 1000
@@ -50,10 +50,9 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three events make one operation, closed at the first one's time; 'error' events are pool fills."""
     e = _read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
     op = F.floor(F.col("event_id") / 3)
-    first = e.groupBy(op.alias("op")).agg(F.min("ts").alias("closed_at"))
     n = F.round(F.col("value") * 100).cast("bigint")
     pool = F.col("event_type") == "error"
-    return e.withColumn("op", op).join(first, "op").select(
+    return e.where("event_id IS NOT NULL").withColumn("op", op).withColumn("closed_at", F.min("ts").over(Window.partitionBy("op"))).select(
         (F.col("user_id") % 10).alias("pair_id"), F.col("event_id").alias("trade_id"), F.col("op").cast("string").alias("operation_id"), (F.col("event_id") % 3).cast("int").alias("fill_index"),
         (F.floor(F.unix_seconds("closed_at") / 5)).alias("ledger_seq"), "closed_at", n.alias("price_n"), F.lit(100).cast("bigint").alias("price_d"),
         F.col("k").cast("decimal(19,7)").alias("base_amount"), (F.col("k").cast("decimal(10,0)") * n.cast("decimal(12,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(19,7)").alias("counter_amount"),
