@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from fathomline.functions import exact as X
 from fathomline.operators import accounts, book, bounds, compare, holders, replay, store, trades, universe
 from fathomline.plans import adapters as A
 from fathomline.plans.registry import _A, BOUNDS, CLASSIFIED, HOLDERS, LEVELS, MAKERS, METRICS, TRADES, _classified, _kept, anchor, big, query
+from fathomline.scratch import written
 
 DAYS = "(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)))::BIGINT"
 
@@ -282,9 +285,10 @@ c AS (SELECT pair_id, count(n0) FILTER (side = 'bid') AS recorded_bids, count(n0
   count(n0) FILTER (side = 'bid') = count(n1) FILTER (side = 'bid') AND count(n0) FILTER (side = 'ask') = count(n1) FILTER (side = 'ask') AS levels_match, coalesce(bool_and(n0 = n1), true) AS prices_match, coalesce(bool_and(q0 = q1), true) AS amounts_match FROM j GROUP BY 1)"""
 
 
-def _both_books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Merged books, and books with levels left out, prices moved and amounts changed by rules over all rows."""
-    a = book.merge_levels(A.book_levels(spark, sf_dir))
+def _both_books(spark: SparkSession, sf_dir: str, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Merged books, and books with levels left out, prices moved and amounts changed by rules over all rows; ``kept`` says how
+    the merged books are kept for several uses."""
+    a = kept(book.merge_levels(A.book_levels(spark, sf_dir)))
     p, n = F.col("pair_id"), F.col("price_n")
     b = a.where(~((p % 4 == 1) & (n % 9 == 0))).withColumn("price_n", F.when((p % 6 == 2) & (F.col("side") == "bid"), n + 1).otherwise(n))
     return a, b.withColumn("amount", F.when(p % 10 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(19,7)"))
@@ -316,7 +320,7 @@ w AS (SELECT x.pair_id, CASE WHEN x.none <> y.none THEN 'price_source' WHEN x.ba
 SELECT c.pair_id, levels_match, prices_match, amounts_match, at_ IS NULL AS risk_match, at_ AS risk_differs_at, CASE WHEN levels_match AND prices_match AND amounts_match AND at_ IS NULL THEN 'MATCH' ELSE 'MISMATCH' END AS verdict FROM c JOIN w ON c.pair_id = w.pair_id""")
 def book_risk_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded books against changed ones, with the first figure of their risk that differs."""
-    checked = compare.crosscheck_with_risk(*_both_books(spark, sf_dir), A.snapshots(spark, sf_dir))
+    checked = compare.crosscheck_with_risk(*_both_books(spark, sf_dir, written), A.snapshots(spark, sf_dir))
     return compare.verdicts(checked).select("pair_id", "levels_match", "prices_match", "amounts_match", "risk_match", "risk_differs_at", "verdict")
 
 
